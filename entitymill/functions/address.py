@@ -75,6 +75,7 @@ def content_segments(segments: Column, state: Column, city: Column) -> Column:
     cleaned = F.transform(
         F.filter(segments, lambda p: ~p.rlike(tail)), lambda p: _without(p, state, state_pattern)
     )
+    cleaned = F.filter(cleaned, lambda p: city.isNull() | (F.lower(p) != F.lower(city)))
     cleaned = F.transform(cleaned, lambda p: _without(p, city, city_pattern))
     return F.filter(cleaned, lambda p: p.isNotNull())
 
