@@ -17,7 +17,7 @@ def card_name(lines: Column) -> Column:
 def body_lines(lines: Column) -> Column:
     """Trimmed non-empty lines below the name."""
     rest = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
-    return F.filter(F.transform(rest, strip), lambda x: x != "")
+    return F.filter(F.transform(rest, lambda x: strip(x)), lambda x: x != "")
 
 
 def rating_line(body: Column) -> Column:
@@ -49,7 +49,7 @@ def card_phone(lines: Column) -> Column:
 
 
 def _parts(line: Column) -> Column:
-    pieces = F.transform(F.split(line, V.CARD_SEPARATOR), strip)
+    pieces = F.transform(F.split(line, V.CARD_SEPARATOR), lambda p: strip(p))
     return F.filter(pieces, lambda p: (p != "") & ~p.rlike(V.CARD_PRICE))
 
 

@@ -1,8 +1,13 @@
-"""Phone numbers under the Indian numbering plan."""
+"""Phone numbers under the Indian numbering plan.
+
+A number counts as found when it is possible, not only when it is assigned.
+Numbers carrying a foreign country code are kept when their length fits the
+international plan, because no world-wide metadata is consulted.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from entitymill import vocabulary as V
 from entitymill.functions.text import is_blank, strip
@@ -12,53 +17,57 @@ def _digits(c: Column) -> Column:
     return F.regexp_replace(c, r"[^0-9]", "")
 
 
-def normalize_phone(c: Column) -> Column:
-    """struct(e164, status): FOUND, MISSING or INVALID.
+def _is_national(c: Column) -> Column:
+    return c.rlike(V.PHONE_NATIONAL)
 
-    A number counts as found when it is possible, not only when it is assigned.
-    Numbers carrying a foreign country code are kept when their length fits the
-    international plan, because no world-wide metadata is consulted.
-    """
-    bare = strip(F.regexp_replace(strip(c), V.PHONE_LABEL, ""))
-    body = F.regexp_extract(bare, r"(?s)([+0-9].*)$", 1)
-    body = F.regexp_replace(body, r"(?i)[\s;,]*(?:extn?\.?|ext\.|x|#)[\s.:]*[0-9]{1,7}$", "")
-    letters = F.length(F.regexp_replace(body, r"[^A-Za-z]", ""))
-    spelled = F.when(
-        letters >= 3, F.translate(F.upper(body), V.KEYPAD_LETTERS, V.KEYPAD_DIGITS)
-    ).otherwise(body)
-    readable = F.length(_digits(body)) >= 3
-    digits = _digits(spelled)
-    plus = spelled.startswith("+")
-    foreign_prefix = ~plus & digits.startswith("00")
-    international = F.when(plus, digits).when(foreign_prefix, F.substring(digits, 3, 40))
-    indian = F.coalesce(international.startswith("91"), F.lit(True))
 
-    is_national = lambda n: n.rlike(V.PHONE_NATIONAL)
-    without_code = F.substring(digits, 3, 40)
-    local = F.when(
-        digits.startswith("91")
-        & ((~is_national(digits) & is_national(without_code))
-           | (F.length(digits) > V.PHONE_MAX_DIGITS)),
-        without_code,
-    ).otherwise(digits)
-    subscriber = F.when(international.isNotNull(), F.substring(international, 3, 40)).otherwise(local)
-    national = F.when(
-        subscriber.startswith("0") & ~(is_national(subscriber) & ~is_national(F.substring(subscriber, 2, 40))),
-        F.substring(subscriber, 2, 40),
-    ).otherwise(subscriber)
+def _rest(c: Column, start: int) -> Column:
+    return F.substring(c, start, 40)
 
-    e164 = F.when(
-        readable & indian
-        & F.length(national).between(V.PHONE_MIN_DIGITS, V.PHONE_MAX_DIGITS),
-        F.concat(F.lit("+91"), national),
-    ).when(
-        readable & ~indian & international.rlike(r"^[1-9][0-9]{6,14}$"),
-        F.concat(F.lit("+"), international),
-    )
-    e164 = F.when(~is_blank(c), e164)
-    status = (
-        F.when(is_blank(c), F.lit("MISSING"))
-        .when(e164.isNotNull(), F.lit("FOUND"))
-        .otherwise(F.lit("INVALID"))
+
+def with_phone(df: DataFrame, column: str, e164: str = "normalized_phone", status: str = "phone_status") -> DataFrame:
+    """Add the international form and FOUND, MISSING or INVALID.
+
+    Each step is its own projection: a step's result is read several times by
+    the next one, and nesting the expressions would repeat the work each time.
+    """
+    c = F.col
+    bare = strip(F.regexp_replace(strip(c(column)), V.PHONE_LABEL, ""))
+    df = df.withColumn("_body", F.regexp_replace(
+        F.regexp_extract(bare, r"(?s)([+0-9].*)$", 1),
+        r"(?i)[\s;,]*(?:extn?\.?|ext\.|x|#)[\s.:]*[0-9]{1,7}$", "",
+    ))
+    lettered = F.length(F.regexp_replace(c("_body"), r"[^A-Za-z]", "")) >= 3
+    df = df.withColumn("_dialled", F.when(
+        lettered, F.translate(F.upper(c("_body")), V.KEYPAD_LETTERS, V.KEYPAD_DIGITS)
+    ).otherwise(c("_body")))
+    df = df.withColumns({
+        "_digits": _digits(c("_dialled")),
+        "_readable": F.length(_digits(c("_body"))) >= 3,
+    })
+    df = df.withColumn("_abroad", F.when(c("_dialled").startswith("+"), c("_digits")).when(
+        c("_digits").startswith("00"), _rest(c("_digits"), 3)
+    ))
+    carries_code = c("_digits").startswith("91") & (
+        (~_is_national(c("_digits")) & _is_national(_rest(c("_digits"), 3)))
+        | (F.length("_digits") > V.PHONE_MAX_DIGITS)
     )
-    return F.struct(e164.alias("e164"), status.alias("status"))
+    df = df.withColumn("_line", F.when(c("_abroad").isNotNull(), _rest(c("_abroad"), 3)).when(
+        carries_code, _rest(c("_digits"), 3)
+    ).otherwise(c("_digits")))
+    keeps_zero = _is_national(c("_line")) & ~_is_national(_rest(c("_line"), 2))
+    df = df.withColumn("_national", F.when(
+        c("_line").startswith("0") & ~keeps_zero, _rest(c("_line"), 2)
+    ).otherwise(c("_line")))
+    indian = F.coalesce(c("_abroad").startswith("91"), F.lit(True))
+    possible = F.length("_national").between(V.PHONE_MIN_DIGITS, V.PHONE_MAX_DIGITS)
+    df = df.withColumn(e164, F.when(
+        ~is_blank(c(column)) & c("_readable"),
+        F.when(indian & possible, F.concat(F.lit("+91"), c("_national"))).when(
+            ~indian & c("_abroad").rlike(r"^[1-9][0-9]{6,14}$"), F.concat(F.lit("+"), c("_abroad"))
+        ),
+    ))
+    return df.withColumn(
+        status,
+        F.when(is_blank(c(column)), F.lit("MISSING")).when(c(e164).isNotNull(), F.lit("FOUND")).otherwise(F.lit("INVALID")),
+    ).drop("_body", "_dialled", "_digits", "_readable", "_abroad", "_line", "_national")

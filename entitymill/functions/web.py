@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from entitymill import vocabulary as V
 from entitymill.functions.text import blank_to_null, is_blank, strip
@@ -43,32 +43,35 @@ def domain(c: Column) -> Column:
     return F.when(host.rlike(V.DOMAIN_ENDING), host)
 
 
-def normalize_url(c: Column) -> Column:
-    """struct(url, domain, status) of a raw website value."""
-    raw = F.regexp_replace(strip(c), r"[\t\r\n]", "")
-    scheme = F.coalesce(blank_to_null(F.lower(F.regexp_extract(raw, r"(?i)^(https?)://", 1))), F.lit("https"))
-    rest = F.regexp_replace(raw, r"(?is)^(?:https?://)?[^/?#]*", "")
-    path = F.regexp_extract(rest, r"(?s)^([^?#]*)", 1)
-    path = F.regexp_replace(path, r"(?s);[^/]*$", "")
-    path = F.regexp_replace(path, r"/+$", "")
-    query = _clean_query(F.regexp_extract(rest, r"(?s)^[^?#]*\?([^#]*)", 1))
-    host_name = domain(raw)
+def with_url(df: DataFrame, column: str) -> DataFrame:
+    """Add website_url (canonical), website_domain and website_status.
+
+    Steps get their own projection so that none is evaluated twice.
+    """
+    c = F.col
+    df = df.withColumn("_raw", F.regexp_replace(strip(c(column)), r"[\t\r\n]", ""))
+    df = df.withColumns({
+        "_scheme": F.coalesce(blank_to_null(F.lower(F.regexp_extract(c("_raw"), r"(?i)^(https?)://", 1))), F.lit("https")),
+        "_host": website_host(c("_raw")),
+        "_rest": F.regexp_replace(c("_raw"), r"(?is)^(?:https?://)?[^/?#]*", ""),
+    })
+    path = F.regexp_replace(F.regexp_extract(c("_rest"), r"(?s)^([^?#]*)", 1), r"(?s);[^/]*$", "")
+    df = df.withColumns({
+        "_path": F.regexp_replace(path, r"/+$", ""),
+        "_query": F.regexp_extract(c("_rest"), r"(?s)^[^?#]*\?([^#]*)", 1),
+        "website_domain": domain(c("_raw")),
+    })
+    df = df.withColumn("_query", _clean_query(c("_query")))
     url = F.concat(
-        scheme, F.lit("://"), website_host(raw), path,
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
-        F.when((path == "") & ~query.endswith("/"), F.lit("/")).otherwise(F.lit("")),
-    )
-    found = ~is_blank(c) & host_name.isNotNull()
-    status = (
-        F.when(is_blank(c), F.lit("MISSING"))
-        .when(host_name.isNotNull(), F.lit("FOUND"))
-        .otherwise(F.lit("INVALID"))
-    )
-    return F.struct(
-        F.when(found, url).alias("url"),
-        F.when(found, host_name).alias("domain"),
-        status.alias("status"),
+        c("_scheme"), F.lit("://"), c("_host"), c("_path"),
+        F.when(c("_query") != "", F.concat(F.lit("?"), c("_query"))).otherwise(F.lit("")),
+        F.when((c("_path") == "") & ~c("_query").endswith("/"), F.lit("/")).otherwise(F.lit("")),
     )
+    return df.withColumns({
+        "website_url": F.when(c("website_domain").isNotNull(), url),
+        "website_status": F.when(is_blank(c(column)), F.lit("MISSING"))
+        .when(c("website_domain").isNotNull(), F.lit("FOUND")).otherwise(F.lit("INVALID")),
+    }).drop("_raw", "_scheme", "_host", "_rest", "_path", "_query")
 
 
 def normalize_email(c: Column) -> Column:

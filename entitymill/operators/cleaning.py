@@ -10,11 +10,11 @@ from entitymill.functions import cards as C
 from entitymill.functions.geo import (
     clean_rating, clean_reviews, coordinates_from_url, place_id_from_url, validate_coordinates,
 )
-from entitymill.functions.phone import normalize_phone
+from entitymill.functions.phone import with_phone
 from entitymill.functions.text import (
     blank_to_null, is_blank, normalize_name, strip, strip_label,
 )
-from entitymill.functions.web import normalize_email, normalize_url
+from entitymill.functions.web import normalize_email, with_url
 
 
 def clean_identity(df: DataFrame, name: str = "name") -> DataFrame:
@@ -27,17 +27,8 @@ def clean_identity(df: DataFrame, name: str = "name") -> DataFrame:
 
 def clean_contacts(df: DataFrame, phone: str = "phone", website: str = "website") -> DataFrame:
     """Add normalized phone, canonical website and their field states."""
-    staged = df.withColumns({
-        "_phone": normalize_phone(F.col(phone)),
-        "_url": normalize_url(F.col(website)),
-    })
-    return staged.withColumns({
-        "normalized_phone": F.col("_phone.e164"),
-        "phone_status": F.col("_phone.status"),
-        "website_domain": F.col("_url.domain"),
-        "website_status": F.col("_url.status"),
-        "website_url": F.coalesce(F.col("_url.url"), F.col(website)),
-    }).drop("_phone", "_url")
+    df = with_url(with_phone(df, phone), website)
+    return df.withColumn("website_url", F.coalesce(F.col("website_url"), F.col(website)))
 
 
 def clean_metrics(df: DataFrame) -> DataFrame:

@@ -20,9 +20,10 @@ SOURCE_COLUMNS = [
 def evidence_header(runs: DataFrame, businesses: DataFrame, provenance: DataFrame, sources: DataFrame) -> DataFrame:
     """The run and the sizes of its three child tables, one row."""
     run = latest_completed(runs)
+    one = F.broadcast(run.select("run_id"))  # latest_completed returns at most one row
     sized = run
     for name, child in (("businesses", businesses), ("source_records", sources), ("provenances", provenance)):
-        counts = child.groupBy("run_id").agg(F.count(F.lit(1)).alias(f"{name}_count"))
+        counts = child.join(one, "run_id").groupBy("run_id").agg(F.count(F.lit(1)).alias(f"{name}_count"))
         sized = sized.join(counts, "run_id", "left").fillna(0, [f"{name}_count"])
     return sized.select(
         "run_id", F.col("completed_at").cast("string").alias("verified_at"),
@@ -49,10 +50,12 @@ def export_evidence(
         biz.write.mode("overwrite").json(f"{path}/businesses")
         src.write.mode("overwrite").json(f"{path}/source_records")
         return "sections"
-    nested = biz.agg(F.collect_list(F.struct("*")).alias("businesses")).crossJoin(
-        src.agg(F.collect_list(F.struct("*")).alias("source_records"))
-    )
-    header.drop("run_id").crossJoin(nested).coalesce(1).write.mode("overwrite").json(path)
+    lists = [
+        df.groupBy("run_id").agg(F.collect_list(F.struct(*df.columns)).alias(name))
+        for name, df in (("businesses", biz), ("source_records", src))
+    ]
+    doc = header.join(lists[0], "run_id", "left").join(lists[1], "run_id", "left").drop("run_id")
+    doc.coalesce(1).write.mode("overwrite").json(path)
     return "nested"
 
 

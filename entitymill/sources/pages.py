@@ -11,7 +11,7 @@ def html_lines(html: Column) -> Column:
     """Trimmed non-empty text lines of a page, scripts and styles removed."""
     text = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", "\n")
     text = F.regexp_replace(text, r"(?s)<[^>]*>", "\n")
-    return F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: strip(x)), lambda x: x != "")
 
 
 def html_links(html: Column) -> Column:
