@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from entitymill import vocabulary as V
-from entitymill.functions.text import blank_to_null, first_group, is_blank, strip
+from entitymill.functions.text import blank_to_null, first_group, is_blank, literal_array, strip
 
 _MARK = "\x01"  # stands between segments while the address is still one string
 
@@ -30,9 +30,9 @@ def state_of(text: Column) -> Column:
     """First state in list order whose name or code occurs as a word."""
     names = [k for k, _ in V.STATES]
     hits = F.regexp_extract_all(F.lower(text), F.lit("(?U)" + _any_word(names)), 1)
-    order = F.array(*[F.lit(n) for n in names])
+    order = literal_array(names)
     first = F.array_min(F.transform(hits, lambda h: F.array_position(order, h)))
-    return F.try_element_at(F.array(*[F.lit(v) for _, v in V.STATES]), first.cast("int"))
+    return F.try_element_at(literal_array([v for _, v in V.STATES]), first.cast("int"))
 
 
 def city_of(text: Column, run_city: Column) -> Column:
@@ -40,9 +40,9 @@ def city_of(text: Column, run_city: Column) -> Column:
     no_pin = F.regexp_replace(text, "(?U)" + V.PIN_CODE, "")
     catalog = sorted(V.CITIES, key=lambda n: (-len(n), n))
     hits = F.regexp_extract_all(F.lower(no_pin), F.lit("(?U)" + _any_word(catalog)), 1)
-    order = F.array(*[F.lit(n) for n in catalog])
+    order = literal_array(catalog)
     first = F.array_min(F.transform(hits, lambda h: F.array_position(order, h)))
-    named = F.try_element_at(F.array(*[F.lit(n.title()) for n in catalog]), first.cast("int"))
+    named = F.try_element_at(literal_array([n.title() for n in catalog]), first.cast("int"))
     own = blank_to_null(run_city)
     here = F.regexp_like(no_pin, F.concat(F.lit(r"(?iU)\b"), _quoted(own), F.lit(r"\b")))
     return F.when(F.coalesce(here, F.lit(False)), run_city).otherwise(F.coalesce(named, run_city))

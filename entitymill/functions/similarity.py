@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from entitymill import vocabulary as V
+from entitymill.functions.text import literal_map
 
 
 def tokens(c: Column) -> Column:
@@ -14,7 +15,7 @@ def tokens(c: Column) -> Column:
 
 def address_tokens(c: Column) -> Column:
     """Tokens with street abbreviations spelled out."""
-    spelled = F.create_map(*[F.lit(x) for kv in V.STREET_ABBREVIATIONS.items() for x in kv])
+    spelled = literal_map(V.STREET_ABBREVIATIONS)
     full = F.transform(tokens(c), lambda w: F.coalesce(F.try_element_at(spelled, w), w))
     return F.array_distinct(F.split(F.array_join(full, " "), " "))
 

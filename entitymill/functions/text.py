@@ -32,6 +32,16 @@ def first_group(c: Column, pattern: str, group: int = 1) -> Column:
     return blank_to_null(F.regexp_extract(c, pattern, group))
 
 
+def literal_array(values: list[str]) -> Column:
+    """Array constant; one literal instead of one per element keeps plans small."""
+    return F.split(F.lit("\x02".join(values)), "\x02")
+
+
+def literal_map(pairs: dict[str, str]) -> Column:
+    """Map constant, folded once at planning."""
+    return F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in pairs.items())), F.lit("\x02"), F.lit("\x01"))
+
+
 @lru_cache(maxsize=1)
 def _ascii_folds() -> tuple[str, str, dict[str, str]]:
     """Characters whose compatibility decomposition leaves ASCII behind."""
@@ -57,7 +67,7 @@ def fold_to_ascii(c: Column) -> Column:
     """
     source, target, longer = _ascii_folds()
     non_ascii = r"[^\x00-\x7F]"
-    pairs = F.create_map(*[F.lit(x) for kv in longer.items() for x in kv])
+    pairs = literal_map(longer)
     single = F.translate(c, source, target)
     spelled = F.array_join(
         F.transform(F.split(single, ""), lambda ch: F.coalesce(F.try_element_at(pairs, ch), ch)), ""

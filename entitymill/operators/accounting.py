@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from entitymill import vocabulary as V
+from entitymill.functions.text import literal_array
 from entitymill.operators.dedup import resolve_duplicates
 from entitymill.operators.scale import previous_value, running_sums
 
@@ -119,7 +120,7 @@ def illegal_transitions(log: DataFrame, **kw: int) -> DataFrame:
     Unknown statuses are reported too.
     """
     steps = previous_value(log, "run_id", "seq", "status", "from_status", **kw)
-    allowed = F.array(*[F.lit(f"{a}>{b}") for a, b in V.STATUS_CHANGES])
+    allowed = literal_array([f"{a}>{b}" for a, b in V.STATUS_CHANGES])
     change = F.concat(F.col("from_status"), F.lit(">"), F.col("status"))
     return steps.filter(
         F.col("from_status").isNotNull() & (F.col("from_status") != F.col("status"))
@@ -131,8 +132,8 @@ def current_runs(log: DataFrame) -> DataFrame:
     """Latest status and first start per run; whether the latest is a cancellation."""
     return log.groupBy("run_id").agg(
         F.max_by("status", "seq").alias("status"),
-        F.min(F.when(F.col("status") == "RUNNING", F.col("at"))).alias("started_at"),
-        F.max_by("at", "seq").alias("updated_at"),
+        F.min(F.when(F.col("status") == "RUNNING", F.col("changed_at"))).alias("started_at"),
+        F.max_by("changed_at", "seq").alias("updated_at"),
         (F.max_by("status", "seq") == "CANCELLED").alias("cancelled"),
     )
 

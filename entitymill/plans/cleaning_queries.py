@@ -14,6 +14,7 @@ from entitymill.plans.derived import table, view, with_views
 from entitymill.plans.registry import query
 from entitymill.sources import pages as pages_source
 from entitymill.sources import raw
+from entitymill.session import cut_lineage
 
 
 # --- shared steps ----------------------------------------------------------
@@ -28,6 +29,15 @@ def canonical(spark: SparkSession, sf: str) -> DataFrame:
     return validation.canonicalize(validation.split_valid(reached)[0])
 
 
+def stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Canonical businesses as a stored table, the form lookups work on.
+
+    Filters on cleaned columns would otherwise be pushed below the cleaning
+    steps and repeat them once per condition.
+    """
+    return cut_lineage(canonical(spark, sf))
+
+
 # --- web addresses ----------------------------------------------------------
 
 @query("website_canonical_form", "CL-4 CL-5", with_views(

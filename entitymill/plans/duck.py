@@ -88,26 +88,26 @@ def address_ctes(source: str, column: str, city: str, keep: str) -> str:
         f"CASE WHEN {n} IS NULL OR NOT contains(lower({p}), lower({n})) OR NOT regexp_matches({p}, '(?i){b}' || regexp_escape({n}) || '{b}') THEN {p} ELSE {less(p, n, b)} END"
     )
     return f"""
-a1 AS (SELECT *, {city} AS _c0, CASE WHEN NOT {blank(column)} THEN
+a1 AS MATERIALIZED (SELECT *, {city} AS _c0, CASE WHEN NOT {blank(column)} THEN
   {strip(f"regexp_replace({strip(column)}, '(?i)^(address|addr|loc|location)[\\s:]*', '')")} END AS _adt FROM {source}),
-a2 AS (SELECT *, regexp_replace(_adt, '{pin}', '', 'g') AS _np,
-  {canon}[list_position({names}, list_filter({names}, lambda n: contains(lower(_adt), n) AND regexp_matches(lower(_adt), '\\b' || n || '\\b'))[1])] AS _st FROM a1),
-a3 AS (SELECT *, CASE WHEN _adt IS NULL THEN _c0 WHEN coalesce(_c0, '') <> '' AND contains(lower(_np), lower(_c0)) AND regexp_matches(_np, '(?i)\\b' || regexp_escape(_c0) || '\\b') THEN _c0
-  ELSE coalesce(array_to_string(list_transform(string_split(list_filter({cities}, lambda n: contains(lower(_np), n) AND regexp_matches(lower(_np), '\\b' || n || '\\b'))[1], ' '),
+a2 AS MATERIALIZED (SELECT *, regexp_replace(_adt, '{pin}', '', 'g') AS _np,
+  {canon}[list_position({names}, list_filter(list_filter({names}, lambda n: contains(lower(_adt), n)), lambda n: regexp_matches(lower(_adt), '\\b' || n || '\\b'))[1])] AS _st FROM a1),
+a3 AS MATERIALIZED (SELECT *, CASE WHEN _adt IS NULL THEN _c0 WHEN coalesce(_c0, '') <> '' AND contains(lower(_np), lower(_c0)) AND regexp_matches(_np, '(?i)\\b' || regexp_escape(_c0) || '\\b') THEN _c0
+  ELSE coalesce(array_to_string(list_transform(string_split(list_filter(list_filter({cities}, lambda n: contains(lower(_np), n)), lambda n: regexp_matches(lower(_np), '\\b' || n || '\\b'))[1], ' '),
     lambda w: upper(w[1]) || w[2:]), ' '), _c0) END AS _ci,
   list_filter(list_transform(string_split_regex(_adt, '[,\\n|;]|(?:\\s+[-–—]\\s+)'), lambda p: {strip('p')}), lambda p: p <> '') AS _seg FROM a2),
-a4 AS (SELECT *, list_reduce(list_transform(_seg, lambda p: [p]), lambda a, p: CASE WHEN regexp_full_match(p[1], '[\\d\\s&\\-/]+')
+a4 AS MATERIALIZED (SELECT *, list_reduce(list_transform(_seg, lambda p: [p]), lambda a, p: CASE WHEN regexp_full_match(p[1], '[\\d\\s&\\-/]+')
   THEN list_concat(a[:-2], [a[-1] || ', ' || p[1]]) ELSE list_concat(a, p) END, []::VARCHAR[]) AS _co FROM a3),
-a5 AS (SELECT *, list_filter(_co, lambda p: NOT regexp_full_match(p, '[1-9][0-9]{{5}}') AND lower(p) NOT IN ('india', 'bharat')) AS _f1 FROM a4),
-a6 AS (SELECT *, list_filter(list_transform(_f1, lambda p: {without('p', '_st', '')}), lambda p: p <> '') AS _f2 FROM a5),
-a7 AS (SELECT *, list_filter(list_transform(_f2, lambda p: {without('p', '_ci', chr(92) + 'b')}), lambda p: p <> '') AS _f3 FROM a6),
-a8 AS (SELECT *, coalesce(_ci, '') = '' AND len(_f3) > 0 AND NOT regexp_matches(lower(_f3[-1]), 'road|marg|lane|street|shop') AS _tk FROM a7),
-a9 AS (SELECT * EXCLUDE (_ci, _f3), CASE WHEN _tk THEN _f3[-1] ELSE _ci END AS _ci, CASE WHEN _tk THEN _f3[:-2] ELSE _f3 END AS _f3 FROM a8),
-a10 AS (SELECT *, regexp_extract(_f3[1], '(?is)^(.*?\\b(?:{through})\\b)(.*)$', ['head', 'tail']) AS _g,
+a5 AS MATERIALIZED (SELECT *, list_filter(_co, lambda p: NOT regexp_full_match(p, '[1-9][0-9]{{5}}') AND lower(p) NOT IN ('india', 'bharat')) AS _f1 FROM a4),
+a6 AS MATERIALIZED (SELECT *, list_filter(list_transform(_f1, lambda p: {without('p', '_st', '')}), lambda p: p <> '') AS _f2 FROM a5),
+a7 AS MATERIALIZED (SELECT *, list_filter(list_transform(_f2, lambda p: {without('p', '_ci', chr(92) + 'b')}), lambda p: p <> '') AS _f3 FROM a6),
+a8 AS MATERIALIZED (SELECT *, coalesce(_ci, '') = '' AND len(_f3) > 0 AND NOT regexp_matches(lower(_f3[-1]), 'road|marg|lane|street|shop') AS _tk FROM a7),
+a9 AS MATERIALIZED (SELECT * EXCLUDE (_ci, _f3), CASE WHEN _tk THEN _f3[-1] ELSE _ci END AS _ci, CASE WHEN _tk THEN _f3[:-2] ELSE _f3 END AS _f3 FROM a8),
+a10 AS MATERIALIZED (SELECT *, regexp_extract(_f3[1], '(?is)^(.*?\\b(?:{through})\\b)(.*)$', ['head', 'tail']) AS _g,
   CASE WHEN len(_f3) >= 4 AND regexp_matches(lower(_f3[-2]), '{locality}') THEN 2 ELSE 1 END AS _k,
   regexp_matches(_f3[1], '(?i)\\b(shop|flat|building|bldg|plot|floor|complex|plaza|no\\.)\\b') AS _pr,
   regexp_matches(lower(_f3[1]), '{locality}') AS _lo FROM a9),
-addressed AS (SELECT {keep},
+addressed AS MATERIALIZED (SELECT {keep},
   CASE WHEN len(_f3) = 1 THEN CASE WHEN _g.head <> '' AND trim(_g.tail, ' ,-–') <> '' THEN {strip('_g.head')}
       WHEN _g.head = '' AND NOT _pr AND _lo THEN NULL ELSE _f3[1] END
     WHEN len(_f3) > 1 THEN array_to_string(_f3[:len(_f3) - _k], ', ') END AS street,
