@@ -44,7 +44,9 @@ def city_of(text: Column, run_city: Column) -> Column:
     first = F.array_min(F.transform(hits, lambda h: F.array_position(order, h)))
     named = F.try_element_at(literal_array([n.title() for n in catalog]), first.cast("int"))
     own = blank_to_null(run_city)
-    here = F.regexp_like(no_pin, F.concat(F.lit(r"(?iU)\b"), _quoted(own), F.lit(r"\b")))
+    # the plain containment test spares most rows a pattern of their own
+    here = F.contains(F.lower(no_pin), F.lower(own)) & F.regexp_like(
+        no_pin, F.concat(F.lit(r"(?iU)\b"), _quoted(own), F.lit(r"\b")))
     return F.when(F.coalesce(here, F.lit(False)), run_city).otherwise(F.coalesce(named, run_city))
 
 
@@ -59,7 +61,8 @@ def segments_of(text: Column) -> Column:
 
 def _without(part: Column, name: Column, pattern: Column) -> Column:
     """``part`` less a place name: NULL if nothing but it and a PIN is left."""
-    mentioned = F.coalesce(F.regexp_like(part, pattern), F.lit(False))
+    mentioned = F.coalesce(
+        F.contains(F.lower(part), F.lower(name)) & F.regexp_like(part, pattern), F.lit(False))
     rest = F.regexp_replace(F.regexp_replace(part, pattern, F.lit("")), "(?U)" + V.PIN_CODE, "")
     return F.when(part.isNull() | (name.isNull()) | ~mentioned, part).otherwise(
         blank_to_null(F.btrim(rest, F.lit(" -,\n")))

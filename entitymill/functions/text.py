@@ -7,7 +7,7 @@ import sys
 import unicodedata
 from functools import lru_cache, reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from entitymill import vocabulary as V
 
@@ -90,12 +90,22 @@ def strip_legal_suffixes(c: Column, suffixes: list[str] | None = None) -> Column
     return F.when(c.rlike(ends_with_any), stripped).otherwise(c)
 
 
-def normalize_name(c: Column) -> Column:
-    """Comparable form of a business name; empty string for a blank one."""
-    text = F.lower(fold_to_ascii(c))
-    text = F.regexp_replace(text, r"\s*&\s*", " and ")
-    text = F.regexp_replace(text, r"[^a-z0-9_]+", " ")
-    return F.coalesce(strip_legal_suffixes(F.trim(text)), F.lit(""))
+def bare_name(c: Column) -> Column:
+    """Folded, lower-cased, punctuation gone, single blanks; suffixes still there."""
+    text = F.regexp_replace(F.lower(fold_to_ascii(c)), r"\s*&\s*", " and ")
+    return F.trim(F.regexp_replace(text, r"[^a-z0-9_]+", " "))
+
+
+def with_normalized_name(df: DataFrame, column: str, out: str = "normalized_name") -> DataFrame:
+    """Add the comparable form of a name; empty string for a blank one.
+
+    The folded text is read several times by the suffix rules, hence the
+    projection of its own.
+    """
+    staged = df.withColumn("_bare", bare_name(F.col(column)))
+    return staged.withColumn(
+        out, F.coalesce(strip_legal_suffixes(F.col("_bare")), F.lit(""))
+    ).drop("_bare")
 
 
 def strip_label(c: Column, label: str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from entitymill import vocabulary as V
 from entitymill.functions.text import literal_array
 from entitymill.operators.dedup import resolve_duplicates
-from entitymill.operators.scale import previous_value, running_sums
+from entitymill.operators.scale import previous_value, running_sums, salted_join
 
 SAVED, DUPLICATE, FAILED = "saved", "duplicate", "failed"
 
@@ -48,9 +48,9 @@ def apply_limit(outcomes: DataFrame, runs: DataFrame, **kw: int) -> DataFrame:
     attempted. Decisions depend on earlier records only, so cutting after
     resolution equals stopping during it.
     """
-    seen = running_sums(outcomes, "run_id", "seq", {"_before": _is(SAVED)}, inclusive=False, **kw)
     limits = runs.select("run_id", "requested_limit")
-    return seen.join(limits, "run_id").filter(F.col("_before") < F.col("requested_limit")).drop(
+    seen = running_sums(outcomes, "run_id", "seq", {"_before": _is(SAVED)}, inclusive=False, per_key=limits, **kw)
+    return seen.filter(F.col("_before") < F.col("requested_limit")).drop(
         "_before", "requested_limit"
     )
 
@@ -66,8 +66,9 @@ def candidate_budget(runs: DataFrame, saved: str = "saved") -> DataFrame:
 
 def within_budget(candidates: DataFrame, budgets: DataFrame, **kw: int) -> DataFrame:
     """Candidates of each run up to its budget, in arrival order."""
-    counted = running_sums(candidates, "run_id", "seq", {"_nth": F.lit(1)}, **kw)
-    return counted.join(budgets.select("run_id", "budget"), "run_id").filter("_nth <= budget").drop("_nth", "budget")
+    allowed = budgets.select("run_id", "budget")
+    counted = running_sums(candidates, "run_id", "seq", {"_nth": F.lit(1)}, per_key=allowed, **kw)
+    return counted.filter("_nth <= budget").drop("_nth", "budget")
 
 
 def final_status(counters: DataFrame) -> DataFrame:
@@ -106,9 +107,10 @@ def progress_log(outcomes: DataFrame, runs: DataFrame, **kw: int) -> DataFrame:
     """Counters after every record, as the progress events carry them."""
     counted = running_sums(
         outcomes, "run_id", "seq",
-        {"attempted": F.lit(1), "saved": _is(SAVED), "failed": _is(FAILED), "duplicates": _is(DUPLICATE)}, **kw,
+        {"attempted": F.lit(1), "saved": _is(SAVED), "failed": _is(FAILED), "duplicates": _is(DUPLICATE)},
+        per_key=runs.select("run_id", "requested_limit"), **kw,
     )
-    return counted.join(runs.select("run_id", "requested_limit"), "run_id").withColumns({
+    return counted.withColumns({
         "discovered": F.col("attempted"),
         "percentage": progress_percent(F.col("saved"), F.col("requested_limit")),
     })
@@ -161,7 +163,7 @@ def before_cancel(outcomes: DataFrame, log: DataFrame) -> DataFrame:
     stops = log.groupBy("run_id").agg(
         F.max_by("status", "seq").alias("status"), F.max("seq").alias("stop")
     ).filter("status = 'CANCELLED'").select("run_id", "stop")
-    return outcomes.join(stops, "run_id", "left").filter("stop IS NULL OR seq < stop").drop("stop")
+    return salted_join(outcomes, stops, "run_id", "seq", "left").filter("stop IS NULL OR seq < stop").drop("stop")
 
 
 def classify_error(message: Column) -> Column:

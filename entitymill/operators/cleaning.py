@@ -12,17 +12,14 @@ from entitymill.functions.geo import (
 )
 from entitymill.functions.phone import with_phone
 from entitymill.functions.text import (
-    blank_to_null, is_blank, normalize_name, strip, strip_label,
+    blank_to_null, is_blank, strip, strip_label, with_normalized_name,
 )
 from entitymill.functions.web import normalize_email, with_url
 
 
 def clean_identity(df: DataFrame, name: str = "name") -> DataFrame:
     """Add ``clean_name`` and ``normalized_name``."""
-    return df.withColumns({
-        "clean_name": blank_to_null(strip(F.col(name))),
-        "normalized_name": normalize_name(F.col(name)),
-    })
+    return with_normalized_name(df, name).withColumn("clean_name", blank_to_null(strip(F.col(name))))
 
 
 def clean_contacts(df: DataFrame, phone: str = "phone", website: str = "website") -> DataFrame:

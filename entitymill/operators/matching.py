@@ -17,7 +17,8 @@ from entitymill import vocabulary as V
 from entitymill.functions.geo import distance_km
 from entitymill.functions.similarity import address_tokens, equal_score, jaccard, name_score, tokens
 from entitymill.functions.text import literal_map
-from entitymill.operators.scale import HOT_ROWS, MAX_HOT_KEYS
+from entitymill.operators.scale import HOT_ROWS, MAX_HOT_KEYS, attach_per_key
+from entitymill.session import cut_lineage
 
 FLOOR = 65.0
 COMPARED = [
@@ -76,13 +77,12 @@ def block_keys(weights: dict[str, float], floor: float) -> Column:
     )
 
 
-def _split_hot(left: DataFrame, right: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+def _split_hot(left: DataFrame, right: DataFrame, total: int, hot_rows: int) -> tuple[DataFrame, DataFrame]:
     """Spread the left rows of a hot block over parts; its right rows go to each part.
 
     The number of hot keys is at most rows / threshold, so the lookup of parts
     is broadcast with a proven bound.
     """
-    total = left.count()
     threshold = max(hot_rows, total // MAX_HOT_KEYS + 1)
     if total < threshold:
         return left.withColumn("part", F.lit(0)), right.withColumn("part", F.lit(0))
@@ -103,11 +103,10 @@ def candidates(
     """Profile pairs that share a block, each once, as l_* and r_* columns."""
     weights = weights or V.MATCH_WEIGHTS
     check_floor(weights, floor)
-    keyed = [
-        profiles(df).withColumn("keys", block_keys(weights, floor)).withColumn("key", F.explode("keys"))
-        for df in (left, right)
-    ]
-    a, b = _split_hot(*keyed, hot_rows)
+    blocked = [profiles(df).withColumn("keys", block_keys(weights, floor)) for df in (left, right)]
+    blocked[0] = cut_lineage(blocked[0])  # read three times below
+    total = blocked[0].agg(F.sum(F.size("keys"))).first()[0] or 0
+    a, b = _split_hot(*[df.withColumn("key", F.explode("keys")) for df in blocked], total, hot_rows)
     renamed = [
         df.select("key", "part", *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in ("key", "part")])
         for df, p in ((a, "l"), (b, "r"))
@@ -181,7 +180,7 @@ def _best_two(scored: DataFrame, side: str, other: str) -> DataFrame:
     Equal copies of the best candidate tie with it.
     """
     w = Window.partitionBy(f"{side}_pid").orderBy(F.desc("score"), f"{other}_first_id")
-    top = scored.select(f"{side}_pid", "score", f"{other}_first_id", f"{other}_copies").withColumn(
+    top = scored.select(f"{side}_pid", f"{side}_copies", "score", f"{other}_first_id", f"{other}_copies").withColumn(
         "rn", F.row_number().over(w)
     ).filter("rn <= 2")
     return top.groupBy(f"{side}_pid").agg(
@@ -189,6 +188,7 @@ def _best_two(scored: DataFrame, side: str, other: str) -> DataFrame:
         F.max(F.when(F.col("rn") == 1, F.col(f"{other}_first_id"))).alias("best_id"),
         F.max(F.when(F.col("rn") == 2, F.col("score"))).alias("_next"),
         F.max(F.when(F.col("rn") == 1, F.col(f"{other}_copies"))).alias("_copies"),
+        F.max(f"{side}_copies").alias("n"),
     ).withColumn(
         "second_score", F.when(F.col("_copies") > 1, F.col("best_score")).otherwise(F.coalesce("_next", F.lit(0.0)))
     ).drop("_next", "_copies")
@@ -204,14 +204,16 @@ def decide(threshold: Column, margin: float = V.AMBIGUITY_MARGIN) -> Column:
 
 def decisions(
     side_rows: DataFrame, scored: DataFrame, side: str = "l", threshold: float = V.MATCH_THRESHOLD,
-    margin: float = V.AMBIGUITY_MARGIN,
+    margin: float = V.AMBIGUITY_MARGIN, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One row per record of one side: best candidate, scores, decision, reason."""
     other = "r" if side == "l" else "l"
     best = _best_two(scored, side, other).withColumnRenamed(f"{side}_pid", "pid")
     known = side_rows.select("id", *[F.col(c) if c in side_rows.columns else F.lit(None).cast("string").alias(c) for c in COMPARED])
     keyed = known.select("id", "run_id", F.sha2(F.to_json(F.struct(*COMPARED), {"ignoreNullFields": "false"}), 256).alias("pid"))
-    out = keyed.join(best, "pid", "left").drop("pid").withColumn("threshold", F.lit(float(threshold)))
+    # copies share one profile, possibly very many of them
+    met = attach_per_key(keyed, best, "pid", "n", side_rows.count(), hot_rows, "left")
+    out = met.drop("pid").withColumn("threshold", F.lit(float(threshold)))
     out = out.withColumn("decision", decide(F.col("threshold"), margin))
     return out.withColumn(
         "reason",

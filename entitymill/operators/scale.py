@@ -10,13 +10,15 @@ CHUNK = 1 << 18
 
 def running_sums(
     df: DataFrame, key: str, order: str, sums: dict[str, Column], inclusive: bool = True,
-    chunk: int = CHUNK,
+    chunk: int = CHUNK, per_key: DataFrame | None = None,
 ) -> DataFrame:
     """Running totals of ``sums`` per ``key`` in ``order``, in two passes.
 
     ``order`` is a whole number, unique within its key. Its ranges of ``chunk``
     values bound what a task sorts, however many rows one key has: pass one
     totals the ranges, pass two adds each range's start to a window inside it.
+    Columns of ``per_key`` (one row per key; other keys drop out) ride along
+    with the starts, so they never cause a shuffle of rows by the bare key.
     """
     ranged = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)).cast("bigint"))
     totals = ranged.groupBy(key, "_chunk").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
@@ -25,6 +27,8 @@ def running_sums(
         key, "_chunk",
         *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums],
     )
+    if per_key is not None:
+        starts = starts.join(per_key, key)
     inside = Window.partitionBy(key, "_chunk").orderBy(order).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1
     )
@@ -64,9 +68,10 @@ MAX_HOT_KEYS = 50_000
 
 
 def attach_per_key(
-    rows: DataFrame, per_key: DataFrame, key: str, n: str, total_rows: int, hot_rows: int = HOT_ROWS
+    rows: DataFrame, per_key: DataFrame, key: str, n: str, total_rows: int, hot_rows: int = HOT_ROWS,
+    how: str = "inner",
 ) -> DataFrame:
-    """Inner join of many rows with one row per key, safe for hot keys.
+    """Join (inner or left) of many rows with one row per key, safe for hot keys.
 
     ``per_key[n]`` says how many of ``rows`` carry the key and ``total_rows``
     how many there are. At most total_rows / threshold keys can reach the
@@ -75,9 +80,29 @@ def attach_per_key(
     """
     threshold = max(hot_rows, total_rows // MAX_HOT_KEYS + 1)
     if total_rows < threshold:
-        return rows.join(per_key.drop(n), key)
+        return rows.join(per_key.drop(n), key, how)
     hot = F.broadcast(per_key.filter(F.col(n) >= threshold).drop(n))
     cold = per_key.filter(F.col(n) < threshold).drop(n)
     stays = rows.join(hot, key)
-    moves = rows.join(hot.select(key), key, "left_anti").join(cold, key)
+    moves = rows.join(hot.select(key), key, "left_anti").join(cold, key, how)
     return stays.unionByName(moves)
+
+
+SALTS = 16
+
+
+def salted_join(rows: DataFrame, per_key: DataFrame, key: str, spread_by: str, how: str = "inner") -> DataFrame:
+    """Join rows with a small one-row-per-key table, each key over several tasks."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
+    copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core work when a table arrives in fewer splits than cores.
+
+    One unsplittable file would run all cleaning in one task. Large tables have
+    more splits than cores and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

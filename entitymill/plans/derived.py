@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from entitymill.operators.scale import spread
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -234,16 +236,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when a table arrives in fewer splits than cores.
-
-    One unsplittable file would run all cleaning in one task. Large tables have
-    more splits than cores and are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table as a DataFrame; test tables enter as SQL arguments."""
     sql = VIEWS[name]

@@ -13,6 +13,9 @@ def build_session(app: str = "entitymill", master: str | None = None, **conf: st
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # HotSpot does not compile methods beyond 8,000 bytes of bytecode; the long cleaning
+        # projections run faster as several operators than as one interpreted method
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:

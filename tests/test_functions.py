@@ -25,7 +25,7 @@ def test_names(spark):
         "x co ltd": "x", "x ltd co": "x ltd", "Coco": "coco", "½ Price ﬁsh": "12 price fish", "Øre ß": "re",
         "Ｆｕｌｌ Ｗｉｄｔｈ": "full width", "a & b": "a and b",
     }
-    df = column(spark, list(cases)).withColumn("n", text.normalize_name(F.col("v")))
+    df = text.with_normalized_name(column(spark, list(cases)), "v", "n")
     assert results(df, "n") == list(cases.values())
 
 

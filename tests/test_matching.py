@@ -72,7 +72,7 @@ def test_copies_tie_and_are_compared_once(spark):
     right = spark.createDataFrame([(f"r{i}",) + one[1:] for i in range(2)], SCHEMA)
     scored = matching.score_pairs(left, right)
     assert scored.count() == 1
-    out = matching.decisions(left, scored).collect()
+    out = matching.decisions(left, scored, hot_rows=5).collect()
     assert len(out) == 40 and {(r["decision"], r["best_id"]) for r in out} == {("AMBIGUOUS", "r0")}
 
 
