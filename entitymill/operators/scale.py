@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 CHUNK = 1 << 18
 
 
+def _chunk_start(order: str, chunk: int) -> Column:
+    return F.col(order) - F.pmod(F.col(order), F.lit(chunk))
+
+
 def running_sums(
     df: DataFrame, key: str, order: str, sums: dict[str, Column], inclusive: bool = True,
     chunk: int = CHUNK, per_key: DataFrame | None = None,
@@ -20,7 +24,7 @@ def running_sums(
     Columns of ``per_key`` (one row per key; other keys drop out) ride along
     with the starts, so they never cause a shuffle of rows by the bare key.
     """
-    ranged = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)).cast("bigint"))
+    ranged = df.withColumn("_chunk", _chunk_start(order, chunk))
     totals = ranged.groupBy(key, "_chunk").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
     before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
@@ -42,7 +46,7 @@ def running_sums(
 
 def previous_value(df: DataFrame, key: str, order: str, value: str, out: str, chunk: int = CHUNK) -> DataFrame:
     """Value of the row before, per ``key`` in ``order``; chunked like running_sums."""
-    ranged = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)).cast("bigint"))
+    ranged = df.withColumn("_chunk", _chunk_start(order, chunk))
     lasts = ranged.groupBy(key, "_chunk").agg(F.max_by(value, order).alias("_last"))
     across = Window.partitionBy(key).orderBy("_chunk")
     carried = lasts.select(key, "_chunk", F.lag("_last").over(across).alias("_carried"))
