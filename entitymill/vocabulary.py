@@ -165,6 +165,7 @@ OWN_ANCHOR_HOSTS = ["google.com", "gstatic.com", "googleadservices"]
 # --- fixed values: validation messages -------------------------------------------
 NAME_MISSING = "Business name is missing or empty"
 NAME_EMPTY = "Normalized business name is empty"
+EXTRACTION_ERROR_UNKNOWN = "Unknown scraper error"
 REQUEST_ERRORS = [
     "City must not be empty.",
     "Category must not be empty.",
