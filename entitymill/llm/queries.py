@@ -20,9 +20,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    near = simhash.near_duplicates(docs, [F.col("doc_id")], "text", shingle=3, words=1, max_bits=2, width=32)
-    firsts = near.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    return near.join(firsts, "group").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+    near = simhash.near_duplicates(docs, [F.col("doc_id")], F.col("doc_id"), "text", shingle=3, words=1, max_bits=2, width=32)
+    return near.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

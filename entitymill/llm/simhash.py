@@ -131,20 +131,23 @@ def links(prints: DataFrame, max_bits: int, width: int, pairs_up_to: int = PAIRS
 
 
 def near_duplicates(
-    docs: DataFrame, key: list[Column], text: str = "text", shingle: int = 3, words: int = 1, max_bits: int = 2, width: int = 32,
+    docs: DataFrame, key: list[Column], first: Column, text: str = "text", shingle: int = 3, words: int = 1, max_bits: int = 2, width: int = 32,
 ) -> DataFrame:
-    """Every row's key columns, its fingerprint f0, ... and ``group``: equal for rows linked directly or through others.
+    """Every row's key columns, its fingerprint f0, ..., ``group`` and ``least``.
 
-    Null and empty texts have fingerprint zero and are linked like any other.
-    Equal fingerprints are one node, so exact copies of any number cost no pairs.
+    ``group`` is equal for rows linked directly or through others, ``least`` the
+    smallest ``first`` (an expression of the key) in the group. Null and empty
+    texts have fingerprint zero and are linked like any other. Equal
+    fingerprints are one node, so exact copies of any number cost no pairs.
     """
     prints = cut_lineage(fingerprints(docs, key, text, shingle, words))
     names = [f"f{i}" for i in range(words)]
     node = F.col("f0") if words == 1 else F.xxhash64(*names)
-    nodes = prints.select(*names).distinct().withColumn("node", node)
-    groups = components(links(nodes, max_bits, width))
-    named = nodes.join(groups, "node", "left").select(*names, F.coalesce("component", "node").alias("group"))
-    return prints.join(named, names)
+    nodes = prints.groupBy(*names).agg(F.min(first).alias("least")).withColumn("node", node)
+    groups = components(links(nodes.drop("least"), max_bits, width))
+    named = nodes.join(groups, "node", "left").select(*names, F.coalesce("component", "node").alias("group"), "least")
+    leasts = named.groupBy("group").agg(F.min("least").alias("least"))
+    return prints.join(named.drop("least").join(leasts, "group"), names)
 
 
 #: The pipeline's fingerprints: five words, 256 bits, eight segments of 24. Sets of similarity 0.8 differ in 15.1 % of the
@@ -158,7 +161,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **h
     Of rows with that id the one with the smallest text hash stays, and those equal to it in both; a null id is larger than any.
     """
     key = [F.col(doc_id).alias("_doc"), F.xxhash64(text).alias("_text_hash")]
-    near = near_duplicates(docs, key, text, **(STAGE | how))
-    stay = near.groupBy("group").agg(F.min(F.struct(F.col("_doc").isNull(), "_doc", "_text_hash")).alias("s")).select(F.col("s._doc").alias("_id"), F.col("s._text_hash").alias("_own"))
+    first = F.struct(F.col("_doc").isNull().alias("_none"), "_doc", "_text_hash")
+    near = near_duplicates(docs, key, first, text, **(STAGE | how))
+    stay = near.filter(first == F.col("least")).select(F.col("_doc").alias("_id"), F.col("_text_hash").alias("_own"))
     joined = docs.join(stay, docs[doc_id].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_own")), "left_semi")
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
