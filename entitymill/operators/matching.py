@@ -1,15 +1,16 @@
 """Matching two sources: blocking, scores, decisions, unmatched reports.
 
 Pairs are only formed where they can matter. A decision at threshold T with
-margin m depends on pairs scoring at least T - m; FLOOR is that bound for the
-lowest threshold in use (70). With the default weights a pair at FLOOR agrees on
-two of phone, domain and an address token: any one of them alone, with
-everything else perfect, stays below. So the blocks are those three pairs of
-agreements, and no pair at or above FLOOR is missed.
+margin m depends on pairs scoring at least T - m, the floor. From the weights
+follow the smallest sets of signals that a pair at the floor has to agree in;
+each set is a block, so no pair at or above the floor is missed. A floor that
+the name alone can reach has no blocks and is refused. Reports on unmatched
+records also look at the best pair in the report blocks, whatever its score.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -20,18 +21,33 @@ from entitymill.functions.text import literal_map
 from entitymill.operators.scale import HOT_ROWS, MAX_HOT_KEYS, attach_per_key
 from entitymill.session import cut_lineage
 
-FLOOR = 65.0
 COMPARED = [
     "run_id", "normalized_name", "normalized_phone", "website_domain", "address", "city", "category", "social",
 ]
 SYNONYM_SCORE = 0.8
 
 
-def check_floor(weights: dict[str, float], floor: float) -> None:
-    """Refuse weights under which the blocks could miss a pair at the floor."""
-    free = sum(weights[k] for k in ("name", "city", "category", "social"))
-    if free + max(weights["phone"], weights["domain"], weights["address"]) >= floor:
-        raise ValueError("one agreement alone could reach the floor; raise the floor or change the weights")
+#: Signals compared for equality. A name is a little like any other; an address agrees by its words.
+EQUAL = ("phone", "domain", "city", "category", "social")
+
+
+def agreements(weights: dict[str, float], floor: float) -> list[tuple[tuple[str, ...], float | None]]:
+    """The smallest sets of signals one of which every pair at the floor agrees in.
+
+    Each is (equal signals, least address score); None: the address is not needed.
+    """
+    total = lambda signals: weights["name"] + sum(weights[s] for s in signals)
+    sets = [frozenset(c) for n in range(len(EQUAL) + 1) for c in combinations(EQUAL, n)]
+    enough = [s for s in sets if total(s) >= floor]
+    with_address = [s for s in sets if total(s) < floor <= total(s) + weights["address"]]
+    if frozenset() in enough:
+        raise ValueError(f"a floor of {floor:g} can be reached by the name alone; no block finds all its pairs")
+    smallest = lambda family: [s for s in family if not any(o < s for o in family)]
+    out = [(tuple(k for k in EQUAL if k in s), None) for s in smallest(enough)]
+    for s in smallest(with_address):
+        most = max(total(o) for o in with_address if o >= s)
+        out.append((tuple(k for k in EQUAL if k in s), max((floor - most) / weights["address"], 1e-9)))
+    return out
 
 
 def profiles(df: DataFrame) -> DataFrame:
@@ -45,84 +61,110 @@ def profiles(df: DataFrame) -> DataFrame:
     })
 
 
-def _leading(words: Column, least: float) -> Column:
-    """Tokens two sets with Jaccard >= ``least`` cannot all differ in.
+def _rare_first(sides: list[DataFrame]) -> list[DataFrame]:
+    """``sides`` with their address words ordered from rare to common, as counted over both."""
+    words = [df.select("pid", F.explode("address_tokens").alias("w")) for df in sides]
+    counts = words[0].unionByName(words[1]).groupBy("w").agg(F.count(F.lit(1)).alias("c"))
+    out = []
+    for df, own in zip(sides, words):
+        ordered = own.join(counts, "w").groupBy("pid").agg(F.sort_array(F.collect_list(F.struct("c", "w"))).alias("_words"))
+        known = df.join(ordered, "pid", "left")
+        out.append(known.withColumn("address_tokens", F.coalesce(F.col("_words.w"), F.col("address_tokens"))).drop("_words"))
+    return out
 
-    Any fixed order works; long tokens first, as they are usually rarer.
-    """
-    ordered = F.transform(
-        F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))),
-        lambda s: s.getField("w"),
-    )
+
+def _leading(words: Column, least: float) -> Column:
+    """Words, in a fixed order, that two sets with Jaccard >= ``least`` cannot all differ in."""
     n = F.size(words)
-    return F.slice(ordered, F.lit(1), F.greatest(n - F.ceil(n * least).cast("int") + 1, F.lit(0)))
+    return F.slice(words, F.lit(1), F.greatest(n - F.ceil(n * least).cast("int") + 1, F.lit(0)))
+
 
+def _meaning(category: Column) -> Column:
+    return F.coalesce(F.try_element_at(literal_map(V.CATEGORY_SYNONYMS), F.lower(category)), F.lower(category))
 
-def _least_address_score(weights: dict[str, float], floor: float, with_key: str) -> float:
-    rest = weights[with_key] + weights["name"] + weights["city"] + weights["category"] + weights["social"]
-    return max((floor - rest) / weights["address"], 1e-9)
 
+def _key(kind: str, *parts: Column) -> Column:
+    """Null if a part is."""
+    return F.concat(F.lit(kind), *[x for c in (F.col("run_id"), *parts) for x in (F.lit("\x1f"), c)])
 
-def block_keys(weights: dict[str, float], floor: float) -> Column:
-    run, phone, domain, words = (F.col(c) for c in ("run_id", "normalized_phone", "website_domain", "address_tokens"))
 
-    def keys(kind: str, fixed: Column, least: float) -> Column:
-        return F.transform(_leading(words, least), lambda w: F.concat_ws("\x1f", run, F.lit(kind), fixed, w))
+def _with_word(kind: str, fixed: list[Column]):
+    return lambda w: _key(kind + "+address", *fixed, w)
 
+
+def block_keys(weights: dict[str, float], floor: float, reports: bool = False) -> Column:
+    """The blocks a profile is in; with ``reports`` also those of report_keys."""
+    value = {
+        "phone": F.col("normalized_phone"), "domain": F.col("website_domain"), "city": F.col("city"),
+        "category": _meaning(F.col("category")), "social": F.col("social"),
+    }
     none = F.array().cast("array<string>")
-    return F.concat(
-        F.when(phone.isNotNull() & domain.isNotNull(), F.array(F.concat_ws("\x1f", run, F.lit("pd"), phone, domain))).otherwise(none),
-        F.when(phone.isNotNull(), keys("pa", phone, _least_address_score(weights, floor, "phone"))).otherwise(none),
-        F.when(domain.isNotNull(), keys("da", domain, _least_address_score(weights, floor, "domain"))).otherwise(none),
+    keys = []
+    for signals, least in agreements(weights, floor):
+        fixed, kind = [value[s] for s in signals], "+".join(signals)
+        if least is None:
+            keys.append(F.array(_key(kind, *fixed)))
+        else:
+            keys.append(F.coalesce(F.transform(
+                _leading(F.col("address_tokens"), least), _with_word(kind, fixed)), none))
+    return F.array_compact(F.concat(*keys, *([report_keys()] if reports else [])))
+
+
+def report_keys() -> Column:
+    """Where the best candidate of an unmatched record is looked for: end of the phone, domain, category in a city, name's beginning in a city."""
+    c = F.col
+    return F.array(
+        _key("r:phone", F.substring("normalized_phone", -7, 7)), _key("r:domain", c("website_domain")),
+        _key("r:category", c("city"), _meaning(c("category"))), _key("r:name", c("city"), F.substring("normalized_name", 1, 4)),
     )
 
 
-def _split_hot(left: DataFrame, right: DataFrame, total: int, hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Spread the left rows of a hot block over parts; its right rows go to each part.
+def _split_hot(left: DataFrame, right: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Spread the rows of a hot block over parts, by the counts of both sides.
 
-    The number of hot keys is at most rows / threshold, so the lookup of parts
-    is broadcast with a proven bound.
+    A part meets every part of the other side. Keys that reach the threshold
+    number at most rows / threshold, so the lookup is broadcast with a proven bound.
     """
+    sizes = left.select("key", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
+        right.select("key", F.lit(0).alias("l"), F.lit(1).alias("r"))).groupBy("key").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    sizes = cut_lineage(sizes)
+    total = sizes.agg(F.sum(F.col("l") + F.col("r"))).first()[0] or 0
     threshold = max(hot_rows, total // MAX_HOT_KEYS + 1)
-    if total < threshold:
-        return left.withColumn("part", F.lit(0)), right.withColumn("part", F.lit(0))
-    hot = F.broadcast(
-        left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= threshold)
-        .select("key", F.ceil(F.col("n") / threshold).cast("int").alias("parts"))
-    )
-    parts = F.coalesce(F.col("parts"), F.lit(1))
-    spread = left.join(hot, "key", "left").withColumn("part", F.pmod(F.xxhash64("pid"), parts).cast("int"))
-    copied = right.join(hot, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return spread.drop("parts"), copied.drop("parts")
+    hot = F.broadcast(sizes.filter((F.col("l") >= threshold) | (F.col("r") >= threshold)).select(
+        "key", F.ceil(F.col("l") / threshold).cast("int").alias("lp"), F.ceil(F.col("r") / threshold).cast("int").alias("rp")))
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        mine, theirs = (F.greatest(F.lit(1), F.coalesce(F.col(c), F.lit(1))) for c in (own, other))
+        met = df.join(hot, "key", "left").withColumn("_theirs", theirs).withColumn(own, F.pmod(F.xxhash64("pid"), mine).cast("int"))
+        return met.withColumn(other, F.explode(F.sequence(F.lit(0), F.col("_theirs") - 1))).drop("_theirs")
+
+    return dealt(left, "lp", "rp"), dealt(right, "rp", "lp")
 
 
 def candidates(
-    left: DataFrame, right: DataFrame, weights: dict[str, float] | None = None, floor: float = FLOOR,
+    left: DataFrame, right: DataFrame, floor: float, weights: dict[str, float] | None = None, reports: bool = False,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Profile pairs that share a block, each once, as l_* and r_* columns."""
-    weights = weights or V.MATCH_WEIGHTS
-    check_floor(weights, floor)
-    blocked = [profiles(df).withColumn("keys", block_keys(weights, floor)) for df in (left, right)]
-    blocked[0] = cut_lineage(blocked[0])  # read three times below
-    total = blocked[0].agg(F.sum(F.size("keys"))).first()[0] or 0
-    a, b = _split_hot(*[df.withColumn("key", F.explode("keys")) for df in blocked], total, hot_rows)
+    keys = block_keys(weights or V.MATCH_WEIGHTS, floor, reports)
+    # each read by the counts and by the pairs
+    blocked = [cut_lineage(df.withColumn("keys", keys)) for df in _rare_first([profiles(left), profiles(right)])]
+    a, b = _split_hot(*[df.withColumn("key", F.explode("keys")) for df in blocked], hot_rows)
+    dealt = ("key", "lp", "rp")
     renamed = [
-        df.select("key", "part", *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in ("key", "part")])
-        for df, p in ((a, "l"), (b, "r"))
+        df.select(*dealt, *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in dealt]) for df, p in ((a, "l"), (b, "r"))
     ]
-    met = renamed[0].join(renamed[1], ["key", "part"])
+    met = renamed[0].join(renamed[1], list(dealt))
     # a pair meets once per shared block; it is kept at the first, without a distinct
     first = F.try_element_at(F.array_intersect("l_keys", "r_keys"), F.lit(1))
-    return met.filter(F.col("key") == first).drop("key", "part", "l_keys", "r_keys")
+    return met.filter(F.col("key") == first).drop(*dealt)
 
 
-def category_relation(a: Column, b: Column, parents: dict[str, str] | None = None) -> Column:
-    """EXACT, SYNONYM, PARENT_CHILD_COMPATIBLE, RELATED, CONFLICTING or UNKNOWN."""
+def category_relation(a: Column, b: Column, a_parent: Column | None = None, b_parent: Column | None = None) -> Column:
+    """EXACT, SYNONYM, PARENT_CHILD_COMPATIBLE, RELATED, CONFLICTING or UNKNOWN; the parents as with_parents attaches them."""
     meaning = literal_map(V.CATEGORY_SYNONYMS)
     ca, cb = F.try_element_at(meaning, F.lower(a)), F.try_element_at(meaning, F.lower(b))
-    up = literal_map(parents or {"": ""})
-    pa, pb = F.try_element_at(up, F.lower(a)), F.try_element_at(up, F.lower(b))
+    pa, pb = (F.lower(p) if p is not None else F.lit(None).cast("string") for p in (a_parent, b_parent))
     return (
         F.when(F.lower(a) == F.lower(b), F.lit("EXACT"))
         .when(ca == cb, F.lit("SYNONYM"))
@@ -133,6 +175,14 @@ def category_relation(a: Column, b: Column, parents: dict[str, str] | None = Non
     )
 
 
+def with_parents(pairs: DataFrame, tree: DataFrame, columns: tuple[str, ...] = ("l_category", "r_category")) -> DataFrame:
+    """``pairs`` with the parent of each of ``columns`` in ``tree`` (category, parent), as <column>_parent."""
+    for c in columns:
+        up = tree.select(F.lower("category").alias("_c"), F.col("parent").alias(f"{c}_parent"))
+        pairs = pairs.join(up, F.lower(c) == F.col("_c"), "left").drop("_c")
+    return pairs
+
+
 def signal_scores(pairs: DataFrame) -> DataFrame:
     """Seven scores between 0 and 1; a value missing on either side scores 0."""
     l, r = (lambda c: F.col(f"l_{c}")), (lambda c: F.col(f"r_{c}"))
@@ -165,13 +215,34 @@ def strong_identity() -> dict[str, Column]:
 
 
 def score_pairs(
-    left: DataFrame, right: DataFrame, weights: dict[str, float] | None = None, floor: float = FLOOR,
-    hot_rows: int = HOT_ROWS,
+    left: DataFrame, right: DataFrame, floor: float = V.MATCH_THRESHOLD - V.AMBIGUITY_MARGIN, weights: dict[str, float] | None = None,
+    reports: bool = False, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Every profile pair scoring at least ``floor``; scored where it is formed."""
-    scored = signal_scores(candidates(left, right, weights, floor, hot_rows))
-    scored = scored.withColumn("score", weighted_score(weights)).filter(F.col("score") >= floor)
-    return scored.withColumns(strong_identity())
+    """Every profile pair scoring at least ``floor``, scored where it is formed; with ``reports`` those in the report blocks too.
+
+    Decisions need a floor of their threshold less their margin or lower; it
+    travels as metadata of the score.
+    """
+    scored = signal_scores(candidates(left, right, floor, weights, reports, hot_rows)).withColumn("score", weighted_score(weights))
+    if reports:
+        scored = scored.filter((F.col("score") >= floor) | F.exists(F.array_intersect("l_keys", "r_keys"), lambda k: k.startswith("r:")))
+    else:
+        scored = scored.filter(F.col("score") >= floor)
+    known = scored.withMetadata("score", {"floor": float(floor)}).drop("l_keys", "r_keys")
+    return known.withColumns(strong_identity())
+
+
+def _profile_ids(rows: DataFrame) -> DataFrame:
+    """(id, run_id, pid) of every record."""
+    known = rows.select("id", *[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in COMPARED])
+    return known.select("id", "run_id", F.sha2(F.to_json(F.struct(*COMPARED), {"ignoreNullFields": "false"}), 256).alias("pid"))
+
+
+def record_pairs(scored: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of profiles as pairs of records, l_id and r_id: copies are scored once and all reported."""
+    a = _profile_ids(left).select(F.col("pid").alias("l_pid"), F.col("id").alias("l_id"))
+    b = _profile_ids(right).select(F.col("pid").alias("r_pid"), F.col("id").alias("r_id"))
+    return scored.join(a, "l_pid").join(b, "r_pid")
 
 
 def _best_two(scored: DataFrame, side: str, other: str) -> DataFrame:
@@ -202,25 +273,37 @@ def decide(threshold: Column, margin: float = V.AMBIGUITY_MARGIN) -> Column:
     )
 
 
+def _reason() -> Column:
+    return (
+        F.when(F.col("decision") == "MATCHED", F.lit(None).cast("string"))
+        .when(F.col("decision") == "AMBIGUOUS", F.lit("AMBIGUOUS_CANDIDATES"))
+        .when(F.col("best_score").isNull(), F.lit("NO_CANDIDATE")).otherwise(F.lit("BELOW_THRESHOLD"))
+    )
+
+
+def _refuse_below(floor: float | None, threshold: float, margin: float) -> None:
+    if floor is not None and threshold - margin < floor:
+        raise ValueError(f"pairs were scored down to {floor:g}; threshold {threshold:g} with margin {margin:g} needs {threshold - margin:g}")
+
+
 def decisions(
     side_rows: DataFrame, scored: DataFrame, side: str = "l", threshold: float = V.MATCH_THRESHOLD,
     margin: float = V.AMBIGUITY_MARGIN, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """One row per record of one side: best candidate, scores, decision, reason."""
+    """One row per record of one side: best candidate, scores, decision, reason.
+
+    Refused if ``scored`` does not reach down to the threshold less the margin.
+    """
+    floor = scored.schema["score"].metadata.get("floor")
+    _refuse_below(floor, threshold, margin)
     other = "r" if side == "l" else "l"
     best = _best_two(scored, side, other).withColumnRenamed(f"{side}_pid", "pid")
-    known = side_rows.select("id", *[F.col(c) if c in side_rows.columns else F.lit(None).cast("string").alias(c) for c in COMPARED])
-    keyed = known.select("id", "run_id", F.sha2(F.to_json(F.struct(*COMPARED), {"ignoreNullFields": "false"}), 256).alias("pid"))
     # copies share one profile, possibly very many of them
-    met = attach_per_key(keyed, best, "pid", "n", side_rows.count(), hot_rows, "left")
+    met = attach_per_key(_profile_ids(side_rows), best, "pid", "n", side_rows.count(), hot_rows, "left")
     out = met.drop("pid").withColumn("threshold", F.lit(float(threshold)))
-    out = out.withColumn("decision", decide(F.col("threshold"), margin))
-    return out.withColumn(
-        "reason",
-        F.when(F.col("decision") == "MATCHED", F.lit(None).cast("string"))
-        .when(F.col("decision") == "AMBIGUOUS", F.lit("AMBIGUOUS_CANDIDATES"))
-        .when(F.col("best_score").isNull(), F.lit("NO_CANDIDATE")).otherwise(F.lit("BELOW_THRESHOLD")),
-    )
+    if floor is not None:
+        out = out.withMetadata("best_score", {"floor": floor})
+    return out.withColumn("decision", decide(F.col("threshold"), margin)).withColumn("reason", _reason())
 
 
 def resolve_conflicts(decided: DataFrame) -> DataFrame:
@@ -245,9 +328,10 @@ def explain(weights: dict[str, float] | None = None) -> Column:
 
 
 def rematch(decided: DataFrame, threshold: float, evaluation: str, margin: float = V.AMBIGUITY_MARGIN) -> DataFrame:
-    """A new evaluation of stored scores; the earlier one stays as it is."""
+    """A new evaluation of stored scores; the earlier one stays as it is. Refused below what was scored."""
+    _refuse_below(decided.schema["best_score"].metadata.get("floor"), threshold, margin)
     again = decided.withColumn("threshold", F.lit(float(threshold)))
-    return again.withColumn("decision", decide(F.col("threshold"), margin)).withColumn("evaluation", F.lit(evaluation))
+    return again.withColumn("decision", decide(F.col("threshold"), margin)).withColumn("reason", _reason()).withColumn("evaluation", F.lit(evaluation))
 
 
 def pair_distance(pairs: DataFrame) -> DataFrame:

@@ -118,20 +118,23 @@ _NAME_WORD = """CASE {k} % 6 WHEN 0 THEN 'royal cuts salon' WHEN 1 THEN 'hair ca
 
 
 def _side(key: str, nation: str, table: str, right: bool) -> str:
-    k = key
+    k = "k"
     shown = f"CASE WHEN {k} % 4 = 1 THEN 'the ' ELSE '' END" if right else "''"
     road = "'rd'" if right else "'road'"
+    # some records are copies of others under ids of their own
     return f"""
-SELECT {_s(k)} AS id, 'run_' || {_s(f'{k} % 3')} AS run_id,
+SELECT {_s(f'{k} + shift')} AS id, 'run_' || {_s(f'{k} % 3')} AS run_id,
   {shown} || {_NAME_WORD.format(k=k)} || ' ' || {_s(k)} AS normalized_name,
   CASE WHEN {k} % 5 = {1 if right else 0} THEN NULL ELSE '+91982' || lpad({_s(k)}, 7, '0') END AS normalized_phone,
   CASE WHEN {k} % 7 = {1 if right else 0} THEN NULL ELSE 'shop' || {_s(f'{k} % 60')} || '.example.com' END AS website_domain,
   {_s(f'{k} % 90')} || ' mg ' || {road} || ', ' || CASE WHEN {k} % 3 = 0 THEN 'west wing' ELSE 'bandra' END AS address,
-  lower({_CITY.format(k=nation if not right else k)}) AS city, {_s(f'400001 + {k} % 25')} AS postal_code,
-  CASE {k} % 4 WHEN 0 THEN 'hairdresser' WHEN 1 THEN 'salon' WHEN 2 THEN 'garage' ELSE 'car dealer' END AS category,
+  lower({_CITY.format(k='n' if not right else k)}) AS city, {_s(f'400001 + {k} % 25')} AS postal_code,
+  CASE {k} % {7 if right else 6} WHEN 0 THEN 'hairdresser' WHEN 1 THEN 'salon' WHEN 2 THEN 'garage' WHEN 3 THEN 'car dealer' WHEN 4 THEN 'kiosk' ELSE 'tyre shop' END AS category,
   CASE WHEN {k} % 3 = 0 THEN 'instagram.com/shop' || {_s(k)} END AS social,
   CAST(19.0 + ({k} % 1000) / 1000.0 AS DOUBLE) AS latitude, CAST(72.0 + ({k} % {9 if right else 11}) / 100.0 AS DOUBLE) AS longitude
-FROM {table}
+FROM (SELECT {key} AS k, {nation} AS n, 0 AS shift FROM {table}
+  UNION ALL SELECT {key}, {nation}, 10000000 FROM {table} WHERE {key} % 50 = 7
+  UNION ALL SELECT {key}, {nation}, 20000000 FROM {table} WHERE {key} % 100 = 7) base
 """
 
 

@@ -21,6 +21,9 @@ def _over(tail: str, *views: str, ctes: str = "") -> str:
 
 # --- matching: customers against suppliers, by brute force on the checking side ------
 
+# the lowest threshold asked for below is 60, with a margin of 5
+FLOOR = 55.0
+
 _TOKENS = "list_distinct(list_filter(string_split_regex(lower({x}), '[^a-z0-9]+'), lambda w: w <> ''))"
 _SPELLED = "CASE w " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.STREET_ABBREVIATIONS.items()) + " ELSE w END"
 _MEANING = "CASE {x} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.CATEGORY_SYNONYMS.items()) + " END"
@@ -40,9 +43,11 @@ pairs AS MATERIALIZED (SELECT l.run_id, l.id AS l_id, r.id AS r_id, l.category A
   CAST({_EQ.format(c='normalized_phone')} AS DOUBLE) AS phone_score, CAST({_EQ.format(c='website_domain')} AS DOUBLE) AS domain_score,
   CAST(greatest({_JACCARD.format(a='l.nt', b='r.nt')}, {_LEV}) AS DOUBLE) AS name_score, CAST({_JACCARD.format(a='l.at_', b='r.at_')} AS DOUBLE) AS address_score,
   CAST({_EQ.format(c='city')} AS DOUBLE) AS city_score, CAST(CASE WHEN l.category = r.category THEN 1.0 WHEN l.meaning = r.meaning THEN 0.8 ELSE 0.0 END AS DOUBLE) AS category_score,
-  CAST({_EQ.format(c='social')} AS DOUBLE) AS social_score FROM a l JOIN b r ON l.run_id = r.run_id),
+  CAST({_EQ.format(c='social')} AS DOUBLE) AS social_score,
+  coalesce(right(l.normalized_phone, 7) = right(r.normalized_phone, 7), FALSE) OR coalesce(l.website_domain = r.website_domain, FALSE)
+    OR coalesce(l.city = r.city AND (left(l.normalized_name, 4) = left(r.normalized_name, 4) OR coalesce(l.meaning, l.category) = coalesce(r.meaning, r.category)), FALSE) AS near FROM a l JOIN b r ON l.run_id = r.run_id),
 weighted AS MATERIALIZED (SELECT *, round(25 * phone_score + 20 * domain_score + 20 * name_score + 20 * address_score + 5 * city_score + 5 * category_score + 5 * social_score, 6) AS score FROM pairs),
-scored AS MATERIALIZED (SELECT * FROM weighted WHERE score >= 65)"""
+scored AS MATERIALIZED (SELECT * FROM weighted WHERE score >= {FLOOR} OR near)"""
 
 
 def _decided(side: str, other: str, source: str, threshold: float = 80) -> str:
@@ -64,12 +69,14 @@ def sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    return matching.score_pairs(*sides(spark, sf))
+    """Pairs of records with all their columns."""
+    left, right = sides(spark, sf)
+    return matching.record_pairs(matching.score_pairs(left, right, FLOOR, reports=True), left, right)
 
 
 def decided(spark: SparkSession, sf: str, side: str = "l") -> DataFrame:
     left, right = sides(spark, sf)
-    return matching.decisions(left if side == "l" else right, matching.score_pairs(left, right), side)
+    return matching.decisions(left if side == "l" else right, matching.score_pairs(left, right, FLOOR, reports=True), side)
 
 
 _SCORES = ["phone_score", "domain_score", "name_score", "address_score", "city_score", "category_score", "social_score"]
@@ -79,7 +86,7 @@ _SCORES = ["phone_score", "domain_score", "name_score", "address_score", "city_s
     "SELECT run_id, l_id, r_id, " + ", ".join(f"round({s}, 6) AS {s}" for s in _SCORES) + ", score FROM scored", *_SIDES, ctes=_SCORED))
 def match_candidates_scored(spark: SparkSession, sf: str) -> DataFrame:
     return scored(spark, sf).select(
-        F.col("l_run_id").alias("run_id"), F.col("l_first_id").alias("l_id"), F.col("r_first_id").alias("r_id"),
+        F.col("l_run_id").alias("run_id"), "l_id", "r_id",
         *[F.round(s, 6).alias(s) for s in _SCORES], "score")
 
 
@@ -94,7 +101,7 @@ def address_tokens_spelled_out(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT l_id, r_id, phone_score = 1 AND city_score = 1 AS strong_phone, domain_score = 1 AND name_score >= 0.8 AS strong_domain FROM scored", *_SIDES, ctes=_SCORED))
 def strong_identities(spark: SparkSession, sf: str) -> DataFrame:
     return scored(spark, sf).select(
-        F.col("l_first_id").alias("l_id"), F.col("r_first_id").alias("r_id"), "strong_phone", "strong_domain")
+        "l_id", "r_id", "strong_phone", "strong_domain")
 
 
 @query("match_decisions", "M-6", _over("SELECT id, run_id, best_id, best_score, second_score, decision FROM decided_l", *_SIDES, ctes=f"{_SCORED}, {_LEFT_DECIDED}"))
@@ -117,7 +124,7 @@ _LINES = " || '; ' || ".join(
     f"SELECT l_id, r_id, {_LINES} || '; ' || printf('total = %.2f%%', score) AS explanation FROM scored", *_SIDES, ctes=_SCORED))
 def match_explanations(spark: SparkSession, sf: str) -> DataFrame:
     return scored(spark, sf).select(
-        F.col("l_first_id").alias("l_id"), F.col("r_first_id").alias("r_id"), matching.explain().alias("explanation"))
+        "l_id", "r_id", matching.explain().alias("explanation"))
 
 
 @query("unmatched_listings", "M-9", _over(
@@ -132,10 +139,27 @@ def unmatched_platform_records(spark: SparkSession, sf: str) -> DataFrame:
     return decided(spark, sf, "r").filter("decision <> 'MATCHED'").select("id", "best_id", "best_score", "threshold", "reason")
 
 
-@query("rematch_at_new_threshold", "M-10", _over(
-    "SELECT id, threshold, decision, 'second' AS evaluation FROM decided_l", *_SIDES, ctes=f"{_SCORED}, {_decided('l', 'r', 'v_left', 90)}"))
+def _rematched(threshold: int) -> str:
+    return _over("SELECT id, threshold, decision, reason, 'second' AS evaluation FROM decided_l", *_SIDES, ctes=f"{_SCORED}, {_decided('l', 'r', 'v_left', threshold)}")
+
+
+def _rematch(spark: SparkSession, sf: str, threshold: int) -> DataFrame:
+    return matching.rematch(decided(spark, sf), threshold, "second").select("id", "threshold", "decision", "reason", "evaluation")
+
+
+@query("rematch_at_new_threshold", "M-10", _rematched(95))
 def rematch_at_new_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    return matching.rematch(decided(spark, sf), 90, "second").select("id", "threshold", "decision", "evaluation")
+    return _rematch(spark, sf, 95)
+
+
+@query("rematch_at_70", "M-10", _rematched(70))
+def rematch_at_70(spark: SparkSession, sf: str) -> DataFrame:
+    return _rematch(spark, sf, 70)
+
+
+@query("rematch_at_60", "M-10", _rematched(60))
+def rematch_at_60(spark: SparkSession, sf: str) -> DataFrame:
+    return _rematch(spark, sf, 60)
 
 
 _HAV = "round(2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(r.latitude - l.latitude) / 2), 2) + cos(radians(l.latitude)) * cos(radians(r.latitude)) * pow(sin(radians(r.longitude - l.longitude) / 2), 2)))), 3)"
@@ -168,13 +192,20 @@ def selected_platforms(spark: SparkSession, sf: str) -> DataFrame:
     return platforms.select_platforms(requests, view(spark, sf, "v_mappings"), manual, view(spark, sf, "v_platforms"))
 
 
+_PARENT = "CASE category WHEN 'garage' THEN 'car dealer' WHEN 'tyre shop' THEN 'vehicles' WHEN 'car dealer' THEN 'vehicles' WHEN 'kiosk' THEN 'Tyre Shop' END"
+
+
 @query("category_relations", "P-2", _over(f"""
 SELECT CASE WHEN l_category = r_category THEN 'EXACT' WHEN {_MEANING.format(x='l_category')} = {_MEANING.format(x='r_category')} THEN 'SYNONYM'
+  WHEN lower(lt.parent) = r_category OR lower(rt.parent) = l_category THEN 'PARENT_CHILD_COMPATIBLE' WHEN lt.parent = rt.parent THEN 'RELATED'
   WHEN {_MEANING.format(x='l_category')} IS NOT NULL AND {_MEANING.format(x='r_category')} IS NOT NULL THEN 'CONFLICTING' ELSE 'UNKNOWN' END AS relation,
-  count(*) AS pairs FROM scored GROUP BY 1""", *_SIDES, ctes=_SCORED))
+  count(*) AS pairs FROM scored LEFT JOIN tree lt ON lt.category = l_category LEFT JOIN tree rt ON rt.category = r_category GROUP BY 1""", *_SIDES,
+                                            ctes=f"{_SCORED}, tree AS (SELECT DISTINCT category, {_PARENT} AS parent FROM v_left)"))
 def category_relations(spark: SparkSession, sf: str) -> DataFrame:
-    relation = matching.category_relation(F.col("l_category"), F.col("r_category"))
-    return scored(spark, sf).groupBy(relation.alias("relation")).agg(F.count(F.lit(1)).alias("pairs"))
+    tree = view(spark, sf, "v_left").select("category", F.expr(_PARENT).alias("parent")).distinct()
+    pairs = matching.with_parents(scored(spark, sf), tree)
+    relation = matching.category_relation(*[F.col(c) for c in ("l_category", "r_category", "l_category_parent", "r_category_parent")])
+    return pairs.groupBy(relation.alias("relation")).agg(F.count(F.lit(1)).alias("pairs"))
 
 
 @query("category_tree_totals", "P-3", """

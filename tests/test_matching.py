@@ -33,21 +33,42 @@ def brute(left, right):
     a, b = matching.profiles(left), matching.profiles(right)
     pairs = a.select([F.col(c).alias(f"l_{c}") for c in a.columns]).join(
         b.select([F.col(c).alias(f"r_{c}") for c in b.columns]), F.col("l_run_id") == F.col("r_run_id"))
-    return matching.signal_scores(pairs).withColumn("score", matching.weighted_score()).filter(F.col("score") >= matching.FLOOR)
+    return matching.signal_scores(pairs).withColumn("score", matching.weighted_score())
 
 
-@pytest.mark.parametrize("hot", [1_000_000, 3])
-def test_blocks_are_complete(spark, hot):
+@pytest.mark.parametrize("floor,hot", [(75, 1_000_000), (65, 3), (55, 1_000_000), (40, 5), (25, 1_000_000)])
+def test_blocks_are_complete(spark, floor, hot):
     left, right = (spark.createDataFrame(businesses(s, 120, o), SCHEMA) for s, o in ((1, 0), (2, 500)))
     key = lambda df: sorted((r["l_first_id"], r["r_first_id"], r["score"]) for r in df.collect())
-    got = key(matching.score_pairs(left, right, hot_rows=hot))
-    assert got == key(brute(left, right)) and len(got) > 50
+    got = key(matching.score_pairs(left, right, floor, hot_rows=hot))
+    assert got == key(brute(left, right).filter(F.col("score") >= floor)) and len(got) > 10
 
 
-def test_weights_that_break_the_blocks_are_refused(spark):
+def test_a_floor_without_blocks_is_refused(spark):
     left = spark.createDataFrame(businesses(1, 3), SCHEMA)
     with pytest.raises(ValueError):
-        matching.score_pairs(left, left, floor=50)
+        matching.score_pairs(left, left, floor=20)
+
+
+def test_thresholds_below_what_was_scored_are_refused(spark):
+    left = spark.createDataFrame(businesses(1, 3), SCHEMA)
+    scored = matching.score_pairs(left, left, floor=75)
+    with pytest.raises(ValueError):
+        matching.decisions(left, scored, threshold=70)
+    decided = matching.decisions(left, scored)
+    with pytest.raises(ValueError):
+        matching.rematch(decided, 60, "second")
+    assert matching.rematch(decided, 95, "second").count() == 3
+
+
+def test_low_thresholds_find_their_pairs(spark):
+    one = ("r", "royal cuts", "p", "d1", None, "c", "salon", "s")
+    left = spark.createDataFrame([("l", *one)], SCHEMA)
+    right = spark.createDataFrame([("x", "r", "royal cuts", "p", "d2", None, "c", "salon", "s")], SCHEMA)
+    out = matching.decisions(left, matching.score_pairs(left, right, 55), threshold=60).first()
+    assert (out["best_score"], out["decision"], out["reason"]) == (60.0, "MATCHED", None)
+    again = matching.rematch(matching.decisions(left, matching.score_pairs(left, right, 55), threshold=80), 60, "second").first()
+    assert (again["decision"], again["reason"]) == ("MATCHED", None)
 
 
 def test_golden_score(spark):
@@ -71,7 +92,7 @@ def test_copies_tie_and_are_compared_once(spark):
     left = spark.createDataFrame([one[:0] + (f"l{i}",) + one[1:] for i in range(40)], SCHEMA)
     right = spark.createDataFrame([(f"r{i}",) + one[1:] for i in range(2)], SCHEMA)
     scored = matching.score_pairs(left, right)
-    assert scored.count() == 1
+    assert scored.count() == 1 and matching.record_pairs(scored, left, right).select("l_id", "r_id").distinct().count() == 80
     out = matching.decisions(left, scored, hot_rows=5).collect()
     assert len(out) == 40 and {(r["decision"], r["best_id"]) for r in out} == {("AMBIGUOUS", "r0")}
 
@@ -88,6 +109,6 @@ def test_one_listing_is_matched_once(spark):
     ("beauty", "spa", "PARENT_CHILD_COMPATIBLE"), ("nail salon", "spa", "RELATED"), ("x", "y", "UNKNOWN"),
 ])
 def test_category_relation(spark, a, b, relation):
-    parents = {"spa": "beauty", "nail salon": "beauty"}
-    df = spark.createDataFrame([(a, b)], "a string, b string")
-    assert df.select(matching.category_relation(F.col("a"), F.col("b"), parents)).first()[0] == relation
+    tree = spark.createDataFrame([("spa", "Beauty"), ("nail salon", "beauty")], "category string, parent string")
+    df = matching.with_parents(spark.createDataFrame([(a, b)], "a string, b string"), tree, ("a", "b"))
+    assert df.select(matching.category_relation(*map(F.col, ("a", "b", "a_parent", "b_parent")))).first()[0] == relation
