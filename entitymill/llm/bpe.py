@@ -26,7 +26,7 @@ _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _BEYOND_LATIN = re.compile("[^\0-\u024f]")
 _SIGMA, _SIGMA_LOW = "\u03a3", "\u03c3"
 #: Characters of text that are indexed together; bounds a task's memory, results do not depend on it.
-PART_CHARS = 8_000_000
+PART_CHARS = 4_000_000
 
 
 def byte_letters() -> list[str]:
@@ -66,6 +66,14 @@ class WordBpe:
     def tokens(self) -> dict[int, str]:
         return {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
 
+    @cached_property
+    def names(self) -> tuple[np.ndarray, bool]:
+        """Tokens by id, and whether an id up to the largest has none."""
+        out = np.full(max(self.tokens) + 1, None, object)
+        for i, token in self.tokens.items():
+            out[i] = token
+        return out, len(self.tokens) < len(out)
+
     @cached_property
     def _symbols(self) -> tuple[list[int], list[int]]:
         """Ids of each byte inside a word and at its end."""
@@ -120,17 +128,19 @@ class WordBpe:
         """The ids of all words in one array, and how many each word has."""
         inside, last = self._symbols
         raw = [w.encode() for w in words]
-        symbols = np.array(inside, np.int64)[np.frombuffer(b"".join(raw), np.uint8)]
+        symbols = np.array(inside, np.int32)[np.frombuffer(b"".join(raw), np.uint8)]
         ends = np.cumsum([len(w) for w in raw])
-        symbols[ends - 1] = np.array(last, np.int64)[np.frombuffer(bytes(w[-1] for w in raw), np.uint8)]
+        symbols[ends - 1] = np.array(last, np.int32)[np.frombuffer(bytes(w[-1] for w in raw), np.uint8)]
         alive = PairIndex(symbols, ends, *self.merges).apply()
         return symbols[alive], np.add.reduceat(alive.astype(np.int64), np.concatenate(([0], ends[:-1])))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and where each text ends; every different word of ``texts`` is encoded once."""
-        split = [self.words(t) for t in texts]
+        # words are packed text by text, so that those of one text at a time are Python strings
+        split = [pa.array(self.words(t), pa.string()) for t in texts]
         n_words = np.fromiter(map(len, split), np.int64, len(split))
-        coded = pa.array([w for ws in split for w in ws], pa.string()).dictionary_encode()
+        coded = pa.concat_arrays(split).dictionary_encode() if split else pa.array([], pa.string()).dictionary_encode()
+        del split
         word, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
         if not distinct:
             return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
@@ -143,7 +153,7 @@ class WordBpe:
             ids[start[k]] = i
         per = count[word]
         ends = np.cumsum(per)
-        flat = ids[np.repeat(start[word] - (ends - per), per) + np.arange(per.sum())].astype(np.int32)
+        flat = ids[np.repeat(start[word] - (ends - per), per) + np.arange(per.sum())]
         return flat, np.concatenate(([0], ends))[np.cumsum(n_words)]
 
 
@@ -153,19 +163,19 @@ class PairIndex:
     def __init__(self, symbols: np.ndarray, ends: np.ndarray, codes: np.ndarray, ranks: np.ndarray, made: np.ndarray):
         n = len(symbols)
         self.symbols, self.codes, self.ranks, self.made = symbols, codes, ranks, made
-        self.next, self.prev = np.arange(1, n + 1), np.arange(-1, n - 1)
+        self.next, self.prev = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         self.next[ends - 1] = -1
         self.prev[np.concatenate(([0], ends[:-1]))] = -1
         self.alive = np.ones(n, bool)
         self.lists: dict[int, list[np.ndarray]] = {}
         self.active: list[int] = []
-        self._add(np.flatnonzero(self.next >= 0))
+        self._add(np.flatnonzero(self.next >= 0).astype(np.int32))
 
     def _add(self, left: np.ndarray) -> None:
         """Index the pairs that begin at ``left``."""
         if not len(left):
             return
-        code = self.symbols[left] << 32 | self.symbols[self.next[left]]
+        code = self.symbols[left].astype(np.int64) << 32 | self.symbols[self.next[left]]
         at = np.searchsorted(self.codes, code)
         at[at == len(self.codes)] = 0
         known = self.codes[at] == code
@@ -228,8 +238,45 @@ def _parts(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def _schema(df: DataFrame, name: str, kind: str) -> str:
-    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"`{name}` {kind}"])
+def _ids_of(part: pa.Array, bpe: WordBpe) -> pa.ListArray:
+    flat, ends = bpe.encode(part.to_pylist())
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat, pa.int32()))
+
+
+def _texts_of(lists: pa.ListArray, bpe: WordBpe) -> pa.Array:
+    names, gaps = bpe.names
+    texts = []
+    for one in lists:
+        if not one.is_valid:
+            texts.append(None)
+            continue
+        i = one.values.to_numpy(zero_copy_only=False)
+        inside = (i >= 0) & (i < len(names))
+        found = names[i if inside.all() else i[inside]].tolist()
+        texts.append(" ".join([t for t in found if t is not None] if gaps else found))
+    return pa.array(texts, pa.string())
+
+
+def _coded(docs: DataFrame, bpe: WordBpe, text: str, ids: str, decoded: str | None, part_chars: int) -> DataFrame:
+    """``docs`` without columns of the new names, and these: ids of the text, and if asked for the text they decode to."""
+    new = [ids] + [decoded] * (decoded is not None)
+    kept = docs.drop(*[n for n in new if n != text])
+    if text in new:
+        kept = kept.withColumnRenamed(text, "_text")
+        text = "_text"
+    at = kept.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in _parts(batch.column(at), part_chars):
+                part = batch.slice(a, b - a)
+                lists = _ids_of(part.column(at), bpe)
+                texts = [_texts_of(lists, bpe)] if decoded is not None else []
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, *texts], names=[*part.schema.names, *new])
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields]
+    out = kept.mapInArrow(run, ", ".join([*kinds, f"`{ids}` array<int>", *[f"`{decoded}` string"] * (decoded is not None)]))
+    return out.drop("_text") if text == "_text" else out
 
 
 def encode(docs: DataFrame, bpe: WordBpe, text: str = "text", out: str = "ids", part_chars: int = PART_CHARS) -> DataFrame:
@@ -238,19 +285,12 @@ def encode(docs: DataFrame, bpe: WordBpe, text: str = "text", out: str = "ids",
     Special tokens written in a text are recognised, none are added. Rows stay
     where they are: no shuffle.
     """
-    kept = docs.drop(out) if out != text else docs.drop(text).withColumn("_text", docs[text])
-    text = "_text" if out == text else text
-    at = kept.columns.index(text)
+    return _coded(docs, bpe, text, out, None, part_chars)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in _parts(batch.column(at), part_chars):
-                part = batch.slice(a, b - a)
-                flat, ends = bpe.encode(part.column(at).to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, out])
 
-    return kept.mapInArrow(run, _schema(kept, out, "array<int>"))
+def round_trip(docs: DataFrame, bpe: WordBpe, text: str = "text", ids: str = "ids", decoded: str = "decoded", part_chars: int = PART_CHARS) -> DataFrame:
+    """encode, and decode what it made, in one pass."""
+    return _coded(docs, bpe, text, ids, decoded, part_chars)
 
 
 def decode(docs: DataFrame, bpe: WordBpe, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -258,35 +298,22 @@ def decode(docs: DataFrame, bpe: WordBpe, ids: str = "ids", out: str = "decoded"
 
     An id outside the vocabulary stands for nothing.
     """
-    kept = docs.drop(out) if out != ids else docs
-    at = kept.columns.index(ids)
+    kept = docs.drop(out) if out != ids else docs.withColumnRenamed(ids, "_ids")
+    at = kept.columns.index(ids if out != ids else "_ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.full(max(bpe.tokens) + 1, None, object)
-        for i, token in bpe.tokens.items():
-            names[i] = token
-        gaps = len(bpe.tokens) < len(names)
         for batch in batches:
-            lists = batch.column(at)
-            texts = []
-            for one in lists:
-                if not one.is_valid:
-                    texts.append(None)
-                    continue
-                i = one.values.to_numpy(zero_copy_only=False)
-                inside = (i >= 0) & (i < len(names))
-                found = names[i if inside.all() else i[inside]].tolist()
-                texts.append(" ".join([t for t in found if t is not None] if gaps else found))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _texts_of(batch.column(at), bpe)], names=[*batch.schema.names, out])
 
-    return kept.mapInArrow(run, _schema(kept, out, "string"))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields]
+    return kept.mapInArrow(run, ", ".join([*kinds, f"`{out}` string"])).drop("_ids")
 
 
 def digests(docs: DataFrame, bpe: WordBpe, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: every text encoded, then decoded from its ids."""
-    both = decode(encode(docs.select(doc_id, text), bpe, text, "ids").select(doc_id, "ids"), bpe, "ids", "decoded")
+    both = round_trip(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_body")), bpe, "_body")
     return both.select(
-        F.col(doc_id).alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

@@ -118,7 +118,9 @@ def _started(docs: DataFrame, length: int, first: int) -> DataFrame:
                     found.append(found[0])
                     continue
                 short = Windows(words).hashes(first)
-                found.append(np.sort(_signed(short[np.unique(anchors(short, width))])))
+                # what matters is whether a hash is there once or more often, so twice is enough
+                values, n = np.unique(_signed(short[np.unique(anchors(short, width))]), return_counts=True)
+                found.append(np.repeat(values, np.minimum(n, 2)))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(list(map(len, found))), pa.int32()), pa.array(np.concatenate(found)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(k) for k in keys] + [pa.array(n_words, pa.int64()), pa.array(shas), lists], names=[*keys, "n_words", "kept_sha256", "_anchors"])
@@ -213,7 +215,7 @@ def without_repeats(docs: DataFrame, key: list[Column], text: str = "text", leng
     keys = [c for c in narrow.columns if c not in ("_text", "_k1", "_k2")]
     sizes = levels(length, first)
     rows = cut_lineage(_started(narrow, length, sizes[0]))
-    spots = rows.select("_k1", "_k2", F.explode("_anchors").alias("anchor")).withColumn("_n", F.lit(1).cast("long"))
+    spots = rows.select("_k1", "_k2", F.explode("_anchors").alias("anchor"), F.lit(1).cast("long").alias("_n"))
     alive = cut_lineage(_alive(spots, ["anchor"], "anchor"))
     texts = _texts(narrow.select("_k1", "_k2", "_text"))
     for k, size in enumerate(sizes[1:-1], 1):
