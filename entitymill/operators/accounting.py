@@ -46,11 +46,12 @@ def apply_limit(outcomes: DataFrame, runs: DataFrame, **kw: int) -> DataFrame:
 
     The record that reaches the limit is the last one; later ones were never
     attempted. Decisions depend on earlier records only, so cutting after
-    resolution equals stopping during it.
+    resolution equals stopping during it. A run that ``runs`` does not have, or
+    has without a limit, is attempted to its end.
     """
     limits = runs.select("run_id", "requested_limit")
     seen = running_sums(outcomes, "run_id", "seq", {"_before": _is(SAVED)}, inclusive=False, per_key=limits, **kw)
-    return seen.filter(F.col("_before") < F.col("requested_limit")).drop(
+    return seen.filter(F.col("requested_limit").isNull() | (F.col("_before") < F.col("requested_limit"))).drop(
         "_before", "requested_limit"
     )
 

@@ -11,8 +11,16 @@ from entitymill.functions.text import blank_to_null
 
 
 def list_runs(runs: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
-    limit = min(max(limit, 1), 100)
-    return runs.orderBy(F.desc("created_at"), F.desc("run_id")).offset(max(offset, 0)).limit(limit)
+    """Newest first; a limit outside 1 to 100 or an offset below 0 is refused."""
+    if not 1 <= limit <= 100:
+        raise ValueError(f"limit {limit} is not between 1 and 100")
+    if offset < 0:
+        raise ValueError(f"offset {offset} is below 0")
+    return _newest(runs).offset(offset).limit(limit)
+
+
+def _newest(runs: DataFrame) -> DataFrame:
+    return runs.orderBy(F.desc("created_at"), F.desc("run_id"))
 
 
 def count_runs(runs: DataFrame) -> DataFrame:
@@ -99,7 +107,8 @@ def known_ids(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def dashboard(runs: DataFrame, latest: int = 50) -> DataFrame:
-    recent = list_runs(runs, latest)
+    """Totals of the ``latest`` runs, as many as asked for."""
+    recent = _newest(runs).limit(latest)
     return recent.agg(
         F.count(F.lit(1)).alias("total_runs"),
         F.count_if(F.col("status").isin("COMPLETED", "PARTIAL")).alias("completed_runs"),

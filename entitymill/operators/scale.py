@@ -21,7 +21,7 @@ def running_sums(
     ``order`` is a whole number, unique within its key. Its ranges of ``chunk``
     values bound what a task sorts, however many rows one key has: pass one
     totals the ranges, pass two adds each range's start to a window inside it.
-    Columns of ``per_key`` (one row per key; other keys drop out) ride along
+    Columns of ``per_key`` (one row per key; null for other keys) ride along
     with the starts, so they never cause a shuffle of rows by the bare key.
     """
     ranged = df.withColumn("_chunk", _chunk_start(order, chunk))
@@ -32,7 +32,7 @@ def running_sums(
         *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums],
     )
     if per_key is not None:
-        starts = starts.join(per_key, key)
+        starts = starts.join(per_key, key, "left")
     inside = Window.partitionBy(key, "_chunk").orderBy(order).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1
     )

@@ -48,3 +48,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialize ``df`` on reliable storage and restart its plan from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether something is stored there, in any file system Spark reads; other errors are raised."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

@@ -1,16 +1,13 @@
-"""Evidence of the latest completed run: nested export, flat sections, load."""
+"""Evidence of the latest completed run: export side by side, read back; documents of others."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from entitymill import schemas
 from entitymill.operators.browse import latest_completed
 
-# A nested document is one row; beyond this many children the sections are
-# written side by side instead. Requested limits end at 1,000 businesses.
-MAX_NESTED_CHILDREN = 20_000
-
 SOURCE_COLUMNS = [
     "id", "run_id", "source_type", "external_id", "raw_name", "raw_address", "raw_phone",
     "raw_rating", "raw_review_count", "scraped_at",
@@ -33,34 +30,38 @@ def evidence_header(runs: DataFrame, businesses: DataFrame, provenance: DataFram
     )
 
 
-def export_evidence(
-    runs: DataFrame, businesses: DataFrame, provenance: DataFrame, sources: DataFrame, path: str,
-    max_nested: int = MAX_NESTED_CHILDREN,
-) -> str:
-    """Write the evidence; returns ``nested`` or ``sections`` for what was written."""
+def export_evidence(runs: DataFrame, businesses: DataFrame, provenance: DataFrame, sources: DataFrame, path: str) -> bool:
+    """Write header, businesses and source records as one folder each; False without a completed run.
+
+    Child rows are written where they are, one line each, whatever the size of the run.
+    """
     header = evidence_header(runs, businesses, provenance, sources)
     found = header.first()
     if found is None:
-        return "none"
+        return False
     of_run = lambda df: df.filter(F.col("run_id") == found["run_id"])
-    biz = of_run(businesses).select(*schemas.BUSINESS_COLUMNS)
-    src = of_run(sources).select(*SOURCE_COLUMNS)
-    if found["businesses_count"] + found["source_records_count"] > max_nested:
-        header.write.mode("overwrite").json(f"{path}/header")
-        biz.write.mode("overwrite").json(f"{path}/businesses")
-        src.write.mode("overwrite").json(f"{path}/source_records")
-        return "sections"
-    lists = [
-        df.groupBy("run_id").agg(F.collect_list(F.struct(*df.columns)).alias(name))
-        for name, df in (("businesses", biz), ("source_records", src))
-    ]
-    doc = header.join(lists[0], "run_id", "left").join(lists[1], "run_id", "left").drop("run_id")
-    doc.coalesce(1).write.mode("overwrite").json(path)
-    return "nested"
+    header.drop("run_id").write.mode("overwrite").json(f"{path}/header")
+    of_run(businesses).select(*schemas.BUSINESS_COLUMNS).write.mode("overwrite").json(f"{path}/businesses")
+    of_run(sources).select(*SOURCE_COLUMNS).write.mode("overwrite").json(f"{path}/source_records")
+    return True
+
+
+def _parts() -> tuple[StructType, StructType, StructType]:
+    """Schemas of header, businesses and source records."""
+    whole = StructType.fromDDL(schemas.EVIDENCE)
+    header = StructType([f for f in whole.fields if not isinstance(f.dataType, ArrayType)])
+    return header, whole["businesses"].dataType.elementType, whole["source_records"].dataType.elementType
 
 
 def load_evidence(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(header, businesses, source_records) of a nested evidence document."""
+    """(header, businesses, source_records) of what export_evidence wrote."""
+    names = ("header", "businesses", "source_records")
+    header, businesses, sources = (spark.read.schema(s).json(f"{path}/{n}") for n, s in zip(names, _parts()))
+    return header, businesses, sources
+
+
+def load_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same three tables of one nested document, as other tools write it."""
     doc = spark.read.schema(schemas.EVIDENCE).option("multiLine", True).json(path)
     return (
         doc.drop("businesses", "source_records"),

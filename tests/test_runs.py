@@ -146,8 +146,35 @@ def test_publish_twice_adds_nothing(spark, tmp_path):
     assert validation.orphans(trail, businesses, "business_id").count() == 0
 
 
-@pytest.mark.parametrize("bound,kind", [(1000, "nested"), (3, "sections")])
-def test_evidence_round_trip(spark, tmp_path, bound, kind):
+def test_publish_keeps_the_first_of_a_place(spark, tmp_path):
+    first = validation.canonicalize(validation.split_valid(validation.clean_listings(frame(spark, batch_of(4))))[0])
+    moved = first.withColumns({"seq": F.col("seq") + 1000, "id": F.concat("id", F.lit("x"))})
+    path = str(tmp_path)
+    publish.publish(first, validation.provenance(first), path)
+    publish.publish(moved, validation.provenance(moved), path)
+    stored = publish.published(spark, path, "businesses")
+    placed = first.filter("google_place_id is not null and trim(google_place_id) <> ''").count()
+    assert placed > 0 and stored.count() == 2 * first.count() - placed
+    assert validation.orphans(publish.published(spark, path, "provenance"), stored, "business_id").count() == 0
+
+
+def test_records_of_unknown_runs_are_kept(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    stream_dir(spark, source, batch_of(5))
+    limits = spark.createDataFrame([("other", 1)], "run_id string, requested_limit int")
+    live.start_listings(spark.readStream.schema(RAW).parquet(source), out, str(tmp_path / "ckpt"), limits).awaitTermination()
+    assert live.read_live(spark, out, "source_records").count() == len(batch_of(5)) and live.read_live(spark, out, "businesses").count() > 0
+
+
+def test_limits_out_of_range_are_refused(spark):
+    runs = spark.createDataFrame([(f"r{i:03d}", AT, "COMPLETED", 1, 0) for i in range(150)], "run_id string, created_at timestamp, status string, saved int, failed int")
+    for limit, offset in ((0, 0), (101, 0), (5, -1)):
+        with pytest.raises(ValueError):
+            browse.list_runs(runs, limit, offset)
+    assert browse.dashboard(runs, 130).first()["total_runs"] == 130
+
+
+def test_evidence_round_trip(spark, tmp_path):
     listings = frame(spark, batch_of(6, 0))
     businesses = validation.canonicalize(validation.split_valid(validation.clean_listings(listings))[0])
     sources = raw.ingest_raw(listings)
@@ -155,14 +182,17 @@ def test_evidence_round_trip(spark, tmp_path, bound, kind):
         [("r", "COMPLETED", AT, "Mumbai", "Salon", 6, 6, 6), ("q", "FAILED", AT, "Pune", "Spa", 9, 0, 0)],
         "run_id string, status string, completed_at timestamp, city string, category string, requested_limit int, discovered int, saved int")
     path = str(tmp_path / "evidence")
-    assert evidence.export_evidence(runs, businesses, validation.provenance(businesses), sources, path, bound) == kind
-    if kind == "nested":
-        header, biz, src = evidence.load_evidence(spark, path)
-        h = header.first()
-        assert (h["city"], h["businesses_count"], h["source_records_count"]) == ("Mumbai", businesses.count(), sources.count())
-        assert biz.count() == businesses.count() and src.count() == sources.count()
-    else:
-        assert spark.read.json(f"{path}/businesses").count() == businesses.count()
+    assert evidence.export_evidence(runs, businesses, validation.provenance(businesses), sources, path)
+    header, biz, src = evidence.load_evidence(spark, path)
+    h = header.first()
+    assert (h["city"], h["businesses_count"], h["source_records_count"]) == ("Mumbai", businesses.count(), sources.count())
+    assert biz.count() == businesses.count() and src.count() == sources.count()
+    assert sorted(biz.select("id", "name", "rating").collect(), key=str) == sorted(businesses.select("id", "name", "rating").collect(), key=str)
+    nested = tmp_path / "doc.json"
+    nested.write_text(json.dumps({"city": "Mumbai", "businesses": [{"id": "b", "name": "x"}], "source_records": [{"id": "s"}, {"id": "t"}]}))
+    header, biz, src = evidence.load_document(spark, str(nested))
+    assert (header.first()["city"], biz.first()["name"], src.count()) == ("Mumbai", "x", 2)
+    assert not evidence.export_evidence(runs.filter("status = 'FAILED'"), businesses, validation.provenance(businesses), sources, path)
 
 
 def test_unreadable_lines_are_kept(spark, tmp_path):
