@@ -68,7 +68,8 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     summed before the shuffle and joined by recipe.
     """
     rows = cut_lineage(recipes(docs, doc_id, text, **cut))
-    classes = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    # cut, so that the join below deals out both sides itself and can split a recipe with very many rows
+    classes = cut_lineage(rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")))
     return (
         rows.join(classes, "recipe")
         .select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))

@@ -147,7 +147,8 @@ def near_duplicates(
     groups = components(links(nodes.drop("least"), max_bits, width))
     named = nodes.join(groups, "node", "left").select(*names, F.coalesce("component", "node").alias("group"), "least")
     leasts = named.groupBy("group").agg(F.min("least").alias("least"))
-    return prints.join(named.drop("least").join(leasts, "group"), names)
+    # cut, so that the join deals out both sides itself and can split a fingerprint with very many rows
+    return prints.join(cut_lineage(named.drop("least").join(leasts, "group")), names)
 
 
 #: The pipeline's fingerprints: five words, 256 bits, eight segments of 24. Sets of similarity 0.8 differ in 15.1 % of the
