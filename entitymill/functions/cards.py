@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from entitymill import vocabulary as V
-from entitymill.functions.text import blank_to_null, first_group, strip, strip_label
+from entitymill.functions.text import blank_to_null, first_group, fold_digits, strip, strip_label
 
 _ANY = "(?iU)"
 
@@ -25,7 +25,7 @@ def rating_line(body: Column) -> Column:
 
 
 def card_rating(line: Column) -> Column:
-    return first_group(line, _ANY + V.CARD_RATING, 1).try_cast("double")
+    return fold_digits(first_group(line, _ANY + V.CARD_RATING, 1)).try_cast("double")
 
 
 def card_review_count(line: Column) -> Column:
@@ -130,8 +130,8 @@ def website_with_strategy(button_href: Column, anchors: Column) -> Column:
 
 def metrics_with_fallback(rating: Column, reviews: Column, aria_label: Column) -> Column:
     """Card metrics, filled from the star label where the lines had none."""
-    label_rating = first_group(aria_label, V.LABEL_RATING).try_cast("double")
-    count = F.regexp_extract(aria_label, _ANY + V.LABEL_REVIEWS, 1)
+    label_rating = fold_digits(first_group(aria_label, "(?U)" + V.LABEL_RATING)).try_cast("double")
+    count = fold_digits(F.regexp_extract(aria_label, _ANY + V.LABEL_REVIEWS, 1))
     return F.struct(
         F.coalesce(rating, label_rating).alias("rating"),
         F.coalesce(reviews, F.replace(count, F.lit(","), F.lit("")).try_cast("int")).alias("review_count"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from entitymill import vocabulary as V
-from entitymill.functions.text import blank_to_null, first_group
+from entitymill.functions.text import blank_to_null, first_group, fold_digits
 
 EARTH_RADIUS_KM = 6371.0
 
@@ -40,10 +40,9 @@ def place_id_from_url(c: Column) -> Column:
 
 def coordinates_from_url(c: Column) -> Column:
     """struct(latitude, longitude); the pin is preferred over the view center."""
-    pinned = c.rlike(V.PIN_COORDINATES)
-    pick = lambda g: F.when(pinned, F.regexp_extract(c, V.PIN_COORDINATES, g)).otherwise(
-        F.regexp_extract(c, V.AT_COORDINATES, g)
-    ).try_cast("double")
+    pin, at = "(?U)" + V.PIN_COORDINATES, "(?U)" + V.AT_COORDINATES
+    pinned = c.rlike(pin)
+    pick = lambda g: fold_digits(F.when(pinned, F.regexp_extract(c, pin, g)).otherwise(F.regexp_extract(c, at, g))).try_cast("double")
     return F.struct(pick(1).alias("latitude"), pick(2).alias("longitude"))
 
 

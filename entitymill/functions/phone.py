@@ -1,8 +1,10 @@
 """Phone numbers under the Indian numbering plan.
 
 A number counts as found when it is possible, not only when it is assigned.
-Numbers carrying a foreign country code are kept when their length fits the
-international plan, because no world-wide metadata is consulted.
+Numbers carrying a foreign country code are kept when the code is in use and
+their length fits the international plan, because no world-wide metadata is
+consulted. A number whose code is not in use cannot be read as international;
+its digits alone are then tried as an Indian mobile number.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ def _is_national(c: Column) -> Column:
 
 
 def _rest(c: Column, start: int) -> Column:
-    return F.substring(c, start, 40)
+    return F.substr(c, F.lit(start))
 
 
 def with_phone(df: DataFrame, column: str, e164: str = "normalized_phone", status: str = "phone_status") -> DataFrame:
@@ -45,9 +47,13 @@ def with_phone(df: DataFrame, column: str, e164: str = "normalized_phone", statu
         "_digits": _digits(c("_dialled")),
         "_readable": F.length(_digits(c("_body"))) >= 3,
     })
-    df = df.withColumn("_abroad", F.when(c("_dialled").startswith("+"), c("_digits")).when(
-        c("_digits").startswith("00"), _rest(c("_digits"), 3)
+    df = df.withColumn("_abroad", F.when(c("_digits").startswith("00"), _rest(c("_digits"), 3)).when(
+        c("_dialled").startswith("+"), c("_digits")
     ))
+    alone = _digits(bare)
+    df = df.withColumn("_alone", F.when(~c("_abroad").rlike(V.PHONE_COUNTRY), F.when(alone.rlike("^[6-9][0-9]{9}$"), F.concat(F.lit("+91"), alone)).when(
+        alone.rlike("^91[6-9][0-9]{9}$"), F.concat(F.lit("+"), alone)
+    ).when(alone.rlike("^0[6-9][0-9]{9}$"), F.concat(F.lit("+91"), _rest(alone, 2))).otherwise(F.lit(""))))
     carries_code = c("_digits").startswith("91") & (
         (~_is_national(c("_digits")) & _is_national(_rest(c("_digits"), 3)))
         | (F.length("_digits") > V.PHONE_MAX_DIGITS)
@@ -63,11 +69,11 @@ def with_phone(df: DataFrame, column: str, e164: str = "normalized_phone", statu
     possible = F.length("_national").between(V.PHONE_MIN_DIGITS, V.PHONE_MAX_DIGITS)
     df = df.withColumn(e164, F.when(
         ~is_blank(c(column)) & c("_readable"),
-        F.when(indian & possible, F.concat(F.lit("+91"), c("_national"))).when(
+        F.when(c("_alone").isNotNull(), F.nullif(c("_alone"), F.lit(""))).when(indian & possible, F.concat(F.lit("+91"), c("_national"))).when(
             ~indian & c("_abroad").rlike(r"^[1-9][0-9]{6,14}$"), F.concat(F.lit("+"), c("_abroad"))
         ),
     ))
     return df.withColumn(
         status,
         F.when(is_blank(c(column)), F.lit("MISSING")).when(c(e164).isNotNull(), F.lit("FOUND")).otherwise(F.lit("INVALID")),
-    ).drop("_body", "_dialled", "_digits", "_readable", "_abroad", "_line", "_national")
+    ).drop("_body", "_dialled", "_digits", "_readable", "_abroad", "_alone", "_line", "_national")

@@ -27,6 +27,16 @@ def is_blank(c: Column) -> Column:
     return c.isNull() | (strip(c) == "")
 
 
+#: Decimal digits of all scripts, and the ASCII digit of each.
+DIGITS = "".join(chr(i) for i in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(i)) == "Nd")
+ASCII_DIGITS = "".join(str(unicodedata.decimal(d)) for d in DIGITS)
+
+
+def fold_digits(c: Column) -> Column:
+    """Digits of any script as ASCII digits."""
+    return F.translate(c, DIGITS, ASCII_DIGITS)
+
+
 def first_group(c: Column, pattern: str, group: int = 1) -> Column:
     """The group of the first match, NULL where nothing matches."""
     return blank_to_null(F.regexp_extract(c, pattern, group))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from entitymill import vocabulary as V
 from entitymill.functions.ids import stable_id
-from entitymill.functions.text import strip_label
+from entitymill.functions.text import ASCII_DIGITS, DIGITS, strip_label
 from entitymill.functions.web import domain
 from entitymill.operators import browse, cleaning, validation
 from entitymill.plans import duck
@@ -178,7 +178,7 @@ SELECT page_id, coalesce(nullif(regexp_extract(link, '19s(ChIJ[\\w-]+)', 1), '')
     ELSE CAST(nullif(regexp_extract(link, '@(-?\\d+\\.\\d+),-?\\d+\\.\\d+', 1), '') AS DOUBLE) END AS latitude,
   CASE WHEN regexp_matches(link, '!3d-?\\d+\\.\\d+!4d-?\\d+\\.\\d+') THEN CAST(regexp_extract(link, '!4d(-?\\d+\\.\\d+)', 1) AS DOUBLE)
     ELSE CAST(nullif(regexp_extract(link, '@-?\\d+\\.\\d+,(-?\\d+\\.\\d+)', 1), '') AS DOUBLE) END AS longitude
-FROM v_links""", "v_links"))
+FROM (SELECT page_id, translate(link, '""" + DIGITS + "', '" + ASCII_DIGITS + """') AS link FROM v_links)""", "v_links"))
 def place_ids_and_coordinates_from_links(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.read_links(view(spark, sf, "v_links"), "link").drop("link")
 
@@ -191,6 +191,17 @@ def cards(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.parse_cards(df, "lines", F.lit("Salon"))
 
 
+def _folded(x: str) -> str:
+    """Digits of all scripts as ASCII digits: here \\d and \\b know ASCII only."""
+    return f"translate({x}, '{DIGITS}', '{ASCII_DIGITS}')"
+
+
+def _picked(x: str, pattern: str) -> str:
+    """The first match as it is written."""
+    hit = f"regexp_extract({_folded(x)}, '{pattern}')"
+    return f"substr({x}, strpos({_folded(x)}, {hit}), len({hit}))"
+
+
 def _words(pattern: str) -> str:
     """Word borders that know letters beyond ASCII, without look-around."""
     return "(?i)(?:^|[^\\pL\\pM\\pN_])" + pattern.removeprefix("\\b").removesuffix("\\b") + "(?:[^\\pL\\pM\\pN_]|$)"
@@ -200,14 +211,14 @@ _CUE = _words(V.CARD_ADDRESS_CUE)
 _CARD_CTES = f"""
 c1 AS (SELECT *, list_filter(list_transform(string_split(body, chr(10)), lambda x: {duck.strip('x')}), lambda x: x <> '') AS lines FROM v_cards),
 c2 AS (SELECT *, lines[2:] AS b, list_filter(lines[2:], lambda x: NOT regexp_matches(x, '(?i){V.CARD_HOURS}')) AS o,
-  list_filter(lines[2:], lambda x: regexp_matches(x, '(?i){V.CARD_RATING}'))[1] AS r FROM c1),
+  list_filter(lines[2:], lambda x: regexp_matches({_folded('x')}, '(?i){V.CARD_RATING}'))[1] AS r FROM c1),
 c3 AS (SELECT *, list_transform(o, lambda x: {{'sep': regexp_matches(x, '{V.CARD_SEPARATOR}'), 'line': x,
   'p': list_filter(list_transform(string_split_regex(x, '{V.CARD_SEPARATOR}'), lambda y: {duck.strip('y')}), lambda y: y <> '' AND NOT regexp_matches(y, '{V.CARD_PRICE}'))}}) AS s FROM c2),
-card AS (SELECT *, lines[1] AS name, CAST(nullif(regexp_extract(r, '(?i){V.CARD_RATING}', 1), '') AS DOUBLE) AS rating,
-  CAST(nullif(replace(coalesce(nullif(regexp_extract(r, '(?i){V.CARD_RATING}', 2), ''), regexp_extract(r, '(?i){V.CARD_RATING}', 3)), ',', ''), '') AS INT) AS review_count,
+card AS (SELECT *, lines[1] AS name, CAST(nullif(regexp_extract({_folded('r')}, '(?i){V.CARD_RATING}', 1), '') AS DOUBLE) AS rating,
+  CAST(nullif(replace(coalesce(nullif(regexp_extract({_folded('r')}, '(?i){V.CARD_RATING}', 2), ''), regexp_extract({_folded('r')}, '(?i){V.CARD_RATING}', 3)), ',', ''), '') AS INT) AS review_count,
   list_filter(b, lambda x: regexp_matches(x, '(?i){V.CARD_HOURS}'))[-1] AS opening_hours,
-  list_filter(list_transform(o, lambda x: regexp_extract(x, '{V.CARD_PHONE}')), lambda x: x <> '')[1] AS phone,
-  coalesce(list_filter(s, lambda z: z.sep AND len(z.p) > 0 AND NOT regexp_matches(z.p[1], '(?i){V.CARD_NOT_CATEGORY}') AND z.p[1] <> 'Salon')[1].p[1], 'Salon') AS category,
+  list_filter(list_transform(o, lambda x: {_picked('x', V.CARD_PHONE)}), lambda x: x <> '')[1] AS phone,
+  coalesce(list_filter(s, lambda z: z.sep AND len(z.p) > 0 AND NOT regexp_matches({_folded('z.p[1]')}, '(?i){V.CARD_NOT_CATEGORY}') AND z.p[1] <> 'Salon')[1].p[1], 'Salon') AS category,
   list_filter(list_transform(s, lambda z: CASE WHEN z.sep THEN CASE WHEN len(z.p) >= 2 THEN z.p[-1] END
     WHEN regexp_matches(z.line, '{_CUE}') THEN z.line END), lambda x: x IS NOT NULL)[1] AS address FROM c3)"""
 
@@ -224,8 +235,8 @@ def card_lines_parsed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("contact_strategies", "CL-19", _card_sql(f"""
-, pick AS (SELECT *, list_filter(list_transform(lines, lambda x: CASE WHEN regexp_matches(x, '{V.TEXT_MOBILE}') THEN 'm' || regexp_extract(x, '{V.TEXT_MOBILE}')
-    WHEN regexp_matches(x, '{V.TEXT_LANDLINE}') THEN 'l' || regexp_extract(x, '{V.TEXT_LANDLINE}') END), lambda x: x IS NOT NULL)[1] AS hit,
+, pick AS (SELECT *, list_filter(list_transform(lines, lambda x: CASE WHEN regexp_matches({_folded('x')}, '{V.TEXT_MOBILE}') THEN 'm' || {_picked('x', V.TEXT_MOBILE)}
+    WHEN regexp_matches({_folded('x')}, '{V.TEXT_LANDLINE}') THEN 'l' || {_picked('x', V.TEXT_LANDLINE)} END), lambda x: x IS NOT NULL)[1] AS hit,
   list_filter(lines[2:], lambda x: regexp_matches(x, '{_words(V.TEXT_ADDRESS_CUE)}'))[1] AS cue,
   regexp_extract_all(body, 'https?://[^\\s"]+') AS links FROM card)
 SELECT conv_id, turn, coalesce({duck.label('phone', 'phone')}, hit[2:], {duck.label("replace(tel_href, 'tel:', '')", 'phone')}, {duck.label('call_label', 'phone')}) AS phone,
@@ -234,8 +245,8 @@ SELECT conv_id, turn, coalesce({duck.label('phone', 'phone')}, hit[2:], {duck.la
   coalesce(address, cue) AS address, CASE WHEN address IS NOT NULL THEN 'card_parsed_lines' WHEN cue IS NOT NULL THEN 'card_text_address_cue' ELSE 'none' END AS address_strategy,
   coalesce(CASE WHEN website_href NOT LIKE '%google.com%' THEN website_href END, links[1]) AS website,
   CASE WHEN website_href NOT LIKE '%google.com%' THEN 'card_website_button' WHEN len(links) > 0 THEN 'card_external_anchor' ELSE 'none' END AS website_strategy,
-  coalesce(rating, CAST(nullif(regexp_extract(aria_label, '(\\d+\\.\\d+)', 1), '') AS DOUBLE)) AS rating,
-  coalesce(review_count, CAST(nullif(replace(regexp_extract(aria_label, '(?i)([\\d,]+)\\s+reviews?', 1), ',', ''), '') AS INT)) AS review_count FROM pick"""))
+  coalesce(rating, CAST(nullif(regexp_extract({_folded('aria_label')}, '(\\d+\\.\\d+)', 1), '') AS DOUBLE)) AS rating,
+  coalesce(review_count, CAST(nullif(replace(regexp_extract({_folded('aria_label')}, '(?i)([\\d,]+)\\s+reviews?', 1), ',', ''), '') AS INT)) AS review_count FROM pick"""))
 def contact_strategies(spark: SparkSession, sf: str) -> DataFrame:
     df = cards(spark, sf).withColumn("anchors", F.regexp_extract_all("body", F.lit(r'https?://[^\s"]+'), 0))
     return cleaning.extract_contacts(df).select(

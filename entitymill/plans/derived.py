@@ -53,7 +53,9 @@ SELECT 'run_' || {_s('CAST(ts AS DATE)')} AS run_id, event_id AS seq,
   CASE event_id % 8
     WHEN 0 THEN '+91 98200 ' || lpad({_U}, 5, '0') WHEN 1 THEN '098200' || lpad({_U}, 5, '0')
     WHEN 2 THEN 'Phone: 98200 ' || lpad({_U}, 5, '0') WHEN 3 THEN '022 2200 ' || lpad({_U}, 4, '0')
-    WHEN 4 THEN 'INVALID_PHONE_TEXT' WHEN 5 THEN NULL WHEN 6 THEN ' '
+    WHEN 4 THEN CASE event_id % 5 WHEN 0 THEN 'INVALID_PHONE_TEXT' WHEN 1 THEN '+0 98200 ' || lpad({_U}, 5, '0') WHEN 2 THEN '+999 8200' || lpad({_U}, 5, '0')
+      WHEN 3 THEN '+44 20 794' || lpad({_U}, 5, '0') ELSE '0091 98200 ' || lpad({_U}, 5, '0') END
+    WHEN 5 THEN NULL WHEN 6 THEN ' '
     ELSE '+91-98200' || lpad({_U}, 5, '0') END AS phone,
   CASE event_id % 6
     WHEN 0 THEN 'https://www.shop' || {_U} || '.example.com/Locations/?utm_source=gmb&q=' || {_s('event_id % 4')} || '&b=#top'
@@ -202,16 +204,16 @@ FROM pages
 _CARDS = f"""
 SELECT conv_id, turn,
   CASE role WHEN 'user' THEN 'Hair Castle ' ELSE 'Quiet Spa ' END || {_s('conv_id')} || chr(10)
-  || CASE turn % 4 WHEN 0 THEN '4.7 (1,' || lpad({_s('conv_id % 1000')}, 3, '0') || ')' WHEN 1 THEN '4.5 ★ 80 reviews' WHEN 2 THEN '5.0' ELSE 'New' END || chr(10)
+  || CASE turn % 4 WHEN 0 THEN '4.7 (1,' || lpad({_s('conv_id % 1000')}, 3, '0') || ')' WHEN 1 THEN '4.5 ★ 80 reviews' WHEN 2 THEN '5.0' ELSE CASE conv_id % 3 WHEN 0 THEN '4.७ (12)' ELSE 'New' END END || chr(10)
   || CASE conv_id % 4 WHEN 0 THEN 'Day Spa · ₹₹ · 12 Linking Road, Bandra' WHEN 1 THEN 'Barber • Open now'
      WHEN 2 THEN '4.2 stars | Fort' ELSE 'Salon' END || chr(10)
   || CASE conv_id % 5 WHEN 0 THEN '098765 43210' WHEN 1 THEN '+91 98765 43210' WHEN 2 THEN '022 2200 1234'
-     WHEN 3 THEN 'near City Chowk' ELSE 'call later' END || chr(10)
+     WHEN 3 THEN 'near City Chowk' ELSE '9८७६५ ४३२१० · 4.५' END || chr(10)
   || CASE turn % 3 WHEN 0 THEN 'Open · Closes 8 pm' WHEN 1 THEN 'Opens tomorrow' ELSE '' END || chr(10) || text AS body,
   CASE WHEN conv_id % 3 = 0 THEN 'tel:098200' || lpad({_s('conv_id')}, 5, '0') END AS tel_href,
   CASE WHEN conv_id % 2 = 0 THEN 'Phone: 98201 ' || lpad({_s('conv_id')}, 5, '0') END AS call_label,
   CASE conv_id % 3 WHEN 0 THEN 'https://www.google.com/url' WHEN 1 THEN 'https://shop.example.com/' || {_s('conv_id')} END AS website_href,
-  CASE WHEN turn % 2 = 0 THEN '4.1 stars 1,234 Reviews' END AS aria_label
+  CASE WHEN turn % 2 = 0 THEN '4.1 stars 1,234 Reviews' WHEN conv_id % 2 = 0 THEN '४.५ stars १२३ reviews' END AS aria_label
 FROM conversations
 """
 
@@ -222,7 +224,7 @@ SELECT page_id, CASE page_id % 7
   WHEN 1 THEN url || '&place_id=ChIJ' || {_s('page_id')} WHEN 2 THEN url || '?ftid=0x1:' || {_s('page_id')}
   WHEN 3 THEN '/maps/place/x/data=!1s0xab' || {_s('page_id')} || ':0x9!3d-1.5'
   WHEN 4 THEN 'https://maps.example.com/maps/place/' || replace(url, '/', '+') || '/@-19.0' || {_s('page_id')} || ',72.5,15z'
-  WHEN 5 THEN NULL ELSE url END AS link
+  WHEN 5 THEN '/@१९.५,72.5' ELSE url END AS link
 FROM pages
 """
 

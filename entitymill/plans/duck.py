@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from entitymill import vocabulary as V
 from entitymill.plans.derived import with_views
 
@@ -31,6 +33,10 @@ def label(x: str, prefix: str) -> str:
     return f"nullif({strip(f'''regexp_replace({strip(x)}, '(?i)^{prefix}[\\s:]*', '')''')}, '')"
 
 
+# every number of up to three digits that is a country code
+_CODES = "[" + ", ".join(f"'{n}'" for n in range(1, 1000) if re.fullmatch(V.PHONE_COUNTRY.removeprefix("^"), str(n))) + "]"
+
+
 def phone_ctes(source: str, column: str, keep: str) -> str:
     """CTEs ending in ``phones``: kept columns, e164, phone_status."""
     national = "(?:000800|[2-9]\\d\\d)\\d{7}|1\\d{7,12}"
@@ -40,13 +46,16 @@ p2 AS (SELECT *, regexp_replace(regexp_extract(_c, '(?s)[+0-9].*$'), '(?i)[\\s;,
 p3 AS (SELECT *, CASE WHEN len(regexp_replace(_b, '[^A-Za-z]', '', 'g')) >= 3
   THEN translate(upper(_b), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '22233344455566677778889999') ELSE _b END AS _t FROM p2),
 p4 AS (SELECT *, regexp_replace(_t, '[^0-9]', '', 'g') AS _d, len(regexp_replace(_b, '[^0-9]', '', 'g')) >= 3 AS _ok FROM p3),
-p5 AS (SELECT *, CASE WHEN _t[1] = '+' THEN _d WHEN _d[1:2] = '00' THEN _d[3:] END AS _i FROM p4),
+p5 AS (SELECT *, CASE WHEN _d[1:2] = '00' THEN _d[3:] WHEN _t[1] = '+' THEN _d END AS _i, regexp_replace(_c, '[^0-9]', '', 'g') AS _bare FROM p4),
 p6 AS (SELECT *, CASE WHEN _i IS NOT NULL THEN _i[3:]
   WHEN _d[1:2] = '91' AND ((NOT regexp_full_match(_d, '{national}') AND regexp_full_match(_d[3:], '{national}')) OR len(_d) > 13) THEN _d[3:]
   ELSE _d END AS _s FROM p5),
 p7 AS (SELECT *, CASE WHEN _s[1] = '0' AND NOT (regexp_full_match(_s, '{national}') AND NOT regexp_full_match(_s[2:], '{national}'))
   THEN _s[2:] ELSE _s END AS _n FROM p6),
 phones AS (SELECT {keep}, CASE WHEN {blank('_raw')} OR NOT _ok THEN NULL
+  WHEN _i IS NOT NULL AND NOT (list_contains({_CODES}, _i[1:1]) OR list_contains({_CODES}, _i[1:2]) OR list_contains({_CODES}, _i[1:3]))
+    THEN CASE WHEN len(_bare) = 10 AND _bare[1] >= '6' THEN '+91' || _bare WHEN len(_bare) = 12 AND _bare[1:2] = '91' AND _bare[3] >= '6' THEN '+' || _bare
+      WHEN len(_bare) = 11 AND _bare[1] = '0' AND _bare[2] >= '6' THEN '+91' || _bare[2:] END
   WHEN (_i IS NULL OR _i[1:2] = '91') THEN CASE WHEN len(_n) BETWEEN 6 AND 13 THEN '+91' || _n END
   WHEN regexp_full_match(_i, '[1-9][0-9]{{6,14}}') THEN '+' || _i END AS e164, {blank('_raw')} AS _blank FROM p7),
 phoned AS (SELECT * EXCLUDE (_blank), CASE WHEN _blank THEN 'MISSING' WHEN e164 IS NULL THEN 'INVALID' ELSE 'FOUND' END AS phone_status FROM phones)"""

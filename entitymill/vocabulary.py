@@ -54,6 +54,11 @@ LEGAL_SUFFIXES = [
 # --- fixed values: Indian numbering plan -----------------------------------
 PHONE_LABEL = r"(?i)^(phone|tel|contact|mobile|call)[\s:]*"
 PHONE_NATIONAL = r"^(?:(?:000800|[2-9][0-9]{2})[0-9]{7}|1[0-9]{7,12})$"
+# country codes in use, at the beginning of an international number
+PHONE_COUNTRY = (
+    r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|21[12368]|2[2-4]\d|25[0-8]|26\d|29[01789]|35\d|37[0-8]"
+    r"|38[0-35-79]|42[013]|50\d|59\d|67[02-9]|68[0-35-9]|69[0-2]|80[08]|85[02356]|87[08]|88[0-368]|96[0-8]|97[0-79]|99[2-68])"
+)
 PHONE_MIN_DIGITS = 6
 PHONE_MAX_DIGITS = 13
 KEYPAD_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -130,23 +135,23 @@ PLACE_ID_PATTERNS = [
 ]
 PLACE_SLUG = r"/maps/place/([^/@?]+)"
 PLACE_SLUG_LENGTH = 40
-PIN_COORDINATES = r"!3d(-?[0-9]+\.[0-9]+)!4d(-?[0-9]+\.[0-9]+)"
-AT_COORDINATES = r"@(-?[0-9]+\.[0-9]+),(-?[0-9]+\.[0-9]+)"
+PIN_COORDINATES = r"!3d(-?\d+\.\d+)!4d(-?\d+\.\d+)"
+AT_COORDINATES = r"@(-?\d+\.\d+),(-?\d+\.\d+)"
 
 # --- fixed values: card lines ---------------------------------------------------
 CARD_RATING = (
-    r"\b([1-5]\.[0-9])\b(?:\s*[\*★☆]|\s*stars)?"
+    r"\b([1-5]\.\d)\b(?:\s*[\*★☆]|\s*stars)?"
     r"(?:\s*\(([0-9,]+)\)|(?:\s+([0-9,]+)\s*reviews?))?"
 )
 CARD_HOURS = r"\b(open|closed|closes|opens)\b"
 CARD_PHONE = (
-    r"(?:\+91[\s-]?|0)[6-9][0-9]{4}[\s-]?[0-9]{5}\b"
-    r"|[6-9][0-9]{4}[\s-]?[0-9]{5}\b"
-    r"|\b0[0-9]{2,4}[-\s]?(?:[0-9]{3,4}[-\s]?[0-9]{3,4}|[0-9]{6,8})\b"
+    r"(?:\+91[\s-]?|0)[6-9]\d{4}[\s-]?\d{5}\b"
+    r"|[6-9]\d{4}[\s-]?\d{5}\b"
+    r"|\b0\d{2,4}[-\s]?(?:\d{3,4}[-\s]?\d{3,4}|\d{6,8})\b"
 )
 CARD_SEPARATOR = r"[·•|]"
 CARD_PRICE = r"^[$₹€£]+$"
-CARD_NOT_CATEGORY = r"\b(open|closed|stars?|[0-9]+\.[0-9]+)\b"
+CARD_NOT_CATEGORY = r"\b(open|closed|stars?|\d+\.\d+)\b"
 CARD_ADDRESS_CUE = (
     r"\b(road|rd|marg|street|st|lane|gali|nagar|sector|block|floor|complex|plaza"
     r"|near|opp|behind|chowk)\b"
@@ -154,11 +159,11 @@ CARD_ADDRESS_CUE = (
 TEXT_ADDRESS_CUE = (
     r"\b(road|rd|marg|street|nagar|floor|complex|plaza|near|opp|behind|sector|block)\b"
 )
-TEXT_MOBILE = r"(?:\+91[\s-]?)?[6-9][0-9]{4}[\s-]?[0-9]{5}\b"
-TEXT_LANDLINE = r"\b0[0-9]{2,4}[-\s]?[0-9]{6,8}\b"
+TEXT_MOBILE = r"(?:\+91[\s-]?)?[6-9]\d{4}[\s-]?\d{5}\b"
+TEXT_LANDLINE = r"\b0\d{2,4}[-\s]?\d{6,8}\b"
 TEXT_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-LABEL_RATING = r"([0-9]+\.[0-9]+)"
-LABEL_REVIEWS = r"([0-9,]+)\s+reviews?"
+LABEL_RATING = r"(\d+\.\d+)"
+LABEL_REVIEWS = r"([\d,]+)\s+reviews?"
 OWN_HOSTS = ["google.com", "gstatic.com"]
 OWN_ANCHOR_HOSTS = ["google.com", "gstatic.com", "googleadservices"]
 

@@ -42,6 +42,7 @@ PHONES = {
     "": (None, "MISSING"), "  ": (None, "MISSING"), None: (None, "MISSING"),
     "+1 202 555 0123": ("+12025550123", "FOUND"), "98200 12345 ext 12": ("+919820012345", "FOUND"),
     "12345678901234567890": (None, "INVALID"), "+91 0 98200 12345": ("+919820012345", "FOUND"),
+    "+0 98200 12345": ("+919820012345", "FOUND"), "+999 82001234": (None, "INVALID"), "+0 919820012345": (None, "INVALID"), "+44 20 7946 0958": ("+442079460958", "FOUND"),
 }
 
 
