@@ -13,6 +13,7 @@ from entitymill.plans.cleaning_queries import canonical
 from entitymill.plans.derived import table, view, with_views
 from entitymill.plans.registry import query
 from entitymill.plans.run_queries import _COUNTS, _counted
+from entitymill.session import cut_lineage
 
 
 def _over(tail: str, *views: str, ctes: str = "") -> str:
@@ -219,7 +220,7 @@ def category_tree_totals(spark: SparkSession, sf: str) -> DataFrame:
         region.select(text("r", "r_regionkey").alias("id"), F.lit("all").alias("parent_id"))).unionByName(
         region.agg(F.lit("all").alias("id"), F.lit(None).cast("string").alias("parent_id")))
     counts = table(spark, sf, "customer").groupBy(text("n", "c_nationkey").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    return platforms.roll_up(spark, tree, counts)
+    return platforms.roll_up(tree, counts)
 
 
 _RUN_PLATFORMS = "rp AS (SELECT 'run_' || CAST(CAST(platform_id AS BIGINT) % 3 AS STRING) AS run_id, platform_id FROM v_platforms WHERE active)"
@@ -285,6 +286,29 @@ def crawl_plan(spark: SparkSession, sf: str) -> DataFrame:
     return enrichment.crawl_plan(enrichment_states(spark, sf))
 
 
+_CRAWLED = """res AS (SELECT business_id, (hash_id % 4 = 0) AS failed, CASE hash_id % 4 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['phone', 'email', 'instagram'] ELSE ['phone'] END AS found
+  FROM (SELECT business_id, CAST(business_id AS BIGINT) // 7 AS hash_id FROM crawl WHERE CAST(business_id AS BIGINT) % 7 <> 3)),
+agg AS (SELECT business_id, bool_and(failed) AS failed, list_distinct(flatten(list(found))) AS found FROM res GROUP BY 1),
+after AS (SELECT s.business_id, len(list_filter(s.missing, lambda m: list_contains(coalesce(a.found, []::VARCHAR[]), m))) AS recovered,
+  CASE WHEN enrichment <> 'REQUIRED' OR a.failed IS NULL THEN enrichment WHEN a.failed THEN 'FAILED'
+  WHEN len(list_filter(s.missing, lambda m: NOT list_contains(a.found, m))) = 0 THEN 'COMPLETED' ELSE 'PARTIAL' END AS enrichment
+  FROM states s LEFT JOIN agg a USING (business_id))"""
+
+
+def after_crawl(spark: SparkSession, sf: str) -> DataFrame:
+    states = enrichment_states(spark, sf)
+    pages = enrichment.crawl_plan(states).filter("cast(business_id as bigint) % 7 <> 3").withColumn("_h", F.expr("cast(business_id as bigint) div 7 % 4"))
+    results = pages.select(
+        "business_id", "page", (F.col("_h") == 0).alias("failed"),
+        F.expr("case _h when 0 then cast(array() as array<string>) when 1 then array('phone', 'email', 'instagram') else array('phone') end").alias("found"))
+    return enrichment.after_crawl(states, results)
+
+
+@query("enrichment_after_crawl", "E-1", _over("SELECT business_id, enrichment, CAST(recovered AS INT) AS recovered FROM after", "v_profiles", ctes=f"{_STATES}, {_CRAWLED}"))
+def enrichment_after_crawl(spark: SparkSession, sf: str) -> DataFrame:
+    return after_crawl(spark, sf).select("business_id", "enrichment", "recovered")
+
+
 @query("contacts_on_pages", "E-3 E-5", _over("""
 SELECT page_id, 'email' AS kind, lower(split_part(split_part(a, ':', 2), '?', 1)) AS value, 'mailto_link' AS method, 0.9::DOUBLE AS confidence, NULL AS username FROM l WHERE a LIKE 'mailto:%'
 UNION ALL SELECT page_id, 'phone', a[5:], 'tel_link', 0.9, NULL FROM l WHERE a LIKE 'tel:%'
@@ -382,19 +406,23 @@ def quality_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("observability_metrics", "G-5", _over("""
-SELECT 'businesses_discovered' AS metric, count(*) AS value FROM v_candidates UNION ALL SELECT 'businesses_normalized', count(*) FROM v_profiles
+SELECT 'businesses_discovered' AS metric, count(*) AS value FROM v_listings UNION ALL SELECT 'businesses_normalized', count(*) FROM v_profiles
 UNION ALL SELECT 'websites_required', count(*) FROM states WHERE enrichment = 'REQUIRED' UNION ALL SELECT 'websites_skipped', count(*) FROM states WHERE enrichment LIKE 'SKIPPED%'
 UNION ALL SELECT 'without_website', count(*) FROM states WHERE enrichment = 'NO_WEBSITE' UNION ALL SELECT 'pages_planned', count(*) FROM crawl
 UNION ALL SELECT 'businesses_crawled', count(DISTINCT business_id) FROM crawl UNION ALL SELECT 'matches', count(*) FROM decided_l WHERE decision = 'MATCHED'
 UNION ALL SELECT 'unmatched', count(*) FROM decided_l WHERE decision = 'UNMATCHED' UNION ALL SELECT 'ambiguous', count(*) FROM decided_l WHERE decision = 'AMBIGUOUS'
 UNION ALL SELECT 'platform_checks', count(*) FROM pres UNION ALL SELECT 'platform_listings_found', count(*) FROM pres WHERE presence = 'PRESENT'
-UNION ALL SELECT 'platform_failures', count(*) FROM pres WHERE presence = 'ERROR'""", "v_candidates", "v_profiles", "v_platforms", "v_platform_results", *_SIDES,
-                                               ctes=f"{_STATES}, {_PRESENCE}, {_SCORED}, {_LEFT_DECIDED}"))
+UNION ALL SELECT 'platform_failures', count(*) FROM pres WHERE presence = 'ERROR'
+UNION ALL SELECT 'platforms_processed', count(DISTINCT platform_id) FROM pres UNION ALL SELECT 'fields_recovered', CAST(sum(recovered) AS BIGINT) FROM after
+UNION ALL SELECT 'website_failures', count(*) FROM after WHERE enrichment = 'FAILED' UNION ALL SELECT 'unmatched_platform', count(*) FROM decided_r WHERE decision = 'UNMATCHED'
+UNION ALL SELECT 'export_rows', count(*) FROM (SELECT id FROM decided_l UNION ALL SELECT id FROM decided_r WHERE decision <> 'MATCHED')""", "v_listings", "v_profiles", "v_platforms", "v_platform_results", *_SIDES,
+                                               ctes=f"{_STATES}, {_CRAWLED}, {_PRESENCE}, {_SCORED}, {_LEFT_DECIDED}, {_RIGHT_DECIDED}"))
 def observability_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    states = enrichment_states(spark, sf)
+    states, mine, theirs = enrichment_states(spark, sf), cut_lineage(decided(spark, sf)), cut_lineage(decided(spark, sf, "r"))
+    exported = mine.select("id").unionByName(theirs.filter("decision <> 'MATCHED'").select("id"))
     return merge.observability(
-        view(spark, sf, "v_candidates"), view(spark, sf, "v_profiles"), states, enrichment.crawl_plan(states),
-        decided(spark, sf), presences(spark, sf))
+        view(spark, sf, "v_listings"), view(spark, sf, "v_profiles"), states, enrichment.crawl_plan(states),
+        mine, presences(spark, sf), after_crawl(spark, sf), theirs, exported)
 
 
 # --- exported datasets ------------------------------------------------------------------------
@@ -407,27 +435,47 @@ def listing_dataset(spark: SparkSession, sf: str) -> DataFrame:
     return sheet.select("Run ID", "Google Place ID", "Business Name", "Normalized Name", "City", "Phone", "Website Status", "Instagram", "Rating")
 
 
+_AS_OF = """latest_check AS (SELECT listing_id, availability_status, checked_at FROM v_snapshots WHERE checked_at <= TIMESTAMP '1998-06-30 00:00:00'
+  QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY checked_at DESC, check_id DESC) = 1)"""
+
+
+def _availability(spark: SparkSession, sf: str) -> DataFrame:
+    return platforms.availability_as_of(view(spark, sf, "v_snapshots"), F.to_timestamp(F.lit("1998-06-30 00:00:00")))
+
+
 @query("platform_dataset", "G-6", _over("""
-SELECT run_id AS "Run ID", id AS "Platform Listing ID", normalized_name AS "Normalized Name", category AS "Category", address AS "Address", city AS "City", 'BOOKABLE' AS "Availability Status"
-FROM v_right""", "v_right"))
+SELECT run_id AS "Run ID", id AS "Platform Listing ID", normalized_name AS "Normalized Name", category AS "Category", address AS "Address", city AS "City",
+  availability_status AS "Availability Status", checked_at AS "Availability Checked At"
+FROM v_right LEFT JOIN latest_check ON listing_id = id""", "v_right", "v_snapshots", ctes=_AS_OF))
 def platform_dataset(spark: SparkSession, sf: str) -> DataFrame:
-    listings = view(spark, sf, "v_right").withColumn("availability_status", F.lit("BOOKABLE"))
-    return merge.platform_sheet(listings).select(
-        "Run ID", "Platform Listing ID", "Normalized Name", "Category", "Address", "City", "Availability Status")
+    checks = _availability(spark, sf).select(F.col("listing_id").alias("id"), "availability_status", "checked_at")
+    return merge.platform_sheet(view(spark, sf, "v_right").join(checks, "id", "left")).select(
+        "Run ID", "Platform Listing ID", "Normalized Name", "Category", "Address", "City", "Availability Status", "Availability Checked At")
+
+
+_MATCHED_SIDES = ", ".join(
+    f"CAST({c.format(p=p)} AS STRING) AS \"{side} {title}\"" for p, side in (("l", "left"), ("r", "right")) for title, c in {
+        "Name": "{p}.normalized_name", "URL": "NULL", "Phone": "{p}.normalized_phone", "Website": "{p}.website_domain", "Email": "NULL", "Address": "{p}.address",
+        "Instagram": "{p}.social", "Rating": "NULL", "Category": "{p}.category"}.items())
 
 
-@query("matched_dataset", "G-6", _over("""
-SELECT d.run_id, d.run_id || ':' || d.id || ':' || d.best_id AS match_id, d.best_score AS match_score, d.threshold, l.normalized_name AS "left normalized_name",
-  r.normalized_name AS "right normalized_name", l.address AS "left address", r.address AS "right address"
-FROM decided_l d JOIN v_left l ON l.id = d.id JOIN v_right r ON r.id = d.best_id WHERE decision = 'MATCHED'""", *_SIDES, ctes=f"{_SCORED}, {_LEFT_DECIDED}"))
+@query("matched_dataset", "G-6", _over(f"""
+SELECT d.run_id, d.run_id || ':' || d.id || ':' || d.best_id AS match_id, d.best_score AS match_score, d.threshold, d.decision AS match_decision, l.normalized_name AS business_name,
+  {_MATCHED_SIDES}, {_LINES} || '; ' || printf('total = %.2f%%', score) AS explanation, pres.presence, availability_status = 'BOOKABLE' AS bookable,
+  CAST(NULL AS TIMESTAMP) AS next_available, checked_at
+FROM decided_l d JOIN v_left l ON l.id = d.id JOIN v_right r ON r.id = d.best_id JOIN scored s ON s.l_id = d.id AND s.r_id = d.best_id
+LEFT JOIN pres ON pres.business_id = d.id AND pres.platform_id = d.best_id LEFT JOIN latest_check ON listing_id = d.best_id WHERE decision = 'MATCHED'""",
+                                         *_SIDES, "v_platforms", "v_platform_results", "v_profiles", "v_snapshots", ctes=f"{_SCORED}, {_LEFT_DECIDED}, {_PRESENCE}, {_AS_OF}"))
 def matched_dataset(spark: SparkSession, sf: str) -> DataFrame:
-    return _matched(spark, sf).select(
-        "run_id", "match_id", "match_score", "threshold", "left normalized_name", "right normalized_name", "left address", "right address")
+    return _matched(spark, sf).drop("id", "best_id")
 
 
-def _matched(spark: SparkSession, sf: str) -> DataFrame:
+def _matched(spark: SparkSession, sf: str, made: DataFrame | None = None) -> DataFrame:
     left, right = sides(spark, sf)
-    return merge.matched_sheet(decided(spark, sf), left, right)
+    pairs = matching.score_pairs(left, right, FLOOR, reports=True)
+    made = made if made is not None else matching.decisions(left, pairs)
+    explained = matching.record_pairs(pairs, left, right).select(F.col("l_id").alias("id"), F.col("r_id").alias("best_id"), matching.explain().alias("explanation"))
+    return merge.matched_sheet(made, left, right, explained, presences(spark, sf), _availability(spark, sf))
 
 
 @query("unmatched_datasets", "G-6", _over("""
@@ -444,11 +492,23 @@ def unmatched_datasets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("export_checks", "G-7", _over("""
-SELECT * FROM (VALUES ('matched_count', 0::BIGINT), ('unmatched_count', 0), ('repeated_match_id', 0), ('threshold', 0)) v("check", violations)
-UNION ALL SELECT 'score_range', count(*) FROM scored WHERE score NOT BETWEEN 0 AND 100""", *_SIDES, ctes=_SCORED))
+, m AS (SELECT run_id || ':' || id || ':' || best_id AS match_id, CAST(id AS BIGINT) AS n, best_score, threshold FROM decided_l WHERE decision = 'MATCHED'),
+broken AS (SELECT match_id, CASE WHEN n % 5 = 1 THEN best_score + 100 ELSE best_score END AS score, CASE WHEN n % 4 = 2 THEN threshold - 1 ELSE threshold END AS threshold FROM m WHERE n % 9 <> 0
+  UNION ALL SELECT match_id, best_score, threshold FROM m WHERE n % 3 = 0 AND n % 9 <> 0)
+SELECT 'matched_count' AS "check", abs((SELECT count(*) FROM m) - count(*)) AS violations FROM broken
+UNION ALL SELECT 'unmatched_count', count(*) FROM decided_l WHERE decision <> 'MATCHED' AND CAST(id AS BIGINT) % 10 = 3
+UNION ALL SELECT 'repeated_match_id', count(*) FROM (SELECT match_id FROM broken GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'score_range', count(*) FROM broken WHERE score > 100 OR score < 0
+UNION ALL SELECT 'threshold', count(*) FROM broken WHERE threshold <> 80""", *_SIDES, ctes=f"{_SCORED}, {_LEFT_DECIDED}").replace("\n, m AS", ", m AS"))
 def export_checks(spark: SparkSession, sf: str) -> DataFrame:
-    made = decided(spark, sf)
-    return merge.validate_export(made, _matched(spark, sf), made.filter("decision <> 'MATCHED'"), V.MATCH_THRESHOLD)
+    """The checks over sheets with faults: rows missing and twice, scores out of range, other thresholds."""
+    made = cut_lineage(decided(spark, sf))
+    n = F.regexp_extract("match_id", ":([0-9]+):", 1).cast("bigint")
+    good = cut_lineage(merge.matched_sheet(made, *sides(spark, sf)).withColumn("n", n).filter("n % 9 <> 0"))
+    broken = good.withColumns({
+        "match_score": F.expr("if(n % 5 = 1, match_score + 100, match_score)"), "threshold": F.expr("if(n % 4 = 2, threshold - 1, threshold)")})
+    rest = made.filter("decision <> 'MATCHED' and cast(id as bigint) % 10 <> 3")
+    return merge.validate_export(made, broken.unionByName(good.filter("n % 3 = 0")), rest, V.MATCH_THRESHOLD)
 
 
 @query("filtered_results", "G-8", _over(

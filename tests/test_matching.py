@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from entitymill import vocabulary as V
-from entitymill.operators import matching
+from entitymill.operators import matching, platforms
 
 
 def businesses(seed, n, offset=0):
@@ -112,3 +112,13 @@ def test_category_relation(spark, a, b, relation):
     tree = spark.createDataFrame([("spa", "Beauty"), ("nail salon", "beauty")], "category string, parent string")
     df = matching.with_parents(spark.createDataFrame([(a, b)], "a string, b string"), tree, ("a", "b"))
     assert df.select(matching.category_relation(*map(F.col, ("a", "b", "a_parent", "b_parent")))).first()[0] == relation
+
+
+def test_category_chain_of_any_depth(spark):
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(150)] + [("x", "c149"), ("top", None)]
+    tree = spark.createDataFrame(chain, "id string, parent_id string")
+    counts = spark.createDataFrame([(f"c{i}", 1) for i in range(151)] + [("x", 10), ("lost", 5)], "id string, n long")
+    total = {r["id"]: r["total"] for r in platforms.roll_up(tree, counts).collect()}
+    assert total["c0"] == 1 and total["c148"] == 149 and total["c149"] == 160 and total["c150"] == 161 and total["top"] == 0 and "lost" not in total
+    with pytest.raises(ValueError):
+        platforms.roll_up(spark.createDataFrame([("a", "b"), ("b", "a")], "id string, parent_id string"), counts)
