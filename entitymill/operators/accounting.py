@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from entitymill import vocabulary as V
 from entitymill.functions.text import literal_array
 from entitymill.operators.dedup import resolve_duplicates
-from entitymill.operators.scale import previous_value, running_sums, salted_join
+from entitymill.operators.scale import attach_per_key, previous_value, running_sums
+from entitymill.session import cut_lineage
 
 SAVED, DUPLICATE, FAILED = "saved", "duplicate", "failed"
 
@@ -164,7 +165,10 @@ def before_cancel(outcomes: DataFrame, log: DataFrame) -> DataFrame:
     stops = log.groupBy("run_id").agg(
         F.max_by("status", "seq").alias("status"), F.max("seq").alias("stop")
     ).filter("status = 'CANCELLED'").select("run_id", "stop")
-    return salted_join(outcomes, stops, "run_id", "seq", "left").filter("stop IS NULL OR seq < stop").drop("stop")
+    sizes = cut_lineage(outcomes.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n")))
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    met = attach_per_key(outcomes, stops.join(sizes, "run_id"), "run_id", "_n", total, how="left")
+    return met.filter("stop IS NULL OR seq < stop").drop("stop")
 
 
 def classify_error(message: Column) -> Column:

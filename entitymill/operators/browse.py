@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from entitymill import vocabulary as V
 from entitymill.functions.text import blank_to_null
+from entitymill.operators.validation import trail
 
 
 def list_runs(runs: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
@@ -64,10 +65,11 @@ def sort_columns(sort_by: str = "created_at", sort_order: str = "desc") -> list[
 
 def page(
     businesses: DataFrame, number: int = 1, size: int = 50, term: str | None = None,
-    sort_by: str = "created_at", sort_order: str = "desc",
+    sort_by: str = "created_at", sort_order: str = "desc", run_id: str | None = None,
 ) -> DataFrame:
-    """One page; sort and limit meet in a top-k, not in a full sort."""
-    hits = search(businesses, term).orderBy(*sort_columns(sort_by, sort_order))
+    """One page, of one run if given; sort and limit meet in a top-k, not in a full sort."""
+    rows = businesses if run_id is None else businesses.filter(F.col("run_id") == run_id)
+    hits = search(rows, term).orderBy(*sort_columns(sort_by, sort_order))
     return hits.offset(max(0, (number - 1) * size)).limit(size)
 
 
@@ -91,6 +93,13 @@ def detail(businesses: DataFrame, provenance: DataFrame, **keys: object) -> Data
     )
 
 
+def details(businesses: DataFrame) -> DataFrame:
+    """Every business with its provenance list, built in its own row: nothing is joined."""
+    shown = ("field_name", "field_value", "extraction_method", "confidence", "validator_rule")
+    entries = F.sort_array(F.transform(trail(), lambda e: F.struct(*[e[n].alias(n) for n in shown])))
+    return businesses.withColumn("provenance", entries).withColumn("provenance_count", F.size("provenance"))
+
+
 def count_by_run(businesses: DataFrame) -> DataFrame:
     return businesses.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -133,11 +142,11 @@ def elapsed(runs: DataFrame, now: Column | None = None) -> DataFrame:
     return runs.withColumn("elapsed", text)
 
 
-def display(businesses: DataFrame) -> DataFrame:
-    """What the result table shows for missing values."""
+def display(businesses: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """What the result table shows for missing values; columns in ``carry`` come along."""
     b = lambda c: blank_to_null(F.col(c))
     return businesses.select(
-        "id", "name",
+        *carry, "id", "name",
         F.coalesce(b("category"), F.lit("General")).alias("category"),
         F.coalesce(b("address"), F.lit("—")).alias("address"),
         F.coalesce(b("city"), F.lit("Unknown city")).alias("city"),

@@ -4,12 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from entitymill.session import cut_lineage
+
 # Rows of one key that share a chunk; a chunk is the unit one task sorts.
 CHUNK = 1 << 18
 
+# A key counts as hot from this many rows on; see attach_per_key.
+HOT_ROWS = 1_000_000
+MAX_HOT_KEYS = 50_000
+
+
+def chunked(df: DataFrame, key: str, order: str, chunk: int = CHUNK) -> DataFrame:
+    """``df`` with ``_chunk``: ranges of ``order`` within a key that hold at most about ``chunk`` rows.
 
-def _chunk_start(order: str, chunk: int) -> Column:
-    return F.col(order) - F.pmod(F.col(order), F.lit(chunk))
+    A key of up to ``chunk`` rows is one range. Larger ranges are cut into even
+    parts of what they span, counted, and cut again while they hold too much,
+    so neither sparse nor clustered numbers leave a busy key in one task. Too
+    large ranges number at most rows / chunk, so they are broadcast with a proven bound.
+    """
+    rows = cut_lineage(df).withColumn("_chunk", F.lit(0).cast("bigint"))
+    least = max(chunk, rows.count() // MAX_HOT_KEYS + 1)
+    while True:
+        cells = rows.groupBy(key, "_chunk").agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+        large = cut_lineage(cells.filter(F.col(key).isNotNull() & (F.col("_n") > least) & (F.col("_lo") < F.col("_hi"))))
+        if large.isEmpty():
+            return rows
+        cut = large.select(key, "_chunk", "_lo", F.expr(f"(_hi - _lo) div ceil(_n / {least}) + 1").alias("_width"))
+        start = F.expr(f"_lo + ((`{order}` - _lo) div _width) * _width")
+        rows = rows.join(F.broadcast(cut), [key, "_chunk"], "left").withColumn("_chunk", F.coalesce(start, F.col("_chunk"))).drop("_lo", "_width")
 
 
 def running_sums(
@@ -18,13 +40,13 @@ def running_sums(
 ) -> DataFrame:
     """Running totals of ``sums`` per ``key`` in ``order``, in two passes.
 
-    ``order`` is a whole number, unique within its key. Its ranges of ``chunk``
-    values bound what a task sorts, however many rows one key has: pass one
-    totals the ranges, pass two adds each range's start to a window inside it.
+    ``order`` is a whole number, unique within its key. Ranges of about
+    ``chunk`` rows bound what a task sorts, however many rows one key has: pass
+    one totals the ranges, pass two adds each range's start to a window inside it.
     Columns of ``per_key`` (one row per key; null for other keys) ride along
     with the starts, so they never cause a shuffle of rows by the bare key.
     """
-    ranged = df.withColumn("_chunk", _chunk_start(order, chunk))
+    ranged = chunked(df, key, order, chunk)
     totals = ranged.groupBy(key, "_chunk").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
     before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
@@ -46,7 +68,7 @@ def running_sums(
 
 def previous_value(df: DataFrame, key: str, order: str, value: str, out: str, chunk: int = CHUNK) -> DataFrame:
     """Value of the row before, per ``key`` in ``order``; chunked like running_sums."""
-    ranged = df.withColumn("_chunk", _chunk_start(order, chunk))
+    ranged = chunked(df, key, order, chunk)
     lasts = ranged.groupBy(key, "_chunk").agg(F.max_by(value, order).alias("_last"))
     across = Window.partitionBy(key).orderBy("_chunk")
     carried = lasts.select(key, "_chunk", F.lag("_last").over(across).alias("_carried"))
@@ -66,11 +88,6 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return ranked.filter("_rn = 1").drop("_rn")
 
 
-# A key counts as hot from this many rows on; see attach_per_key.
-HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 50_000
-
-
 def attach_per_key(
     rows: DataFrame, per_key: DataFrame, key: str, n: str, total_rows: int, hot_rows: int = HOT_ROWS,
     how: str = "inner",
@@ -92,16 +109,6 @@ def attach_per_key(
     return stays.unionByName(moves)
 
 
-SALTS = 16
-
-
-def salted_join(rows: DataFrame, per_key: DataFrame, key: str, spread_by: str, how: str = "inner") -> DataFrame:
-    """Join rows with a small one-row-per-key table, each key over several tasks."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
-    copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [key, "_salt"], how).drop("_salt")
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Give every core work when a table arrives in fewer splits than cores.
 

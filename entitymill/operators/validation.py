@@ -68,8 +68,8 @@ def canonicalize(accepted: DataFrame) -> DataFrame:
     )
 
 
-def provenance(businesses: DataFrame) -> DataFrame:
-    """One row per business and non-empty field, from one pass over the table."""
+def trail() -> Column:
+    """What is known of a business's non-empty fields, as an array in its own row."""
     cut = lambda c: F.substring(c, 1, 200)
     c = F.col
     coordinates = F.concat(number_text(c("latitude")), F.lit(","), number_text(c("longitude")))
@@ -105,15 +105,20 @@ def provenance(businesses: DataFrame) -> DataFrame:
             (fallback if fragment is None else F.coalesce(blank_to_null(fragment), fallback)).alias("raw_fragment"),
             F.lit(rule).alias("validator_rule"),
         ))
-    kept = F.filter(F.array(*entries), lambda e: e.getField("field_value") != "")
+    return F.filter(F.array(*entries), lambda e: e.getField("field_value") != "")
+
+
+def provenance(businesses: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per business and non-empty field, from one pass over the table; columns in ``carry`` come along."""
+    c = F.col
     rows = businesses.select(
-        c("id").alias("business_id"), "run_id", c("source").alias("source_type"),
+        *carry, c("id").alias("business_id"), "run_id", c("source").alias("source_type"),
         c("google_profile_url").alias("source_url"), "source_record_id",
-        c("created_at").alias("extracted_at"), F.explode(kept).alias("p"),
+        c("created_at").alias("extracted_at"), F.explode(trail()).alias("p"),
     ).select("*", "p.*")
     return rows.withColumn(
         "id", stable_id("prov_", c("business_id"), c("field_name"))
-    ).select(*PROVENANCE_COLUMNS)
+    ).select(*PROVENANCE_COLUMNS, *carry)
 
 
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str = "id") -> DataFrame:

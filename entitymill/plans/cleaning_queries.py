@@ -320,10 +320,7 @@ def _provenance_sql() -> str:
 
 @query("field_provenance", "V-5", _provenance_sql())
 def field_provenance(spark: SparkSession, sf: str) -> DataFrame:
-    businesses = canonical(spark, sf)
-    keyed = businesses.select(F.col("id").alias("business_id"), "seq")
-    trail = validation.provenance(businesses)
-    return trail.join(keyed, "business_id").select(
+    return validation.provenance(canonical(spark, sf), carry=("seq",)).select(
         "run_id", "seq", "field_name", "field_value", "extraction_method", "confidence", "validator_rule", "raw_fragment")
 
 
@@ -379,5 +376,4 @@ SELECT seq, name, coalesce(nullif(category, ''), 'General') AS category, coalesc
   coalesce(normalized_phone, nullif(phone, ''), 'Missing') AS phone, CASE WHEN website_domain IS NOT NULL THEN coalesce(nullif(website, ''), 'https://' || website_domain) END AS link,
   coalesce(website_domain, 'Missing') AS website FROM biz"""))
 def displayed_businesses(spark: SparkSession, sf: str) -> DataFrame:
-    businesses = canonical(spark, sf)
-    return browse.display(businesses).join(businesses.select("id", "seq"), "id").drop("id")
+    return browse.display(canonical(spark, sf), carry=("seq",)).drop("id")

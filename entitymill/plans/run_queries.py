@@ -335,8 +335,7 @@ SELECT seq, name, CAST(1 + 1 + CAST(coalesce(google_place_id, '') <> '' AS INT)
   + CAST(coalesce(phone, '') <> '' AS INT) + CAST(normalized_phone IS NOT NULL AS INT) + CAST(coalesce(website, '') <> '' AS INT) + CAST(website_domain IS NOT NULL AS INT)
   + CAST(latitude IS NOT NULL AND longitude IS NOT NULL AS INT) + CAST(rating IS NOT NULL AS INT) + CAST(review_count IS NOT NULL AS INT) AS INT) AS provenance_count FROM biz"""))
 def business_details(spark: SparkSession, sf: str) -> DataFrame:
-    businesses = canonical(spark, sf)
-    return browse.detail(businesses, validation.provenance(businesses)).select("seq", "name", "provenance_count")
+    return browse.details(canonical(spark, sf)).select("seq", "name", "provenance_count")
 
 
 @query("businesses_per_run", "Q-10", duck.listings("SELECT run_id, count(*) AS n FROM biz GROUP BY 1"))

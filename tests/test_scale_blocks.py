@@ -32,6 +32,19 @@ def test_previous_value(spark):
     assert sorted(map(tuple, plain.collect()), key=repr) == sorted(map(tuple, chunked.select(plain.columns).collect()), key=repr)
 
 
+def test_no_chunk_of_a_busy_run_is_large(spark):
+    """Half of the rows in one run, ids far apart, and a cluster with one outlier."""
+    data = [("hot" if i % 2 else f"k{i % 40}", i * 10_000) for i in range(2000)] + [("tight", i) for i in range(300)] + [("tight", 2**60)]
+    df = spark.createDataFrame(data, "run_id string, seq bigint").withColumn("x", F.lit(1))
+    sizes = scale.chunked(df, "run_id", "seq", 64).groupBy("run_id", "_chunk").agg(F.count("*").alias("n"))
+    assert sizes.agg(F.max("n")).first()[0] <= 64
+    per_run = {r["run_id"]: r["c"] for r in sizes.groupBy("run_id").agg(F.count("*").alias("c")).collect()}
+    assert per_run["hot"] <= 40 and per_run["k0"] == 1
+    plain = df.withColumn("t", F.sum("x").over(Window.partitionBy("run_id").orderBy("seq")))
+    mine = scale.running_sums(df, "run_id", "seq", {"t": F.col("x")}, chunk=64).select(plain.columns)
+    assert sorted(map(tuple, mine.collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_attach_per_key_splits_hot_keys(spark):
     df = rows(spark, 3).withColumnRenamed("run_id", "key")
     per_key = df.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("x").alias("m")).filter("key <> 'k3'")
