@@ -309,7 +309,10 @@ def enrichment_after_crawl(spark: SparkSession, sf: str) -> DataFrame:
     return after_crawl(spark, sf).select("business_id", "enrichment", "recovered")
 
 
-@query("contacts_on_pages", "E-3 E-5", _over("""
+_LINKED = """
+l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS a FROM v_sites),
+j AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<script type="application/ld\\+json">(.*?)</script>', 1)) AS b FROM v_sites)"""
+_CONTACTS = """
 SELECT page_id, 'email' AS kind, lower(split_part(split_part(a, ':', 2), '?', 1)) AS value, 'mailto_link' AS method, 0.9::DOUBLE AS confidence, NULL AS username FROM l WHERE a LIKE 'mailto:%'
 UNION ALL SELECT page_id, 'phone', a[5:], 'tel_link', 0.9, NULL FROM l WHERE a LIKE 'tel:%'
 UNION ALL SELECT page_id, kind, 'https://' || host || path, 'page_link', 0.9, regexp_extract(path, '([^/]+)$', 1) FROM (SELECT page_id,
@@ -317,19 +320,17 @@ UNION ALL SELECT page_id, kind, 'https://' || host || path, 'page_link', 0.9, re
     CASE WHEN regexp_matches(a, '^https?://([a-z]+\\.)?instagram\\.com/') THEN 'instagram' WHEN regexp_matches(a, '^https?://([a-z]+\\.)?facebook\\.com/') THEN 'facebook'
       WHEN regexp_matches(a, '^https?://([a-z]+\\.)?twitter\\.com/') THEN 'x' END AS kind FROM l) WHERE kind IS NOT NULL
 UNION ALL SELECT page_id, 'phone', json_extract_string(b, '$.telephone'), 'json_ld', 0.8, NULL FROM j
-UNION ALL SELECT page_id, 'email', json_extract_string(b, '$.email'), 'json_ld', 0.8, NULL FROM j""", "v_sites", ctes="""
-l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS a FROM v_sites),
-j AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<script type="application/ld\\+json">(.*?)</script>', 1)) AS b FROM v_sites)"""))
+UNION ALL SELECT page_id, 'email', json_extract_string(b, '$.email'), 'json_ld', 0.8, NULL FROM j"""
+
+
+@query("contacts_on_pages", "E-3 E-5", _over(_CONTACTS, "v_sites", ctes=_LINKED))
 def contacts_on_pages(spark: SparkSession, sf: str) -> DataFrame:
     return enrichment.page_contacts(view(spark, sf, "v_sites")).drop("raw")
 
 
 @query("preferred_page_contacts", "E-3", _over("""
-SELECT page_id, 'email' AS kind, 'info' || page_id || '@shop.example.com' AS value, 0.9::DOUBLE AS confidence, 2::BIGINT AS n_values FROM v_sites
-UNION ALL SELECT page_id, 'phone', '+91 98200 ' || lpad(page_id::VARCHAR, 5, '0'), 0.9, 2 FROM v_sites
-UNION ALL SELECT page_id, 'instagram', 'https://instagram.com/shop' || page_id, 0.9, 1 FROM v_sites
-UNION ALL SELECT page_id, 'facebook', 'https://m.facebook.com/shop' || page_id % 7, 0.9, 1 FROM v_sites
-UNION ALL SELECT page_id, 'x', 'https://twitter.com/shop' || page_id, 0.9, 1 FROM v_sites""", "v_sites"))
+SELECT page_id, kind, first(value ORDER BY confidence DESC, value) AS value, max(confidence) AS confidence, count(DISTINCT value) AS n_values
+FROM contacts WHERE kind IS NOT NULL GROUP BY page_id, kind""", "v_sites", ctes=f"{_LINKED}, contacts AS ({_CONTACTS})"))
 def preferred_page_contacts(spark: SparkSession, sf: str) -> DataFrame:
     return enrichment.preferred_profiles(enrichment.page_contacts(view(spark, sf, "v_sites")))
 
