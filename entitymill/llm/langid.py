@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Where a script's range of letters begins; a range ends where the next begins.
@@ -36,7 +37,7 @@ SCRIPT_SHARE = 0.02
 #: Cost of a switch of language, in nats.
 SWITCH = 12.0
 #: Texts that are labelled together; bounds a task's memory, results do not depend on it.
-PART_CHARS = 4_000_000
+PART_CHARS = 2_000_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -180,15 +181,12 @@ def identify(docs: DataFrame, model: LanguageModel, key: list[Column], text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(keys)).to_pylist()
+            sizes = np.nan_to_num(pc.utf8_length(batch.column(len(keys))).to_numpy(zero_copy_only=False).astype(float))
             at = 0
-            while at < len(texts):
-                size, end = 0, at
-                while end < len(texts) and (size < part_chars or end == at):
-                    size += len(texts[end] or "")
-                    end += 1
+            while at < batch.num_rows:
+                end = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at:]), part_chars, side="right")))
                 part = batch.slice(at, end - at)
-                langs, scores, spans = _identified(texts[at:end], model, switch)
+                langs, scores, spans = _identified(part.column(len(keys)).to_pylist(), model, switch)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, spans_type)],
                     names=[*keys, "lang_pred", "score", "spans"])

@@ -107,7 +107,6 @@ def mix(
     buckets = max(1, math.isqrt(sized.count()))
     order = F.xxhash64(*key, F.col("size"))
     dealt = sized.withColumn("_hash", order).withColumn("_bucket", F.pmod(F.shiftright("_hash", 8), F.lit(buckets)))
-    dealt = dealt.withColumn("_s", F.coalesce(F.xxhash64("source"), F.lit(0))).withColumn("_null", F.col("source").isNull())
     sums = dealt.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
     before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source", "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start")).alias("a")
@@ -144,12 +143,12 @@ def first_words(text: Column, n: Column) -> Column:
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
     """The mix of ``docs`` in training order, in their own columns: a document read twice is two rows, one taken in part is cut after its words."""
-    key = [F.col(doc_id).alias("_doc"), F.xxhash64(doc_id, text).alias("_text_hash")]
+    key = [F.col(doc_id).alias("_doc"), F.xxhash64(doc_id, source, text).alias("_text_hash")]
     rows = mix(sized_documents(docs, key, source, text), ["_doc", "_text_hash"], **how)
     classes = rows.groupBy("_doc", "_text_hash").agg(
         F.flatten(F.collect_list("passes")).alias("_passes"), F.first("size").alias("_size"), F.count("*").alias("_rows")).filter(F.size("_passes") > 0)
-    joined = docs.withColumn("_own", F.xxhash64(doc_id, text)).join(classes, docs[doc_id].eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_text_hash")))
-    # rows equal in id and text are one class with the passes of all
+    joined = docs.withColumn("_own", F.xxhash64(doc_id, source, text)).join(classes, docs[doc_id].eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_text_hash")))
+    # rows equal in id, source and text are one class with the passes of all
     once = joined.filter("_rows = 1").unionByName(joined.filter("_rows > 1").dropDuplicates(["_doc", "_text_hash"]))
     read = once.withColumn("_p", F.explode("_passes"))
     body = F.col(f"`{text}`")
