@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
 from .components import components
+from .groups import links_within
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SEED = 42
@@ -95,6 +96,15 @@ def _variants(prints: DataFrame, names: list[str], width: int) -> DataFrame:
     )
 
 
+def _near(asked: DataFrame, prints: DataFrame, names: list[str], max_bits: int) -> DataFrame:
+    if len(names) == 1:  # the node is the fingerprint
+        return asked.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits)
+    return (
+        asked.join(prints.alias("a"), F.col("u") == F.col("a.node")).join(prints.alias("b"), F.col("v") == F.col("b.node"))
+        .filter(_distance("a", "b", names) <= max_bits).select("u", "v")
+    )
+
+
 def links(prints: DataFrame, max_bits: int, width: int, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
     """(u, v): links that join all fingerprints within ``max_bits`` that meet in a variant.
 
@@ -105,9 +115,7 @@ def links(prints: DataFrame, max_bits: int, width: int, pairs_up_to: int = PAIRS
     itself; in a large one, fingerprints within two bits share a neighbour one
     bit away and those that share one are within two bits, so each is linked
     with the smallest of its neighbour: exact, and linear in the group. At wider
-    distances each member of a group is compared with its smallest and largest
-    (all pairs in groups up to three); it is in as many groups as it has
-    variants in common with others, each with ends of its own.
+    distances every pair of a group is compared or joined through others.
     """
     names = [c for c in prints.columns if c != "node"]
     variants = _variants(prints, names, width)
@@ -121,17 +129,8 @@ def links(prints: DataFrame, max_bits: int, width: int, pairs_up_to: int = PAIRS
         lows = near.groupBy("key", "near").agg(F.min("node").alias("v"))
         asked = pairs.unionByName(near.join(lows, ["key", "near"]).filter("node > v").select(F.col("node").alias("u"), "v")).distinct()
     else:
-        ends = met.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-        # the largest meets the smallest, every other member both
-        own = F.expr("case node when lo then array() when hi then array(lo) else array(lo, hi) end")
-        met_ends = met.join(ends, "key").select("node", F.explode(own).alias("end"))
-        asked = met_ends.select(F.greatest("node", "end").alias("u"), F.least("node", "end").alias("v")).distinct()
-    if len(names) == 1:  # the node is the fingerprint
-        return asked.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits)
-    return (
-        asked.join(prints.alias("a"), F.col("u") == F.col("a.node")).join(prints.alias("b"), F.col("v") == F.col("b.node"))
-        .filter(_distance("a", "b", names) <= max_bits).select("u", "v")
-    )
+        return links_within(met.select("key", "node"), lambda pairs: _near(pairs, prints, names, max_bits))
+    return _near(asked, prints, names, max_bits)
 
 
 def near_duplicates(

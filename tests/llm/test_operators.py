@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 
 import brute  # noqa: E402
-from entitymill.llm import bpe, chat, components, exact, langid, lattice, mixing, queries, secrets, simhash, substrings, urls  # noqa: E402
+from entitymill.llm import bpe, chat, components, exact, groups, langid, lattice, mixing, queries, secrets, simhash, substrings, urls  # noqa: E402
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -113,6 +113,24 @@ def test_links_within_two_bits(spark, pairs_up_to):
         assert found == set(linked)
 
 
+@pytest.mark.parametrize("rounds, block", [(1, 4), (3, 256)])
+def test_every_pair_of_a_group_is_compared(spark, rounds, block):
+    """One group of strangers and families whose ends are in no family."""
+    rng = random.Random(8)
+    nodes = [-2**62, *rng.sample(range(-2**61, 2**61), 40), 2**62]
+    family = {n: (i % 9 if i % 4 == 1 else 100 + i) for i, n in enumerate(nodes)}
+    met = spark.createDataFrame([(7, n) for n in nodes] + [(8, nodes[3]), (9, nodes[4]), (9, nodes[5])], "key long, node long")
+    of = spark.createDataFrame(list(family.items()), "node long, family long")
+
+    def near(pairs):
+        a, b = of.select(F.col("node").alias("u"), F.col("family").alias("fu")), of.select(F.col("node").alias("v"), F.col("family").alias("fv"))
+        return pairs.join(a, "u").join(b, "v").filter("fu = fv").select("u", "v")
+
+    linked = [(a, b) for a in nodes for b in nodes if a > b and family[a] == family[b]]
+    found = {(r["u"], r["v"]) for r in groups.links_within(met, near, rounds, block).collect()}
+    assert linked and found <= set(linked) and brute.roots(nodes, found) == brute.roots(nodes, linked)
+
+
 def test_near_copies_leave_and_clean_texts_stay(spark):
     rng = random.Random(3)
     vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(4000)]
