@@ -156,19 +156,84 @@ def near_duplicates(
     return prints.join(cut_lineage(named.drop("least").join(leasts, "group")), names)
 
 
-#: The pipeline's fingerprints: five words, 384 bits, twelve segments of 26. Sets of similarity 0.8 differ in 15.1 % of the
-#: bits, 58 of 384 with a deviation of 7; up to 63 they are linked.
-STAGE = {"shingle": 5, "words": 6, "max_bits": 63, "width": 26}
+#: The pipeline's shingles: five words.
+SHINGLE = 5
+#: Fingerprints of 384 bits in twelve segments of 26: texts that share a segment up to one bit are compared.
+WORDS, WIDTH = 6, 26
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
+def _meeting_keys(h: np.ndarray) -> np.ndarray:
+    """Every segment of the fingerprint with each of its bits deleted in turn; a key holds its segment and bit."""
+    prints = np.array([majority(_mixed(h, i)) for i in range(WORDS)], np.int64).view(np.uint64)
+    segments = np.concatenate([(prints >> np.uint64(i * WIDTH)) & np.uint64(2**WIDTH - 1) for i in range(64 // WIDTH)])[:, None]
+    bit = np.arange(WIDTH, dtype=np.uint64)
+    place = np.arange(len(segments), dtype=np.uint64)[:, None] * np.uint64(WIDTH) + bit
+    return (place << np.uint64(WIDTH) | segments & ~(np.uint64(1) << bit)).reshape(-1).view(np.int64)
+
+
+def _digest(h: np.ndarray) -> int:
+    return int(np.array(xxhash.xxh64_intdigest(h.tobytes(), SEED), np.uint64).view(np.int64))
+
+
+def shingle_sets(docs: DataFrame, key: list[Column], text: str, shingle: int, whole: bool) -> DataFrame:
+    """The columns ``key``, the digest ``node`` of the text's distinct shingles, and these (``whole``) or the keys under which it meets others."""
+    narrow = docs.select(*key, F.col(text).alias("_text"))
+    keys = narrow.columns[:-1]
+    last = "shingles" if whole else "meets"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, big.num_rows, 256):  # lists of few texts at a time
+                batch = big.slice(at, 256)
+                nodes, lists = [], []
+                for one in batch.column(len(keys)):
+                    h = np.unique(shingle_hashes(one.as_py(), shingle))
+                    nodes.append(_digest(h))
+                    lists.append(h.view(np.int64) if whole else _meeting_keys(h) if len(h) else np.empty(0, np.int64))
+                ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(nodes, pa.int64()), column], names=[*keys, "node", last])
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1]] + ["node long", f"{last} array<long>"])
+    return narrow.mapInArrow(run, schema)
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (u, v) whose sets (node, shingles) have a similarity of 0.8 at least: common elements over all elements, exactly."""
+    a, b = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"_{n}")) for n in "uv")
+    # sizes alone rule out many: the smaller set holds 0.8 of the larger one at least
+    sizes = sets.select("node", F.size("shingles").alias("n"))
+    fit = cut_lineage(
+        pairs.join(sizes.select(F.col("node").alias("u"), F.col("n").alias("_nu")), "u").join(sizes.select(F.col("node").alias("v"), F.col("n").alias("_nv")), "v")
+        .filter(5 * F.least("_nu", "_nv") >= 4 * F.greatest("_nu", "_nv")).select("u", "v"))
+    both = F.size(F.array_intersect("_u", "_v"))
+    return fit.join(a, "u").join(b, "v").filter(9 * both >= 4 * (F.size("_u") + F.size("_v"))).select("u", "v")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` that stay, in all their columns: of each group of near-duplicates the row with the smallest doc_id.
 
-    Of rows with that id the one with the smallest text hash stays, and those equal to it in both; a null id is larger than any.
+    Texts are linked if at least 0.8 of their distinct shingles are common to
+    both, which is verified for every link; groups are what links join. Of rows
+    with that id the one with the smallest text hash stays, and those equal to it
+    in both; a null id is larger than any. Texts without a word are one group.
     """
     key = [F.col(doc_id).alias("_doc"), F.xxhash64(text).alias("_text_hash")]
     first = F.struct(F.col("_doc").isNull().alias("_none"), "_doc", "_text_hash")
-    near = near_duplicates(docs, key, first, text, **(STAGE | how))
-    stay = near.filter(first == F.col("least")).select(F.col("_doc").alias("_id"), F.col("_text_hash").alias("_own"))
+    rows = cut_lineage(shingle_sets(docs, key, text, shingle, whole=False))
+    # texts with equal sets are one node, so exact copies of any number cost no pairs
+    nodes = cut_lineage(rows.groupBy("node").agg(F.min(first).alias("least"), F.first("meets").alias("meets")))
+    met = nodes.select("node", F.explode("meets").alias("key"))
+    held = met.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    met = cut_lineage(met.join(held, "key").select("key", "node"))
+    # one text of each node that meets another gives its set
+    asked = met.select("node").distinct().join(nodes.select("node", "least"), "node").select(
+        F.col("least._doc").alias("_id"), F.col("least._text_hash").alias("_own"))
+    own = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_body"))
+    own = own.join(asked, own["_doc"].eqNullSafe(F.col("_id")) & (F.xxhash64("_body") == F.col("_own")), "left_semi")
+    sets = cut_lineage(shingle_sets(own, [], "_body", shingle, whole=True).groupBy("node").agg(F.first("shingles").alias("shingles")))
+    groups = components(links_within(met, lambda pairs: similar(pairs, sets)))
+    named = nodes.join(groups, "node", "left").select("least", F.coalesce("component", "node").alias("group"))
+    stay = named.groupBy("group").agg(F.min("least").alias("least")).select(F.col("least._doc").alias("_id"), F.col("least._text_hash").alias("_own"))
     joined = docs.join(stay, docs[doc_id].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_own")), "left_semi")
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns])

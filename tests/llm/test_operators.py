@@ -146,6 +146,30 @@ def test_near_copies_leave_and_clean_texts_stay(spark):
     assert kept >= set(range(60)) and len(kept & {i for i, *_ in near}) <= 2
 
 
+def _copy(rng, base, share):
+    """A text whose five-word shingles have a similarity of ``share`` or just above with those of ``base``: new words at the end."""
+    n = len(base) - 4
+    return base + [f"w{rng.getrandbits(40)}" for _ in range(int(n / share) - n)]
+
+
+def _similarity(a, b):
+    a, b = ({tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_no_near_copy_below_the_similarity(spark):
+    """Pairs of 0.6 to 0.79, and texts that share nothing but one line repeated very often."""
+    rng, rows = random.Random(21), []
+    for i in range(120):
+        base = [f"w{rng.getrandbits(40)}" for _ in range(300)]
+        rows += [(2 * i, base), (2 * i + 1, _copy(rng, base, 0.81) if i < 40 else _copy(rng, base, rng.choice([0.6, 0.7, 0.75, 0.78])))]
+    line = "all rights reserved by the owner".split()
+    rows += [(1000 + i, line * 200 + [f"w{rng.getrandbits(40)}" for _ in range(150)]) for i in range(4)]
+    assert all(_similarity(rows[2 * i][1], rows[2 * i + 1][1]) < 0.8 for i in range(40, 120))
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame([(i, " ".join(t), "en", "s", None) for i, t in rows], DOCS)).collect()}
+    assert kept >= {i for i, _ in rows if i >= 80}
+
+
 # --- 2: exact copies ------------------------------------------------------------------------------
 
 
