@@ -4,6 +4,9 @@ A fingerprint is cut into segments so few that, within the distance asked for,
 one segment of two linked fingerprints differs by at most one bit. Each
 segment is indexed under its one-wildcard variants (one bit deleted), equal
 variants join, and the whole fingerprints are then compared.
+
+The pipeline's stage asks for a similarity that lies far beyond such distances:
+there texts meet in bands of smallest hashes, and their shingles are compared.
 """
 
 from __future__ import annotations
@@ -158,17 +161,21 @@ def near_duplicates(
 
 #: The pipeline's shingles: five words.
 SHINGLE = 5
-#: Fingerprints of 384 bits in twelve segments of 26: texts that share a segment up to one bit are compared.
-WORDS, WIDTH = 6, 26
+#: Bands and hashes a band: two texts meet in a band if the smallest of each of its hashes is the same for both. Of sets of
+#: similarity s a share of 1 - (1 - s ** 6) ** 20 meets: 99.8 % at 0.8, 99.98 % at 0.85.
+BANDS, PER_BAND = 20, 6
+_random = np.random.default_rng(SEED)
+_FACTORS, _TERMS = (_random.integers(0, 2**64, BANDS * PER_BAND, np.uint64)[:, None] for _ in range(2))
+_FACTORS |= np.uint64(1)
 
 
 def _meeting_keys(h: np.ndarray) -> np.ndarray:
-    """Every segment of the fingerprint with each of its bits deleted in turn; a key holds its segment and bit."""
-    prints = np.array([majority(_mixed(h, i)) for i in range(WORDS)], np.int64).view(np.uint64)
-    segments = np.concatenate([(prints >> np.uint64(i * WIDTH)) & np.uint64(2**WIDTH - 1) for i in range(64 // WIDTH)])[:, None]
-    bit = np.arange(WIDTH, dtype=np.uint64)
-    place = np.arange(len(segments), dtype=np.uint64)[:, None] * np.uint64(WIDTH) + bit
-    return (place << np.uint64(WIDTH) | segments & ~(np.uint64(1) << bit)).reshape(-1).view(np.int64)
+    """One key per band: the digest of the smallest values of the band's hashes over all shingles."""
+    least = np.full(BANDS * PER_BAND, 2**64 - 1, np.uint64)
+    for at in range(0, len(h), 512):  # small enough for the processor's cache
+        np.minimum(least, (h[at:at + 512] * _FACTORS + _TERMS).min(axis=1), out=least)
+    bands = least.reshape(BANDS, PER_BAND)
+    return np.array([xxhash.xxh64_intdigest(one.tobytes(), i) for i, one in enumerate(bands)], np.uint64).view(np.int64)
 
 
 def _digest(h: np.ndarray) -> int:

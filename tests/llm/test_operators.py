@@ -170,6 +170,18 @@ def test_no_near_copy_below_the_similarity(spark):
     assert kept >= {i for i, _ in rows if i >= 80}
 
 
+@pytest.mark.parametrize("share", [0.8, 0.85, 0.9])
+def test_near_copies_found_at_each_similarity(spark, share):
+    """Of lone pairs nine in ten at least are found, against the similarity counted in plain Python."""
+    rng, rows = random.Random(int(share * 100)), []
+    for i in range(150):
+        base = [f"w{rng.getrandbits(40)}" for _ in range(300)]
+        rows += [(2 * i, base), (2 * i + 1, _copy(rng, base, share))]
+    assert all(share <= _similarity(rows[2 * i][1], rows[2 * i + 1][1]) < share + 0.01 for i in range(150))
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame([(i, " ".join(t), "en", "s", None) for i, t in rows], DOCS)).collect()}
+    assert kept >= set(range(0, 300, 2)) and len(kept) <= 150 + 15
+
+
 # --- 2: exact copies ------------------------------------------------------------------------------
 
 
