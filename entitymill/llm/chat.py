@@ -32,18 +32,27 @@ def _head(role: Column) -> Column:
     return F.coalesce(known, F.concat(F.lit("### role/"), F.replace(escape(role), F.lit(":"), F.lit("\\:")), F.lit(": ")))
 
 
-def root_paths(messages: DataFrame, conv: str = "conv_id", message: str = "message_id", parent: str = "parent_id", score: str = "score") -> DataFrame:
+def _same(conv: str) -> Column:
+    """A conversation as a key that joins null with null: as a field of a struct, null equals null."""
+    return F.struct(F.col(conv).alias("conv_id")).alias("conv_id")
+
+
+def root_paths(
+    messages: DataFrame, conv: str = "conv_id", message: str = "message_id", parent: str = "parent_id", score: str = "score",
+    null_conversation: bool = False,
+) -> DataFrame:
     """(conv_id, leaf_id, path_score, path): every path from a root to a leaf, message ids in order.
 
     ``messages`` has one row per message of a conversation, ids unique in it. A
     message without parent, or whose parent is not in its conversation, is a
     root. Messages on or behind a circle of parents have no root and yield no
-    path. A null score counts as zero; null conversations are left out.
+    path. A null score counts as zero. Null conversations are left out, or are
+    one conversation with ``null_conversation``.
     """
     nodes = cut_lineage(messages.select(
-        F.col(conv).alias("conv_id"), F.col(message).alias("id"), F.col(parent).alias("up"),
+        _same(conv), F.col(message).alias("id"), F.col(parent).alias("up"),
         F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("score"),
-    ).filter("conv_id is not null and id is not null"))
+    ).filter(F.col("id").isNotNull() & (F.lit(null_conversation) | F.col("conv_id.conv_id").isNotNull())))
     known = nodes.select("conv_id", F.col("id").alias("up"), F.lit(True).alias("_known"))
     ways = nodes.join(known, ["conv_id", "up"], "left").select(
         "conv_id", "id", F.when(F.col("_known"), F.col("up")).alias("jump"), "score", F.array("id").alias("path"))
@@ -60,7 +69,7 @@ def root_paths(messages: DataFrame, conv: str = "conv_id", message: str = "messa
         longer = ways.filter("jump is not null").join(above, ["conv_id", "jump"]).select(
             "conv_id", "id", F.col("_jump").alias("jump"), (F.col("score") + F.col("_score")).alias("score"), F.concat("_path", "path").alias("path"))
         ways = cut_lineage(done.unionByName(longer))
-    return ways.filter("jump is null").join(leaves, ["conv_id", "id"]).select("conv_id", F.col("id").alias("leaf_id"), F.col("score").alias("path_score"), "path")
+    return ways.filter("jump is null").join(leaves, ["conv_id", "id"]).select("conv_id.conv_id", F.col("id").alias("leaf_id"), F.col("score").alias("path_score"), "path")
 
 
 def best_paths(paths: DataFrame, branches: int | None = None) -> DataFrame:
@@ -78,17 +87,17 @@ def format_paths(
     A null text counts as empty, a null role as an empty name.
     """
     said = messages.select(
-        F.col(conv).alias("conv_id"), F.col(message).alias("id"),
+        _same(conv), F.col(message).alias("id"),
         F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"),
     ).select("conv_id", "id", "role", _head(F.col("role")).alias("head"), escape(F.col("text")).alias("body"))
-    steps = paths.select("conv_id", "leaf_id", "rank", F.posexplode("path").alias("pos", "id"))
+    steps = paths.select(_same("conv_id"), "leaf_id", "rank", F.posexplode("path").alias("pos", "id"))
     turns = steps.join(said, ["conv_id", "id"]).withColumn("turn", F.concat("head", "body", F.lit(END)))
     before = Window.partitionBy("conv_id", "leaf_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     turns = turns.withColumn("start", F.coalesce(F.sum(F.length("turn")).over(before), F.lit(0)) + F.length("head"))
     span = F.when(F.col("role") == "assistant", F.struct(F.col("start"), (F.col("start") + F.length("body")).alias("end")))
     whole = turns.groupBy("conv_id", "leaf_id", "rank").agg(F.sort_array(F.collect_list(F.struct("pos", "turn", span.alias("span")))).alias("turns"))
     return whole.select(
-        "conv_id", "leaf_id", "rank", F.array_join(F.col("turns.turn"), "").alias("formatted"),
+        "conv_id.conv_id", "leaf_id", "rank", F.array_join(F.col("turns.turn"), "").alias("formatted"),
         F.filter(F.col("turns.span"), lambda s: s.isNotNull()).alias("loss_spans"),
     )
 

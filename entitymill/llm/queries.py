@@ -39,7 +39,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit(1).cast("long").alias("turn"), F.lit("assistant").alias("role"), F.lit(text).alias("text")),
     )).alias("t")).select("conv_id", "t.*")
     messages = chat.linear_messages(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
-    done = chat.format_paths(chat.best_paths(chat.root_paths(messages)), messages)
+    done = chat.format_paths(chat.best_paths(chat.root_paths(messages, null_conversation=True)), messages)
     read = done.withColumns({"turns": chat.read_turns(F.col("formatted")), "loss": chat.read_loss(F.col("formatted"), F.col("loss_spans"))})
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(

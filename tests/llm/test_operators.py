@@ -291,6 +291,14 @@ def test_long_thread_and_control_strings(spark):
         assert read[c]["l"] == "".join(x or "" for k, _, r, x in rows if k == c and r == "assistant")
 
 
+def test_op4_keeps_the_null_conversation(spark, tmp_path):
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "bc"), (None, 2, "user", "d"), (5, 0, "user", "e"), (5, 1, "assistant", "f")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = got(queries.op4_chat(spark, str(tmp_path)), "conv_id")
+    assert {c: (r["n_turns"], r["loss_chars"], r["turns_sha256"]) for c, r in out.items() if c != -7} == {
+        None: (3, 2, brute.sha("user\na\nassistant\nbc\nuser\nd\n")), 5: (2, 1, brute.sha("user\ne\nassistant\nf\n"))}
+
+
 # --- 5: URLs --------------------------------------------------------------------------------------
 
 
