@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, exact, langid, lattice, mixing, secrets, simhash, substrings, urls
+from . import bpe, chat, collocations, decontaminate, exact, langid, lattice, mixing, repair, secrets, simhash, substrings, urls
 
 TOKENIZER = "word_bpe_49k.json"
 #: (host, path, verdict): fixed values.
@@ -86,9 +86,37 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(_table(spark, sf_dir, "documents"), [F.col("doc_id")])
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations, all of them, with the cheapest repair of each; one without a row left has zeros."""
+    turns = _table(spark, sf_dir, "conversations")
+    left = repair.damaged(turns)
+    same = F.struct("conv_id").alias("same")  # a null conversation is one
+    every = turns.select(same).distinct()
+    found = every.join(repair.repaired(left).select("*", same), "same", "left").join(repair.turn_gaps(left).select("gaps", same), "same", "left")
+    zero = F.lit(0).cast("long")
+    return found.select(
+        "same.conv_id", *[F.coalesce(c, zero).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every language's first 2,000 phrases of 2 to 5 words that occur 100 times or more in all documents."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its words that lie in a run of 10 words of a benchmark item, and the items met."""
+    found = decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    met = F.coalesce("items", F.array().cast(found.schema["items"].dataType))
+    n_hit = F.aggregate(F.coalesce("spans", F.array().cast(found.schema["spans"].dataType)), F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    written = F.array_join(F.sort_array(F.transform(met, lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(met).cast("long").alias("n_items"), F.sha2(written, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_simhash, op2_exact_dedup, op3_bpe, op4_chat, op5_url_filter, op6_mixing, op7_secrets, op8_lattice, op9_language, op10_substrings)
+        op1_simhash, op2_exact_dedup, op3_bpe, op4_chat, op5_url_filter, op6_mixing, op7_secrets, op8_lattice, op9_language, op10_substrings,
+        op11_repair, op12_collocations, op13_decontaminate)
 }
 
 #: Fixed text of conversation -7, in SQL.
@@ -127,4 +155,49 @@ ORACLES: dict[str, str] = {
         )
         SELECT p.page_id, host, path, b.r AS rule, coalesce(b.v, 'allow') AS verdict FROM parts p LEFT JOIN fits USING (page_id)
     """,
+    "op12_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+        counts AS (
+            SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS gram, count(*) AS f
+            FROM words, range(1, 6) AS t(k), LATERAL (SELECT unnest(range(1, len(ws) - k + 2)) AS i) GROUP BY ALL
+        ), totals AS (SELECT lang, sum(f) AS n FROM counts WHERE k = 1 GROUP BY lang),
+        candidates AS (SELECT lang, k, gram, f AS a FROM counts WHERE k > 1 AND f >= 100),
+        inside AS (
+            SELECT lang, array_to_string(string_split(gram, ' ')[i:i + m - 1], ' ') AS gram, max(a) AS longer
+            FROM candidates, range(2, 5) AS t(m), LATERAL (SELECT unnest(range(1, k - m + 2)) AS i) WHERE m < k GROUP BY ALL
+        ), cuts AS (
+            SELECT c.*, j, array_to_string(string_split(c.gram, ' ')[1:j], ' ') AS head, array_to_string(string_split(c.gram, ' ')[j + 1:], ' ') AS tail
+            FROM candidates c LEFT JOIN inside i ON c.lang = i.lang AND c.gram = i.gram, range(1, 5) AS t(j)
+            WHERE j < c.k AND (longer IS NULL OR 100 * longer < 100 * a)
+        ), scored AS (
+            SELECT cuts.lang, cuts.gram AS phrase, a, x.f AS l, y.f AS r, n::BIGINT AS n, j, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+            FROM cuts JOIN counts x ON x.lang = cuts.lang AND x.gram = head JOIN counts y ON y.lang = cuts.lang AND y.gram = tail JOIN totals ON totals.lang = cuts.lang
+        ), lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM lowest QUALIFY rank <= 2000
+    """,
+    "op13_decontaminate": r"""
+        WITH i AS (
+            SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+        ), windows AS (
+            SELECT DISTINCT item_id, least(len(ws), 10) AS m, array_to_string(ws[p:p + least(len(ws), 10) - 1], ' ') AS gram
+            FROM i, LATERAL (SELECT unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS p) WHERE len(ws) > 0
+        ), d AS (
+            SELECT row_number() OVER () AS rid, doc_id,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+            FROM documents
+        ), hits AS (
+            SELECT rid, p, d.m, item_id FROM (
+                SELECT rid, m, p, array_to_string(ws[p:p + m - 1], ' ') AS gram
+                FROM d, (SELECT DISTINCT m FROM windows), LATERAL (SELECT unnest(range(1, len(ws) - m + 2)) AS p)
+            ) d JOIN windows USING (m, gram)
+        ), hit AS (SELECT rid, count(DISTINCT p + o) AS n_hit FROM hits, range(0, 10) AS t(o) WHERE o < m GROUP BY rid),
+        items AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item_id FROM hits) GROUP BY rid)
+        SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
+    """,
 }
