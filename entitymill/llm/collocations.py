@@ -7,9 +7,9 @@ there are compacted to one row. A node's count is the flow that leaves it plus
 the pieces that end in it, and so on for ever shorter phrases, so no phrase but
 the longest is counted from the text.
 
-Before the graph, counts of word pairs in a fixed number of hashed cells tell
-which pairs are certainly rarer than what is asked for; pieces are cut there.
-Phrases that are asked for never hold such a pair, so their counts stay exact.
+Before the graph, counts of phrases in a fixed number of hashed cells tell which
+are certainly rarer than what is asked for: pieces end before them. A phrase that
+is asked for holds no such phrase, so its count stays exact.
 """
 
 from __future__ import annotations
@@ -25,10 +25,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut_lineage
 
-#: Cells of the pair counts, and cells a row of them holds. One bit a cell is broadcast: 2 MB, whatever the input.
+#: Cells of the counts of phrases of each size, and cells a row of them holds. One bit a cell is broadcast: 2 MB a size, whatever the input.
 CELLS, BLOCK = 1 << 24, 1 << 14
-#: Bytes of text whose words one task holds at a time, and different segments it counts before it hands them on.
-TEXT_BYTES, SEGMENTS = 1 << 22, 1 << 18
+#: Bytes of text whose words one task holds at a time, and different phrases it counts before it hands them on.
+TEXT_BYTES, PHRASES = 1 << 22, 1 << 18
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -65,43 +65,41 @@ class _Words:
         return self.hashes
 
 
-def _parts(batches: Iterator[pa.RecordBatch], words: _Words) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
-    """(languages, word numbers of many texts with gaps between them, each word's language by number)."""
-    langs: dict[str, int] = {}
-    ids, of, size = [], [], 0
-    gap = np.array([_GAP])
-
-    def ready():
-        return list(langs), np.concatenate(ids), np.repeat(np.array([k for k, _ in of]), np.array([n for _, n in of]))
-
+def _parts(batches: Iterator[pa.RecordBatch], words: _Words) -> Iterator[tuple[str, np.ndarray]]:
+    """(language, word numbers of its texts with gaps between them), for some texts at a time."""
+    held, size, gap = defaultdict(list), 0, np.array([_GAP])
     for batch in batches:
         for lang, text in zip(batch.column(0), batch.column(1)):
             body = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            own = words.number(body)
-            ids += [own, gap]
-            of.append((langs.setdefault(lang.as_py(), len(langs)), len(own) + 1))
+            held[lang.as_py()] += [words.number(body), gap]
             size += len(body)
             if size >= TEXT_BYTES:
-                yield ready()
-                ids, of, size, langs = [], [], 0, {}
-                if len(words.known) > 4 * SEGMENTS:
+                for own, ids in held.items():
+                    yield own, np.concatenate(ids)
+                held, size = defaultdict(list), 0
+                if len(words.known) > 4 * PHRASES:
                     words.forget()
-    if ids:
-        yield ready()
+    for own, ids in held.items():
+        yield own, np.concatenate(ids)
 
 
-def _cells(words: _Words, langs: list[str], ids: np.ndarray, of: np.ndarray, n_cells: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where two words follow each other in a piece, and the cell of each such pair."""
-    at = np.flatnonzero((ids[:-1] != _GAP) & (ids[1:] != _GAP))
-    h = words.hashed()
-    own = np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"), 1) for x in langs), np.uint64, len(langs))
-    mixed = (h[ids[at]] * _A + h[ids[at + 1]]) * _B + own[of[at]]
-    mixed = (mixed ^ (mixed >> np.uint64(31))) * _A
-    return at, ((mixed >> np.uint64(20)) % np.uint64(n_cells)).astype(np.int64)
+def _cells(words: _Words, lang: str, ids: np.ndarray, longest: int, n_cells: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For 1 to ``longest`` words: where as many follow each other in a piece, and the cells of these phrases."""
+    h = words.hashed()[ids]
+    at = np.flatnonzero(ids != _GAP)
+    own = np.full(len(at), xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"), 1), np.uint64)
+    for size in range(longest):
+        if size:
+            keep = np.flatnonzero(at + size < len(ids))
+            keep = keep[ids[at[keep] + size] != _GAP]
+            at, own = at[keep], own[keep]
+        own = (own ^ h[at + size]) * _A
+        own = (own ^ (own >> np.uint64(29))) * _B
+        yield at, ((own >> np.uint64(20)) % np.uint64(n_cells)).astype(np.int32)
 
 
-def frequent_pairs(docs: DataFrame, least: int, n_cells: int = CELLS) -> np.ndarray:
-    """One bit per cell of word pairs: unset only if every pair in it occurs less than ``least`` times.
+def frequent_cells(docs: DataFrame, least: int, longest: int, n_cells: int = CELLS) -> np.ndarray:
+    """A row of bits for phrases of 1 to ``longest`` words: a cell's bit is unset only if all its phrases occur less than ``least`` times.
 
     ``docs``: lang, text. Counts stop at 255 or at ``least`` and travel in
     compressed blocks; every task adds those of its own blocks up as they come.
@@ -109,11 +107,12 @@ def frequent_pairs(docs: DataFrame, least: int, n_cells: int = CELLS) -> np.ndar
     n_blocks, most = -(-n_cells // BLOCK), min(max(least, 1), 255)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held = _Words(), np.zeros(n_blocks * BLOCK, np.uint8)
-        for langs, ids, of in _parts(batches, words):
-            cell, n = np.unique(_cells(words, langs, ids, of, n_cells)[1], return_counts=True)
-            held[cell] = np.minimum(held[cell] + n, most)
-        blocks = held.reshape(n_blocks, BLOCK)
+        words, held = _Words(), np.zeros((longest, n_blocks * BLOCK), np.uint8)
+        for lang, ids in _parts(batches, words):
+            for row, (_, cells) in zip(held, _cells(words, lang, ids, longest, n_cells)):
+                cell, n = np.unique(cells, return_counts=True)
+                row[cell] = np.minimum(row[cell] + n, most)
+        blocks = held.reshape(longest * n_blocks, BLOCK)
         full = np.flatnonzero(blocks.any(axis=1))
         for i in range(0, len(full), 256):
             part = full[i:i + 256]
@@ -130,50 +129,63 @@ def frequent_pairs(docs: DataFrame, least: int, n_cells: int = CELLS) -> np.ndar
                 [pa.array(list(held), pa.int32()), pa.array([zlib.compress(np.packbits(x >= most).tobytes(), 1) for x in held.values()], pa.binary())], names=["block", "bits"])
 
     summed = docs.select("lang", "text").mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, bits binary")
-    bits = np.zeros((n_blocks, BLOCK // 8), np.uint8)
-    for row in summed.collect():  # one bit a cell: 2 MB at most
+    bits = np.zeros((longest * n_blocks, BLOCK // 8), np.uint8)
+    for row in summed.collect():  # one bit a cell, whatever the input
         bits[row["block"]] = np.frombuffer(zlib.decompress(bytes(row["bits"])), np.uint8)
-    return bits.reshape(-1)
+    return bits.reshape(longest, -1)
 
 
-def segments(docs: DataFrame, bits: np.ndarray, n_cells: int = CELLS) -> DataFrame:
-    """(lang, segment, n): pieces cut where a pair is certainly rare, words joined by a space, counted once per task and then over all."""
-    sent = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+def readings(docs: DataFrame, bits: np.ndarray, n_cells: int = CELLS) -> DataFrame:
+    """(lang, size, text, n): how far the text can be read from every word on before a phrase is certainly rare.
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, table = _Words(), Counter(), np.frombuffer(sent.value, np.uint8)
+    Neighbouring words from which the longest phrase can be read give one row
+    together, all their words (size: the longest). Any other word gives the
+    phrase that can be read from it, its piece's end so to speak; size 0 counts
+    words that are rare themselves. Counted in every task, then over all.
+    """
+    sent, longest = docs.sparkSession.sparkContext.broadcast(bits.tobytes()), len(bits)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, held, table = _Words(), Counter(), np.frombuffer(sent.value, np.uint8).reshape(longest, -1)
 
         def handed_on() -> pa.RecordBatch:
-            keys = [k for k in held]
+            keys = list(held)
             out = pa.RecordBatch.from_arrays([
-                pa.array([k[0] for k in keys], pa.string()), pa.array([k[1].decode("utf-8", "surrogatepass") for k in keys], pa.string()),
-                pa.array([held[k] for k in keys], pa.int64())], names=["lang", "segment", "n"])
+                pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()),
+                pa.array([k[2].decode("utf-8", "surrogatepass") for k in keys], pa.string()), pa.array(list(held.values()), pa.int64())], names=["lang", "size", "text", "n"])
             held.clear()
             return out
 
-        for langs, ids, of in _parts(batches, words):
-            at, cell = _cells(words, langs, ids, of, n_cells)
-            linked = np.zeros(len(ids), bool)  # each word with the next one
-            linked[at] = (table[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0
-            real = ids != _GAP
-            starts = np.flatnonzero(real & ~np.concatenate(([False], linked[:-1])))
-            ends = np.flatnonzero(real & ~linked) + 1
-            alone = ends - starts == 1
-            pairs, n = np.unique(of[starts[alone]] * (len(words.names) + 1) + ids[starts[alone]], return_counts=True)
+        for lang, ids in _parts(batches, words):
+            far = np.zeros(len(ids), np.int8)
+            for size, (at, cell) in enumerate(_cells(words, lang, ids, longest, n_cells)):
+                can = (table[size][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0
+                at = at[can & (far[at] == size)]
+                far[at] = size + 1
             names = words.names
+            held[lang, 0, b""] += int(((far == 0) & (ids != _GAP)).sum())
+            number, n = np.unique(ids[far == 1], return_counts=True)
+            for i, k in zip(number.tolist(), n.tolist()):
+                held[lang, 1, names[i]] += k
+            two = np.flatnonzero(far == 2)
+            pairs, n = np.unique(ids[two] << 32 | ids[np.minimum(two + 1, len(ids) - 1)], return_counts=True)
             for p, k in zip(pairs.tolist(), n.tolist()):
-                lang, word = divmod(p, len(names) + 1)
-                held[langs[lang], names[word]] += k
-            listed = ids.tolist()
-            for a, b, lang in zip(starts[~alone].tolist(), ends[~alone].tolist(), of[starts[~alone]].tolist()):
-                held[langs[lang], b" ".join([names[i] for i in listed[a:b]])] += 1
-            if len(held) > SEGMENTS:
+                held[lang, 2, names[p >> 32] + b" " + names[p & 0xFFFFFFFF]] += k
+            kept = [names[i] for i in ids.tolist()]
+            for size in range(3, longest):
+                for i in np.flatnonzero(far == size).tolist():
+                    held[lang, size, b" ".join(kept[i:i + size])] += 1
+            # gaps are read from nowhere, so a run of words ends with its piece at the latest
+            whole = np.concatenate(([False], far == longest, [False]))
+            for a, b in zip(np.flatnonzero(whole[1:] & ~whole[:-1]).tolist(), np.flatnonzero(~whole[1:] & whole[:-1]).tolist()):
+                held[lang, longest, b" ".join(kept[a:b + longest - 1])] += 1
+            if len(held) > PHRASES:
                 yield handed_on()
         if held:
             yield handed_on()
 
-    parts = docs.select("lang", "text").mapInArrow(cut, "lang string, segment string, n long")
-    return parts.groupBy("lang", "segment").agg(F.sum("n").alias("n"))
+    parts = docs.select("lang", "text").mapInArrow(read, "lang string, size int, text string, n long")
+    return parts.groupBy("lang", "size", "text").agg(F.sum("n").alias("n"))
 
 
 def _gram(words: Column, at: Column | int, size: int) -> Column:
@@ -186,40 +198,32 @@ def _grams(words: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: _gram(words, i, size))
 
 
-def _ends(cut: DataFrame, size: int) -> DataFrame:
-    """(lang, gram, n): the last ``size`` words of every segment that has as many."""
-    return cut.filter(F.size("words") >= size).select("lang", _gram(F.col("words"), F.size("words") - size, size).alias("gram"), "n")
-
-
 def _first(gram: Column, size: Column | int) -> Column:
     """The first ``size`` words, the last if it is negative."""
     return F.call_function("substring_index", gram, F.lit(" "), size if isinstance(size, Column) else F.lit(size))
 
 
-def paths(cut: DataFrame, longest: int) -> DataFrame:
-    """(lang, path, n): the compacted graph of the segments that have an edge.
+def paths(runs: DataFrame, ends: DataFrame, longest: int) -> DataFrame:
+    """(lang, path, n): the compacted graph. ``runs``: id, lang, words, n; ``ends``: lang, node, for pieces that end in a node.
 
-    ``cut``: id, lang, words, n. A node is inner if it has one edge in, one edge
-    out and no segment starts or ends in it; segments are cut at all others.
-    What passes an inner node passes the whole path, so equal paths add up and
-    every edge of a path has its count.
+    A node is inner if it has one edge in, one edge out and no run or piece
+    starts or ends there; runs are cut at all others. What passes an inner node
+    passes the whole path, so equal paths add up and every edge of a path has
+    its count.
     """
     node = longest - 1
-    long = cut.filter(F.size("words") >= longest)
-    spots = long.select("id", "lang", "n", F.posexplode(_grams(F.col("words"), longest)).alias("at", "edge"))
+    spots = runs.select("id", "lang", F.posexplode(_grams(F.col("words"), longest)).alias("at", "edge"))
     edges = spots.select("lang", "edge").distinct()
-    last = _first(F.col("edge"), -node)
     once, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     sides = edges.select("lang", F.explode(F.array(
         F.struct(_first(F.col("edge"), node).alias("node"), none.alias("ins"), once.alias("outs"), none.alias("tips")),
-        F.struct(last.alias("node"), once.alias("ins"), none.alias("outs"), none.alias("tips")),
+        F.struct(_first(F.col("edge"), -node).alias("node"), once.alias("ins"), none.alias("outs"), none.alias("tips")),
     )).alias("s")).select("lang", "s.*")
-    tips = cut.filter(F.size("words") >= node).select("lang", F.explode(F.array(
-        _gram(F.col("words"), 0, node), _gram(F.col("words"), F.size("words") - node, node))).alias("node"))
-    tips = tips.select("lang", "node", none.alias("ins"), none.alias("outs"), once.alias("tips"))
+    tips = runs.select("lang", F.explode(F.array(_gram(F.col("words"), 0, node), _gram(F.col("words"), F.size("words") - node, node))).alias("node"))
+    tips = tips.unionByName(ends).select("lang", "node", none.alias("ins"), none.alias("outs"), once.alias("tips"))
     facts = sides.unionByName(tips).groupBy("lang", "node").agg(F.sum("ins").alias("ins"), F.sum("outs").alias("outs"), F.sum("tips").alias("tips"))
     inner = facts.filter("ins = 1 and outs = 1 and tips = 0").select("lang", F.col("node").alias("inner"))
-    # the node an edge leaves; that of a segment's first edge is a tip and never inner
+    # the node an edge leaves; that of a run's first edge is a tip and never inner
     left = spots.select("id", "lang", "at", _first(F.col("edge"), node).alias("inner")).join(cut_lineage(inner), ["lang", "inner"], "left_anti")
     cuts = left.groupBy("id").agg(F.sort_array(F.collect_list("at")).alias("cuts"))
 
@@ -234,34 +238,38 @@ def paths(cut: DataFrame, longest: int) -> DataFrame:
                     n.append(count.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(text, pa.string()), pa.array(n, pa.int64())], names=["lang", "path", "n"])
 
-    joined = long.join(cuts, "id").select("lang", "words", "n", "cuts").mapInArrow(pieces, "lang string, path string, n long")
+    joined = runs.join(cuts, "id").select("lang", "words", "n", "cuts").mapInArrow(pieces, "lang string, path string, n long")
     return joined.groupBy("lang", "path").agg(F.sum("n").alias("n"))
 
 
 def phrase_counts(docs: DataFrame, least: int, longest: int = 5, n_cells: int = CELLS) -> DataFrame:
-    """(lang, gram, size, f): phrases of 1 to ``longest`` words; exact for every phrase with ``least`` or more and for every word.
+    """(lang, gram, size, f): phrases of 1 to ``longest`` words; exact for every phrase that occurs ``least`` times or more.
 
-    ``docs``: lang, text, no nulls. Phrases that hold a pair rarer than
-    ``least`` may be missing; none has a wrong count.
+    ``docs``: lang, text, no nulls. Rarer phrases may be missing; words that are
+    rare themselves are counted together, with size 0.
     """
-    cut = segments(docs, frequent_pairs(docs, least, n_cells), n_cells)
-    cut = cut_lineage(cut.select(F.monotonically_increasing_id().alias("id"), "lang", F.split("segment", " ").alias("words"), "n"))
-    # a path's edges share its count; so do its inner nodes, which only its own edges reach
-    compact = cut_lineage(paths(cut, longest).select("lang", F.split("path", " ").alias("words"), "n"))
+    read = cut_lineage(readings(docs, frequent_cells(docs, least, longest, n_cells), n_cells))
     node = longest - 1
+
+    def ends(size: int) -> DataFrame:
+        """Pieces that end with a phrase of this size, by the phrase."""
+        return read.filter(F.col("size") == size).select("lang", F.col("text").alias("gram"), "n")
+
+    runs = cut_lineage(read.filter(F.col("size") == longest).select(F.monotonically_increasing_id().alias("id"), "lang", F.split("text", " ").alias("words"), "n"))
+    # a path's edges share its count; so do its inner nodes, which only its own edges reach
+    compact = cut_lineage(paths(runs, ends(node).select("lang", F.col("gram").alias("node")), longest).select("lang", F.split("path", " ").alias("words"), "n"))
     out = [compact.select("lang", F.explode(_grams(F.col("words"), longest)).alias("gram"), "n")]
     # all nodes of a path but its first and last
     inner = compact.filter(F.size("words") > longest).select("lang", F.explode(F.slice(_grams(F.col("words"), node), F.lit(2), F.size("words") - longest)).alias("gram"), "n")
-    flow = compact.select("lang", _gram(F.col("words"), 0, node).alias("gram"), "n").unionByName(_ends(cut, node))
+    flow = compact.select("lang", _gram(F.col("words"), 0, node).alias("gram"), "n").unionByName(ends(node))
     now = flow.groupBy("lang", "gram").agg(F.sum("n").alias("n")).unionByName(inner)
     out.append(now := cut_lineage(now))
     for size in range(node - 1, 0, -1):
-        flow = now.select("lang", _first(F.col("gram"), size).alias("gram"), "n").unionByName(_ends(cut, size))
+        flow = now.select("lang", _first(F.col("gram"), size).alias("gram"), "n").unionByName(ends(size))
         out.append(now := cut_lineage(flow.groupBy("lang", "gram").agg(F.sum("n").alias("n"))))
-    found = None
+    found = ends(0).select("lang", "gram", F.lit(0).alias("size"), F.col("n").alias("f"))
     for size, one in zip(range(longest, 0, -1), out):
-        one = one.select("lang", "gram", F.lit(size).alias("size"), F.col("n").alias("f"))
-        found = one if found is None else found.unionByName(one)
+        found = found.unionByName(one.select("lang", "gram", F.lit(size).alias("size"), F.col("n").alias("f")))
     return found
 
 
@@ -281,8 +289,8 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
         raise ValueError("longest must be 3 at least")
     narrow = docs.select(F.coalesce(F.col(lang), F.lit("und")).cast("string").alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     counts = phrase_counts(narrow, least, longest, n_cells)
-    totals = counts.filter("size = 1").groupBy("lang").agg(F.sum("f").alias("n"))
-    often = cut_lineage(counts.filter(F.col("f") >= least))
+    totals = counts.filter("size < 2").groupBy("lang").agg(F.sum("f").alias("n"))
+    often = cut_lineage(counts.filter((F.col("size") > 0) & (F.col("f") >= least)))
     phrases = often.filter("size > 1")
     words = F.split("gram", " ")
     inside = phrases.filter("size > 2").select("lang", F.col("f").alias("longer"), "size", words.alias("w")).select(
