@@ -84,7 +84,7 @@ def _parts(batches: Iterator[pa.RecordBatch], words: _Words) -> Iterator[tuple[s
 
 
 def _cells(words: _Words, lang: str, ids: np.ndarray, longest: int, n_cells: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For 1 to ``longest`` words: where as many follow each other in a piece, and the cells of these phrases."""
+    """For 1 to ``longest`` words: where as many follow each other in a piece, and two cells of each phrase, one in either half."""
     h = words.hashed()[ids]
     at = np.flatnonzero(ids != _GAP)
     own = np.full(len(at), xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"), 1), np.uint64)
@@ -95,12 +95,16 @@ def _cells(words: _Words, lang: str, ids: np.ndarray, longest: int, n_cells: int
             at, own = at[keep], own[keep]
         own = (own ^ h[at + size]) * _A
         own = (own ^ (own >> np.uint64(29))) * _B
-        yield at, ((own >> np.uint64(20)) % np.uint64(n_cells)).astype(np.int32)
+        half = np.uint64(n_cells // 2)
+        again = (own ^ (own >> np.uint64(32))) * _A
+        yield at, np.stack(((own >> np.uint64(20)) % half, (again >> np.uint64(20)) % half + half)).astype(np.int32)
 
 
 def frequent_cells(docs: DataFrame, least: int, longest: int, n_cells: int = CELLS) -> np.ndarray:
     """A row of bits for phrases of 1 to ``longest`` words: a cell's bit is unset only if all its phrases occur less than ``least`` times.
 
+    A phrase that occurs as often has both its bits set; few others have.
+
     ``docs``: lang, text. Counts stop at 255 or at ``least`` and travel in
     compressed blocks; every task adds those of its own blocks up as they come.
     """
@@ -159,7 +163,7 @@ def readings(docs: DataFrame, bits: np.ndarray, n_cells: int = CELLS) -> DataFra
         for lang, ids in _parts(batches, words):
             far = np.zeros(len(ids), np.int8)
             for size, (at, cell) in enumerate(_cells(words, lang, ids, longest, n_cells)):
-                can = (table[size][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0
+                can = ((table[size][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1).all(axis=0)
                 at = at[can & (far[at] == size)]
                 far[at] = size + 1
             names = words.names
