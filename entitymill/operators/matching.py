@@ -4,8 +4,8 @@ Pairs are only formed where they can matter. A decision at threshold T with
 margin m depends on pairs scoring at least T - m, the floor. From the weights
 follow the smallest sets of signals that a pair at the floor has to agree in;
 each set is a block, so no pair at or above the floor is missed. A floor that
-the name alone can reach has no blocks and is refused. Reports on unmatched
-records also look at the best pair in the report blocks, whatever its score.
+the name alone can reach has no blocks and is refused; the best candidate below
+any floor is found by ``ranking``.
 """
 
 from __future__ import annotations
@@ -61,7 +61,7 @@ def profiles(df: DataFrame) -> DataFrame:
     })
 
 
-def _rare_first(sides: list[DataFrame]) -> list[DataFrame]:
+def rare_first(sides: list[DataFrame]) -> list[DataFrame]:
     """``sides`` with their address words ordered from rare to common, as counted over both."""
     words = [df.select("pid", F.explode("address_tokens").alias("w")) for df in sides]
     counts = words[0].unionByName(words[1]).groupBy("w").agg(F.count(F.lit(1)).alias("c"))
@@ -92,8 +92,8 @@ def _with_word(kind: str, fixed: list[Column]):
     return lambda w: _key(kind + "+address", *fixed, w)
 
 
-def block_keys(weights: dict[str, float], floor: float, reports: bool = False) -> Column:
-    """The blocks a profile is in; with ``reports`` also those of report_keys."""
+def block_keys(weights: dict[str, float], floor: float) -> Column:
+    """The blocks a profile is in."""
     value = {
         "phone": F.col("normalized_phone"), "domain": F.col("website_domain"), "city": F.col("city"),
         "category": _meaning(F.col("category")), "social": F.col("social"),
@@ -107,19 +107,10 @@ def block_keys(weights: dict[str, float], floor: float, reports: bool = False) -
         else:
             keys.append(F.coalesce(F.transform(
                 _leading(F.col("address_tokens"), least), _with_word(kind, fixed)), none))
-    return F.array_compact(F.concat(*keys, *([report_keys()] if reports else [])))
+    return F.array_compact(F.concat(*keys))
 
 
-def report_keys() -> Column:
-    """Where the best candidate of an unmatched record is looked for: end of the phone, domain, category in a city, name's beginning in a city."""
-    c = F.col
-    return F.array(
-        _key("r:phone", F.substring("normalized_phone", -7, 7)), _key("r:domain", c("website_domain")),
-        _key("r:category", c("city"), _meaning(c("category"))), _key("r:name", c("city"), F.substring("normalized_name", 1, 4)),
-    )
-
-
-def _split_hot(left: DataFrame, right: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+def dealt_blocks(left: DataFrame, right: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
     """Spread the rows of a hot block over parts, by the counts of both sides.
 
     A part meets every part of the other side. Keys that reach the threshold
@@ -141,20 +132,21 @@ def _split_hot(left: DataFrame, right: DataFrame, hot_rows: int) -> tuple[DataFr
     return dealt(left, "lp", "rp"), dealt(right, "rp", "lp")
 
 
+def side_columns(df: DataFrame, side: str, plain: list[str]) -> DataFrame:
+    """``df`` with its columns as l_* or r_*, but for ``plain``."""
+    return df.select(*plain, *[F.col(c).alias(f"{side}_{c}") for c in df.columns if c not in plain])
+
+
 def candidates(
-    left: DataFrame, right: DataFrame, floor: float, weights: dict[str, float] | None = None, reports: bool = False,
-    hot_rows: int = HOT_ROWS,
+    left: DataFrame, right: DataFrame, floor: float, weights: dict[str, float] | None = None, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Profile pairs that share a block, each once, as l_* and r_* columns."""
-    keys = block_keys(weights or V.MATCH_WEIGHTS, floor, reports)
+    keys = block_keys(weights or V.MATCH_WEIGHTS, floor)
     # each read by the counts and by the pairs
-    blocked = [cut_lineage(df.withColumn("keys", keys)) for df in _rare_first([profiles(left), profiles(right)])]
-    a, b = _split_hot(*[df.withColumn("key", F.explode("keys")) for df in blocked], hot_rows)
-    dealt = ("key", "lp", "rp")
-    renamed = [
-        df.select(*dealt, *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in dealt]) for df, p in ((a, "l"), (b, "r"))
-    ]
-    met = renamed[0].join(renamed[1], list(dealt))
+    blocked = [cut_lineage(df.withColumn("keys", keys)) for df in rare_first([profiles(left), profiles(right)])]
+    a, b = dealt_blocks(*[df.withColumn("key", F.explode("keys")) for df in blocked], hot_rows)
+    dealt = ["key", "lp", "rp"]
+    met = side_columns(a, "l", dealt).join(side_columns(b, "r", dealt), dealt)
     # a pair meets once per shared block; it is kept at the first, without a distinct
     first = F.try_element_at(F.array_intersect("l_keys", "r_keys"), F.lit(1))
     return met.filter(F.col("key") == first).drop(*dealt)
@@ -216,23 +208,19 @@ def strong_identity() -> dict[str, Column]:
 
 def score_pairs(
     left: DataFrame, right: DataFrame, floor: float = V.MATCH_THRESHOLD - V.AMBIGUITY_MARGIN, weights: dict[str, float] | None = None,
-    reports: bool = False, hot_rows: int = HOT_ROWS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Every profile pair scoring at least ``floor``, scored where it is formed; with ``reports`` those in the report blocks too.
+    """Every profile pair scoring at least ``floor``, scored where it is formed.
 
     Decisions need a floor of their threshold less their margin or lower; it
     travels as metadata of the score.
     """
-    scored = signal_scores(candidates(left, right, floor, weights, reports, hot_rows)).withColumn("score", weighted_score(weights))
-    if reports:
-        scored = scored.filter((F.col("score") >= floor) | F.exists(F.array_intersect("l_keys", "r_keys"), lambda k: k.startswith("r:")))
-    else:
-        scored = scored.filter(F.col("score") >= floor)
+    scored = signal_scores(candidates(left, right, floor, weights, hot_rows)).withColumn("score", weighted_score(weights)).filter(F.col("score") >= floor)
     known = scored.withMetadata("score", {"floor": float(floor)}).drop("l_keys", "r_keys")
     return known.withColumns(strong_identity())
 
 
-def _profile_ids(rows: DataFrame) -> DataFrame:
+def profile_ids(rows: DataFrame) -> DataFrame:
     """(id, run_id, pid) of every record."""
     known = rows.select("id", *[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in COMPARED])
     return known.select("id", "run_id", F.sha2(F.to_json(F.struct(*COMPARED), {"ignoreNullFields": "false"}), 256).alias("pid"))
@@ -240,8 +228,8 @@ def _profile_ids(rows: DataFrame) -> DataFrame:
 
 def record_pairs(scored: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of profiles as pairs of records, l_id and r_id: copies are scored once and all reported."""
-    a = _profile_ids(left).select(F.col("pid").alias("l_pid"), F.col("id").alias("l_id"))
-    b = _profile_ids(right).select(F.col("pid").alias("r_pid"), F.col("id").alias("r_id"))
+    a = profile_ids(left).select(F.col("pid").alias("l_pid"), F.col("id").alias("l_id"))
+    b = profile_ids(right).select(F.col("pid").alias("r_pid"), F.col("id").alias("r_id"))
     return scored.join(a, "l_pid").join(b, "r_pid")
 
 
@@ -299,13 +287,19 @@ def decisions(
     other = "r" if side == "l" else "l"
     best = _best_two(scored, side, other).withColumnRenamed(f"{side}_pid", "pid")
     # copies share one profile, possibly very many of them
-    met = attach_per_key(_profile_ids(side_rows), best, "pid", "n", side_rows.count(), hot_rows, "left")
+    met = attach_per_key(profile_ids(side_rows), best, "pid", "n", side_rows.count(), hot_rows, "left")
     out = met.drop("pid").withColumn("threshold", F.lit(float(threshold)))
     if floor is not None:
         out = out.withMetadata("best_score", {"floor": floor})
     return out.withColumn("decision", decide(F.col("threshold"), margin)).withColumn("reason", _reason())
 
 
+def with_best_candidates(decided: DataFrame, best: DataFrame) -> DataFrame:
+    """Records that were not matched, with the best candidate of all they could be compared with (``ranking.best_candidates``)."""
+    rest = decided.filter("decision <> 'MATCHED'").drop("best_id", "best_score", "reason")
+    return rest.join(best.drop("run_id"), "id", "left").withColumn("reason", _reason())
+
+
 def resolve_conflicts(decided: DataFrame) -> DataFrame:
     """A listing is matched once: its best claimant keeps it, the others conflict."""
     matched = decided.filter("decision = 'MATCHED'")

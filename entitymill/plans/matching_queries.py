@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from entitymill import vocabulary as V
 from entitymill.functions.similarity import address_tokens
 from entitymill.functions.web import normalize_email, social_network
-from entitymill.operators import dedup, enrichment, matching, merge, platforms
+from entitymill.operators import dedup, enrichment, matching, merge, platforms, ranking
 from entitymill.plans import duck
 from entitymill.plans.cleaning_queries import canonical
 from entitymill.plans.derived import table, view, with_views
@@ -44,16 +44,14 @@ pairs AS MATERIALIZED (SELECT l.run_id, l.id AS l_id, r.id AS r_id, l.category A
   CAST({_EQ.format(c='normalized_phone')} AS DOUBLE) AS phone_score, CAST({_EQ.format(c='website_domain')} AS DOUBLE) AS domain_score,
   CAST(greatest({_JACCARD.format(a='l.nt', b='r.nt')}, {_LEV}) AS DOUBLE) AS name_score, CAST({_JACCARD.format(a='l.at_', b='r.at_')} AS DOUBLE) AS address_score,
   CAST({_EQ.format(c='city')} AS DOUBLE) AS city_score, CAST(CASE WHEN l.category = r.category THEN 1.0 WHEN l.meaning = r.meaning THEN 0.8 ELSE 0.0 END AS DOUBLE) AS category_score,
-  CAST({_EQ.format(c='social')} AS DOUBLE) AS social_score,
-  coalesce(right(l.normalized_phone, 7) = right(r.normalized_phone, 7), FALSE) OR coalesce(l.website_domain = r.website_domain, FALSE)
-    OR coalesce(l.city = r.city AND (left(l.normalized_name, 4) = left(r.normalized_name, 4) OR coalesce(l.meaning, l.category) = coalesce(r.meaning, r.category)), FALSE) AS near FROM a l JOIN b r ON l.run_id = r.run_id),
+  CAST({_EQ.format(c='social')} AS DOUBLE) AS social_score FROM a l JOIN b r ON l.run_id = r.run_id),
 weighted AS MATERIALIZED (SELECT *, round(25 * phone_score + 20 * domain_score + 20 * name_score + 20 * address_score + 5 * city_score + 5 * category_score + 5 * social_score, 6) AS score FROM pairs),
-scored AS MATERIALIZED (SELECT * FROM weighted WHERE score >= {FLOOR} OR near)"""
+scored AS MATERIALIZED (SELECT * FROM weighted WHERE score >= {FLOOR})"""
 
 
 def _decided(side: str, other: str, source: str, threshold: float = 80) -> str:
     return f"""ranked_{side} AS (SELECT {side}_id AS id, {other}_id AS best_id, score, row_number() OVER (PARTITION BY {side}_id ORDER BY score DESC, {other}_id) AS n,
-  lead(score) OVER (PARTITION BY {side}_id ORDER BY score DESC, {other}_id) AS nxt FROM scored),
+  lead(score) OVER (PARTITION BY {side}_id ORDER BY score DESC, {other}_id) AS nxt FROM scored WHERE score >= {min(threshold, V.MATCH_THRESHOLD) - V.AMBIGUITY_MARGIN}),
 decided_{side} AS MATERIALIZED (SELECT s.id, s.run_id, k.best_id, k.score AS best_score, CASE WHEN k.id IS NOT NULL THEN coalesce(k.nxt, 0.0) END AS second_score,
   CAST({threshold} AS DOUBLE) AS threshold,
   CASE WHEN k.score IS NULL OR k.score < {threshold} THEN 'UNMATCHED' WHEN k.score - coalesce(k.nxt, 0) >= 5 THEN 'MATCHED' ELSE 'AMBIGUOUS' END AS decision,
@@ -61,6 +59,14 @@ decided_{side} AS MATERIALIZED (SELECT s.id, s.run_id, k.best_id, k.score AS bes
   FROM {source} s LEFT JOIN ranked_{side} k ON k.id = s.id AND k.n = 1)"""
 
 
+def _unmatched(side: str, other: str) -> str:
+    """Records without a match and the best of all pairs of their run."""
+    return f"""best_{side} AS (SELECT {side}_id AS id, {other}_id AS best_id, score AS best_score FROM weighted QUALIFY row_number() OVER (PARTITION BY {side}_id ORDER BY score DESC, {other}_id) = 1),
+unmatched_{side} AS (SELECT d.id, d.run_id, b.best_id, b.best_score, d.threshold,
+  CASE WHEN decision = 'AMBIGUOUS' THEN 'AMBIGUOUS_CANDIDATES' WHEN b.best_score IS NULL THEN 'NO_CANDIDATE' ELSE 'BELOW_THRESHOLD' END AS reason
+  FROM decided_{side} d LEFT JOIN best_{side} b ON b.id = d.id WHERE decision <> 'MATCHED')"""
+
+
 _SIDES = ("v_left", "v_right")
 _LEFT_DECIDED, _RIGHT_DECIDED = _decided("l", "r", "v_left"), _decided("r", "l", "v_right")
 
@@ -72,12 +78,22 @@ def sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of records with all their columns."""
     left, right = sides(spark, sf)
-    return matching.record_pairs(matching.score_pairs(left, right, FLOOR, reports=True), left, right)
+    return matching.record_pairs(matching.score_pairs(left, right, FLOOR), left, right)
+
+
+def decided(spark: SparkSession, sf: str, side: str = "l", threshold: float = V.MATCH_THRESHOLD) -> DataFrame:
+    """Decisions from the pairs that a threshold depends on."""
+    left, right = sides(spark, sf)
+    return matching.decisions(left if side == "l" else right, matching.score_pairs(left, right, threshold - V.AMBIGUITY_MARGIN), side, threshold)
 
 
-def decided(spark: SparkSession, sf: str, side: str = "l") -> DataFrame:
+def unmatched(spark: SparkSession, sf: str, side: str = "l", made: DataFrame | None = None) -> DataFrame:
+    """Records without a match, each with the best of all candidates of its run."""
     left, right = sides(spark, sf)
-    return matching.decisions(left if side == "l" else right, matching.score_pairs(left, right, FLOOR, reports=True), side)
+    mine, theirs = (left, right) if side == "l" else (right, left)
+    made = cut_lineage(made if made is not None else decided(spark, sf, side))
+    open_ = mine.join(made.filter("decision <> 'MATCHED'").select("id"), "id", "left_semi")
+    return matching.with_best_candidates(made, ranking.best_candidates(open_, theirs))
 
 
 _SCORES = ["phone_score", "domain_score", "name_score", "address_score", "city_score", "category_score", "social_score"]
@@ -129,15 +145,15 @@ def match_explanations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("unmatched_listings", "M-9", _over(
-    "SELECT id, best_id, best_score, threshold, reason FROM decided_l WHERE decision <> 'MATCHED'", *_SIDES, ctes=f"{_SCORED}, {_LEFT_DECIDED}"))
+    "SELECT id, best_id, best_score, threshold, reason FROM unmatched_l", *_SIDES, ctes=f"{_SCORED}, {_LEFT_DECIDED}, {_unmatched('l', 'r')}"))
 def unmatched_listings(spark: SparkSession, sf: str) -> DataFrame:
-    return decided(spark, sf).filter("decision <> 'MATCHED'").select("id", "best_id", "best_score", "threshold", "reason")
+    return unmatched(spark, sf).select("id", "best_id", "best_score", "threshold", "reason")
 
 
 @query("unmatched_platform_records", "M-9", _over(
-    "SELECT id, best_id, best_score, threshold, reason FROM decided_r WHERE decision <> 'MATCHED'", *_SIDES, ctes=f"{_SCORED}, {_RIGHT_DECIDED}"))
+    "SELECT id, best_id, best_score, threshold, reason FROM unmatched_r", *_SIDES, ctes=f"{_SCORED}, {_RIGHT_DECIDED}, {_unmatched('r', 'l')}"))
 def unmatched_platform_records(spark: SparkSession, sf: str) -> DataFrame:
-    return decided(spark, sf, "r").filter("decision <> 'MATCHED'").select("id", "best_id", "best_score", "threshold", "reason")
+    return unmatched(spark, sf, "r").select("id", "best_id", "best_score", "threshold", "reason")
 
 
 def _rematched(threshold: int) -> str:
@@ -145,7 +161,7 @@ def _rematched(threshold: int) -> str:
 
 
 def _rematch(spark: SparkSession, sf: str, threshold: int) -> DataFrame:
-    return matching.rematch(decided(spark, sf), threshold, "second").select("id", "threshold", "decision", "reason", "evaluation")
+    return matching.rematch(decided(spark, sf, threshold=min(threshold, V.MATCH_THRESHOLD)), threshold, "second").select("id", "threshold", "decision", "reason", "evaluation")
 
 
 @query("rematch_at_new_threshold", "M-10", _rematched(95))
@@ -473,7 +489,7 @@ def matched_dataset(spark: SparkSession, sf: str) -> DataFrame:
 
 def _matched(spark: SparkSession, sf: str, made: DataFrame | None = None) -> DataFrame:
     left, right = sides(spark, sf)
-    pairs = matching.score_pairs(left, right, FLOOR, reports=True)
+    pairs = matching.score_pairs(left, right)
     made = made if made is not None else matching.decisions(left, pairs)
     explained = matching.record_pairs(pairs, left, right).select(F.col("l_id").alias("id"), F.col("r_id").alias("best_id"), matching.explain().alias("explanation"))
     return merge.matched_sheet(made, left, right, explained, presences(spark, sf), _availability(spark, sf))
@@ -481,14 +497,14 @@ def _matched(spark: SparkSession, sf: str, made: DataFrame | None = None) -> Dat
 
 @query("unmatched_datasets", "G-6", _over("""
 SELECT 'listing' AS side, l.run_id AS "Run ID", l.normalized_name AS "Normalized Name", best_id AS "Best Candidate", best_score AS "Best Candidate Score", threshold AS "Threshold", reason AS "Unmatched Reason"
-FROM decided_l d JOIN v_left l USING (id) WHERE decision <> 'MATCHED'
-UNION ALL SELECT 'platform', r.run_id, r.normalized_name, best_id, best_score, threshold, reason FROM decided_r d JOIN v_right r USING (id) WHERE decision <> 'MATCHED'""",
-                                               *_SIDES, ctes=f"{_SCORED}, {_LEFT_DECIDED}, {_RIGHT_DECIDED}"))
+FROM unmatched_l d JOIN v_left l USING (id)
+UNION ALL SELECT 'platform', r.run_id, r.normalized_name, best_id, best_score, threshold, reason FROM unmatched_r d JOIN v_right r USING (id)""",
+                                               *_SIDES, ctes=f"{_SCORED}, {_LEFT_DECIDED}, {_RIGHT_DECIDED}, {_unmatched('l', 'r')}, {_unmatched('r', 'l')}"))
 def unmatched_datasets(spark: SparkSession, sf: str) -> DataFrame:
     left, right = sides(spark, sf)
     shown = ["Run ID", "Normalized Name", *merge.UNMATCHED_TAIL]
-    a = merge.unmatched_sheet(decided(spark, sf), left, merge.LISTING_SHEET).select(F.lit("listing").alias("side"), *shown)
-    b = merge.unmatched_sheet(decided(spark, sf, "r"), right, merge.PLATFORM_SHEET).select(F.lit("platform").alias("side"), *shown)
+    a = merge.unmatched_sheet(unmatched(spark, sf), left, merge.LISTING_SHEET).select(F.lit("listing").alias("side"), *shown)
+    b = merge.unmatched_sheet(unmatched(spark, sf, "r"), right, merge.PLATFORM_SHEET).select(F.lit("platform").alias("side"), *shown)
     return a.unionByName(b)
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from entitymill import vocabulary as V
-from entitymill.operators import matching, platforms
+from entitymill.operators import matching, platforms, ranking
 
 
 def businesses(seed, n, offset=0):
@@ -44,6 +44,34 @@ def test_blocks_are_complete(spark, floor, hot):
     assert got == key(brute(left, right).filter(F.col("score") >= floor)) and len(got) > 10
 
 
+@pytest.mark.parametrize("floors,hot", [(ranking.FLOORS, 1_000_000), ((0.5, 0.25), 4), ((), 1_000_000), ((0.9,), 3)])
+def test_best_candidates_are_those_of_all_pairs(spark, floors, hot):
+    left, right = (spark.createDataFrame(businesses(s, n, o), SCHEMA) for s, n, o in ((3, 150, 0), (4, 90, 500)))
+    # copies, a run of its own, one without a run, one that is like nothing
+    more = [("90001", "lonely", "royal cuts", *[None] * 6), ("90002", None, "royal cuts", *[None] * 6), ("90003", "r", None, *[None] * 6)]
+    left = left.unionByName(spark.createDataFrame(more, SCHEMA)).unionByName(left.filter("id < '00005'").withColumn("id", F.concat(F.lit("8"), "id")))
+    ids = lambda df: df.select("id", F.sha2(F.to_json(F.struct(*matching.COMPARED), {"ignoreNullFields": "false"}), 256).alias("pid"))
+    want = {r["id"]: (r["score"], r["rid"]) for r in brute(left, right).join(ids(left), F.col("pid") == F.col("l_pid")).groupBy("id").agg(
+        F.max("score").alias("score"), F.min_by("r_first_id", F.struct(-F.col("score"), "r_first_id")).alias("rid")).collect()}
+    got = {r["id"]: (r["best_score"], r["best_id"]) for r in ranking.best_candidates(left, right, floors=floors, hot_rows=hot).collect()}
+    assert {k: v for k, v in got.items() if v[1] is not None} == want
+    assert set(got) == {r["id"] for r in left.collect()} and got["90001"] == got["90002"] == (None, None)
+
+
+def test_a_best_candidate_of_21_is_found(spark):
+    left = spark.createDataFrame([("l", "r", "royal cuts", None, None, None, None, None, None)], SCHEMA)
+    right = spark.createDataFrame([
+        ("x", "r", "quiet spa", None, None, "12 mg road", "c", "salon", "s"), ("y", "r", "royal cuts", None, None, None, "c", None, None)], SCHEMA)
+    assert tuple(ranking.best_candidates(left, right).first())[2:] == ("y", 20.0)
+    near = spark.createDataFrame([("l", "r", "zzzz", None, None, "12 mg road bandra west fort", None, "salon", None)], SCHEMA)
+    far = spark.createDataFrame([(f"a{i}", "r", "zzzy", None, None, "1 fort lane", None, None, None) for i in range(5)] + [
+        ("x", "r", "yyyy", None, None, "12 mg road bandra north", None, "salon", None)], SCHEMA)
+    decided = matching.decisions(near, matching.score_pairs(near, far))
+    assert (decided.first()["best_id"], decided.first()["reason"]) == (None, "NO_CANDIDATE")
+    out = matching.with_best_candidates(decided, ranking.best_candidates(near, far)).first()
+    assert (out["best_id"], out["reason"], out["best_score"]) == ("x", "BELOW_THRESHOLD", 17.5)
+
+
 def test_a_floor_without_blocks_is_refused(spark):
     left = spark.createDataFrame(businesses(1, 3), SCHEMA)
     with pytest.raises(ValueError):
