@@ -264,6 +264,18 @@ def availability_as_of(spark: SparkSession, sf: str) -> DataFrame:
     return platforms.availability_as_of(view(spark, sf, "v_snapshots"), F.to_timestamp(F.lit("1998-06-30 00:00:00")))
 
 
+@query("availability_at_shipping", "P-5", _over("""
+, latest AS (SELECT * FROM v_snapshots QUALIFY row_number() OVER (PARTITION BY listing_id, checked_at ORDER BY check_id DESC) = 1),
+asked AS (SELECT l_orderkey, l_linenumber, CAST(o_custkey AS STRING) AS listing_id, CAST(l_shipdate AS TIMESTAMP) - INTERVAL 40 DAY AS at FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT a.l_orderkey, a.l_linenumber, s.checked_at, s.check_id, s.availability_status FROM asked a ASOF LEFT JOIN latest s ON a.listing_id = s.listing_id AND a.at >= s.checked_at""",
+                                             "v_snapshots").replace(") \n,", "),"))
+def availability_at_shipping(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order line with its customer's latest check 40 days before shipping, a time of its own each."""
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).select(
+        "l_orderkey", "l_linenumber", F.col("o_custkey").cast("string").alias("listing_id"), (F.col("l_shipdate").cast("timestamp") - F.expr("interval 40 day")).alias("at"))
+    return platforms.availability_at(lines, view(spark, sf, "v_snapshots")).select("l_orderkey", "l_linenumber", "checked_at", "check_id", "availability_status")
+
+
 @query("common_envelope", "P-6", _over("""
 SELECT 'listing' AS platform, id AS external_id, normalized_name AS name, city, normalized_phone AS phone, CAST(NULL AS STRING) AS profile_url FROM v_left
 UNION ALL SELECT 'directory', id, normalized_name, NULL, normalized_phone, social FROM v_right""", *_SIDES))
