@@ -108,7 +108,7 @@ def read_turns(formatted: Column) -> Column:
     heads = F.create_map(*[F.lit(x) for r, h in HEADS.items() for x in (h, r)])
 
     def turn(piece: Column) -> Column:
-        head = F.regexp_extract(piece, r"(?s)^### (?:role/(?:[^\\:]|\\.)*|[A-Za-z]+): ", 0)
+        head = F.regexp_extract(piece, r"(?s)^### (?:role/[^\\:]*+(?:\\.[^\\:]*+)*+|[A-Za-z]+): ", 0)
         other = unescape(F.regexp_extract(head, r"(?s)^### role/(.*): $", 1))
         return F.struct(F.coalesce(heads[head], other).alias("role"), unescape(F.substr(piece, F.length(head) + 1)).alias("text"))
 
