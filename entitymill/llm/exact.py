@@ -81,9 +81,8 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, in all their columns; of rows equal in id and text, one."""
-    stay = exact_duplicates(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n").alias("_n"))
-    body = F.coalesce(docs[text], F.lit(""))
-    joined = docs.withColumn("_own", F.sha2(body, 256)).join(stay, docs[doc_id].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")))
-    once = joined.filter("_n = 1").unionByName(joined.filter("_n > 1").dropDuplicates(["_id", "_sha"]))
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that stay, in all their columns, whatever their names; of rows equal in id and text, one."""
+    stay = exact_duplicates(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), "n")
+    whole = docs.select(F.struct("*").alias("row"), F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256).alias("own"))
+    joined = whole.join(stay, F.col(f"row.`{doc_id}`").eqNullSafe(F.col("id")) & (F.col("own") == F.col("sha")))
+    return joined.filter("n = 1").unionByName(joined.filter("n > 1").dropDuplicates(["id", "sha"])).select("row.*")

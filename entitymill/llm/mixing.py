@@ -147,12 +147,13 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "sour
     rows = mix(sized_documents(docs, key, source, text), ["_doc", "_text_hash"], **how)
     classes = rows.groupBy("_doc", "_text_hash").agg(
         F.flatten(F.collect_list("passes")).alias("_passes"), F.first("size").alias("_size"), F.count("*").alias("_rows")).filter(F.size("_passes") > 0)
-    joined = docs.withColumn("_own", F.xxhash64(doc_id, source, text)).join(classes, docs[doc_id].eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_text_hash")))
+    # the documents' own columns stay in a struct, so their names clash with none used here
+    whole = docs.select(F.struct("*").alias("row"), F.xxhash64(doc_id, source, text).alias("_own"))
+    joined = whole.join(classes, F.col(f"row.`{doc_id}`").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_text_hash")))
     # rows equal in id, source and text are one class with the passes of all
     once = joined.filter("_rows = 1").unionByName(joined.filter("_rows > 1").dropDuplicates(["_doc", "_text_hash"]))
     read = once.withColumn("_p", F.explode("_passes"))
-    body = F.col(f"`{text}`")
+    body = F.col(f"row.`{text}`")
     cut = F.when(F.col("_p.words") < F.col("_size"), first_words(body, F.col("_p.words"))).otherwise(body)
-    kept = [cut.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    placed = read.select(*kept, F.col("_p.position").alias("_position"), F.col("_text_hash").alias("_tie"))
-    return placed.orderBy("_position", "_tie").select(*[F.col(f"`{c}`") for c in docs.columns])
+    placed = read.select(F.struct(*[(cut if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]).alias("row"), F.col("_p.position").alias("_position"), F.col("_text_hash").alias("_tie"))
+    return placed.orderBy("_position", "_tie").select("row.*")
