@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
 from .components import components
@@ -15,39 +15,66 @@ ROUNDS = 3
 BLOCK = 256
 
 
-def _all_pairs(met: DataFrame, block: int) -> DataFrame:
-    """(u, v), u > v: each pair of a group whose ends are in different components; large groups are cut into blocks, each met by each."""
+def _all_pairs(met: DataFrame, block: int, possible: Callable[[str, str], Column] | None = None) -> DataFrame:
+    """(u, v), u > v: each pair of a group whose ends are in different components; large groups are cut into blocks, each met by each.
+
+    ``possible`` is a condition on the columns of both ends, met as x and y.
+    """
     n_blocks = F.ceil(F.col("n") / block)
     placed = met.withColumn("_own", F.pmod(F.xxhash64("node"), n_blocks)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
-    side = placed.select(F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi"), "key", "node", "component", "_own")
-    pairs = side.alias("x").join(side.alias("y"), ["key", "lo", "hi"]).filter(
-        "x.component <> y.component and x._own = lo and y._own = hi and (lo < hi or x.node > y.node)")
+    facts = [c for c in met.columns if c not in ("key", "node", "component")]
+    side = placed.select(F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi"), "key", "node", "component", "_own", *facts)
+    apart = F.expr("x.component <> y.component and x._own = lo and y._own = hi and (lo < hi or x.node > y.node)")
+    pairs = side.alias("x").join(side.alias("y"), ["key", "lo", "hi"]).filter(apart if possible is None else apart & possible("x", "y"))
     return pairs.select(F.greatest("x.node", "y.node").alias("u"), F.least("x.node", "y.node").alias("v")).distinct()
 
 
-def links_within(met: DataFrame, near: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
+def _ends(members: DataFrame) -> DataFrame:
+    """(key, end, end_component): the widest member of every group."""
+    return members.groupBy("key").agg(F.max(F.struct("wide", "node", "component")).alias("e")).select(
+        "key", F.col("e.node").alias("end"), F.col("e.component").alias("end_component"))
+
+
+def links_within(
+    met: DataFrame, near: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS, block: int = BLOCK, rest: Callable[[DataFrame], DataFrame] | None = None,
+    facts: DataFrame | None = None, possible: Callable[[str, str], Column] | None = None,
+) -> DataFrame:
     """(u, v): of the pairs that share a group those ``near`` keeps, or enough of them to have the same components.
 
     ``met``: key, node (long), each once. First each member of a group meets one
     other, which joins a family of copies in linear size. What is left are the
-    pairs of a group with ends in different components; all of them are compared.
+    pairs of a group with ends in different components; all of them are
+    compared, or, if there are more of them than members, ``rest`` finds their
+    links from the members (key, node, component) still in such groups.
+    Where all are compared, ``possible`` rules pairs out where they are formed,
+    by the ``facts`` (node, ...) of both ends.
     """
-    groups = met.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("end")).filter("n > 1")
-    open_ = cut_lineage(met.join(groups, "key").withColumn("component", F.col("node")))
+    groups = met.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    held = cut_lineage(met.join(groups, "key"))
+    # the member that meets most others of all its groups is asked first: often what the others were copied from
+    wide = held.groupBy("node").agg(F.sum("n").alias("wide"))
+    open_ = cut_lineage(held.join(wide, "node").withColumn("component", F.col("node")))
+    open_ = cut_lineage(open_.join(_ends(open_), "key"))
     found, members = None, open_.count()
-    for i in range(rounds):
-        asked = open_.filter("node <> end and component <> end_component" if i else "node <> end")
+    for _ in range(rounds):
+        asked = open_.filter("node <> end and component <> end_component")
         new = cut_lineage(near(asked.select(F.greatest("node", "end").alias("u"), F.least("node", "end").alias("v")).distinct()))
         found = new if found is None else found.unionByName(new)
         roots = components(found).withColumnRenamed("component", "root")
-        rest = cut_lineage(open_.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("component")))
-        parts = rest.groupBy("key", "component").agg(F.count("*").alias("m"))
+        now = cut_lineage(open_.select("key", "node", "wide", "end").join(roots, "node", "left").select("key", "node", "wide", "end", F.coalesce("root", "node").alias("component")))
+        parts = now.groupBy("key", "component").agg(F.count("*").alias("m"))
         # a group in one component has nothing left to compare
         left = parts.groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m").cast("double") * F.col("m")).alias("same"), F.count("*").alias("parts")).filter("parts > 1")
-        ends = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(i)), "node", "component")).alias("_end")).select(
-            "key", F.col("_end.node").alias("end"), F.col("_end.component").alias("end_component"))
-        open_ = cut_lineage(rest.join(left.join(ends, "key").select("key", "n", "same", "end", "end_component"), "key"))
+        # next it is the widest member that the last one was not joined with
+        before = now.groupBy("key").agg(F.max(F.when(F.col("node") == F.col("end"), F.col("component"))).alias("joined"))
+        ends = _ends(now.join(before, "key").filter("component <> joined"))
+        open_ = cut_lineage(now.drop("end").join(left.join(ends, "key").select("key", "n", "same", "end", "end_component"), "key"))
         pairs = open_.filter("node = end").agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
         if pairs <= members:
+            rest = None
             break
-    return found.unionByName(near(_all_pairs(open_, block)))
+    if rest is not None:
+        return found.unionByName(rest(open_))
+    if facts is not None:
+        open_ = open_.join(facts, "node")
+    return found.unionByName(near(_all_pairs(open_, block, possible)))

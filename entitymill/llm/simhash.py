@@ -182,8 +182,18 @@ def _digest(h: np.ndarray) -> int:
     return int(np.array(xxhash.xxh64_intdigest(h.tobytes(), SEED), np.uint64).view(np.int64))
 
 
+#: 64-bit words of a set's bitmap, in which every element sets one bit.
+BITS = 8
+
+
+def _bitmap(h: np.ndarray) -> np.ndarray:
+    bits = np.zeros(64 * BITS, np.uint8)
+    bits[(h >> np.uint64(7)) % np.uint64(64 * BITS)] = 1
+    return np.packbits(bits).view(">i8").astype(np.int64)
+
+
 def shingle_sets(docs: DataFrame, key: list[Column], text: str, shingle: int, whole: bool) -> DataFrame:
-    """The columns ``key``, the digest ``node`` of the text's distinct shingles, and these (``whole``) or the keys under which it meets others."""
+    """The columns ``key``, the digest ``node`` of the text's distinct shingles, and these with their bitmap (``whole``) or the keys under which it meets others."""
     narrow = docs.select(*key, F.col(text).alias("_text"))
     keys = narrow.columns[:-1]
     last = "shingles" if whole else "meets"
@@ -192,33 +202,88 @@ def shingle_sets(docs: DataFrame, key: list[Column], text: str, shingle: int, wh
         for big in batches:
             for at in range(0, big.num_rows, 256):  # lists of few texts at a time
                 batch = big.slice(at, 256)
-                nodes, lists = [], []
+                nodes, lists, maps = [], [], []
                 for one in batch.column(len(keys)):
                     h = np.unique(shingle_hashes(one.as_py(), shingle))
                     nodes.append(_digest(h))
+                    maps.append(_bitmap(h).tolist() if whole else [])
                     lists.append(h.view(np.int64) if whole else _meeting_keys(h) if len(h) else np.empty(0, np.int64))
                 ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(nodes, pa.int64()), column], names=[*keys, "node", last])
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:-1], pa.array(nodes, pa.int64()), column, pa.array(maps, pa.list_(pa.int64()))][: None if whole else -1],
+                    names=[*keys, "node", last, "bits"][: None if whole else -1])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1]] + ["node long", f"{last} array<long>"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1]] + ["node long", f"{last} array<long>"] + ["bits array<long>"] * whole)
     return narrow.mapInArrow(run, schema)
 
 
+def _alike(x: str, y: str) -> Column:
+    """Whether two sets, by the prefixes of their columns elements and bits, can have a similarity of 0.8.
+
+    A bit that only one side has stands for an element that the other lacks.
+    """
+    def lacking(a: str, b: str) -> Column:
+        only = [F.bit_count(F.col(f"{a}bits")[i].bitwiseAND(F.bitwise_not(F.col(f"{b}bits")[i]))) for i in range(BITS)]
+        return sum(only[1:], only[0])
+
+    n, m = F.col(f"{x}elements"), F.col(f"{y}elements")
+    return 9 * F.least(n - lacking(x, y), m - lacking(y, x)) >= 4 * (n + m)
+
+
+def _facts(sets: DataFrame) -> DataFrame:
+    return sets.select("node", F.size("shingles").alias("elements"), "bits")
+
+
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (u, v) whose sets (node, shingles) have a similarity of 0.8 at least: common elements over all elements, exactly."""
+    """The (u, v) whose sets (node, shingles, bits) have a similarity of 0.8 at least: common elements over all elements, exactly.
+
+    Sizes and bitmaps rule out most others before a set moves.
+    """
     a, b = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"_{n}")) for n in "uv")
-    # sizes alone rule out many: the smaller set holds 0.8 of the larger one at least
-    sizes = sets.select("node", F.size("shingles").alias("n"))
-    fit = cut_lineage(
-        pairs.join(sizes.select(F.col("node").alias("u"), F.col("n").alias("_nu")), "u").join(sizes.select(F.col("node").alias("v"), F.col("n").alias("_nv")), "v")
-        .filter(5 * F.least("_nu", "_nv") >= 4 * F.greatest("_nu", "_nv")).select("u", "v"))
+    sides = [_facts(sets).select(F.col("node").alias(e), F.col("elements").alias(f"_{e}elements"), F.col("bits").alias(f"_{e}bits")) for e in "uv"]
+    fit = cut_lineage(pairs.join(sides[0], "u").join(sides[1], "v").filter(_alike("_u", "_v")).select("u", "v"))
     both = F.size(F.array_intersect("_u", "_v"))
     return fit.join(a, "u").join(b, "v").filter(9 * both >= 4 * (F.size("_u") + F.size("_v"))).select("u", "v")
 
 
+def rarest_first(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, node): the shingles under which sets of a similarity of 0.8 meet, exactly: the rarest fifth of each set.
+
+    Sets that share 0.8 of their elements share one of the first
+    n - ceil(0.8 n) + 1 in any common order. Rare ones come first, as counted
+    over ``members`` (node); those that one member alone has are first of all
+    and meet nobody.
+    """
+    own = members.join(sets, "node")
+    spots = cut_lineage(own.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("key")))
+    shared = spots.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    ordered = spots.join(cut_lineage(shared), "key").groupBy("node").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "key"))).alias("s"))
+    # n - ceil(0.8 n) + 1 = n div 5 + 1, of which the n - size(s) that nobody shares come first
+    take = F.expr("cast(greatest(n div 5 + 1 - (n - size(s)), 0) as int)")
+    return ordered.select("node", F.explode(F.slice("s", F.lit(1), take)).alias("e")).select("e.key", "node")
+
+
+def similar_links(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): links of all similar pairs that share a band, or enough for the same components.
+
+    Families are joined through one member each. Where many members of a band
+    stay apart, as texts on one template do, those members meet again under
+    their rarest shingles, which unlike ones do not share, so no band's pairs
+    are all compared.
+    """
+    def near(pairs: DataFrame) -> DataFrame:
+        return similar(pairs, sets)
+
+    def again(open_: DataFrame) -> DataFrame:
+        return links_within(cut_lineage(rarest_first(open_.select("node").distinct(), sets)), near, **ruled_out)
+
+    ruled_out = {"facts": _facts(sets), "possible": lambda x, y: _alike(f"{x}.", f"{y}.")}
+    return links_within(met, near, rest=again, **ruled_out)
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` that stay, in all their columns: of each group of near-duplicates the row with the smallest doc_id.
+    """The rows of ``docs`` that stay, in all their columns, whatever their names: of each group of near-duplicates the row with the smallest doc_id.
 
     Texts are linked if at least 0.8 of their distinct shingles are common to
     both, which is verified for every link; groups are what links join. Of rows
@@ -238,9 +303,10 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
         F.col("least._doc").alias("_id"), F.col("least._text_hash").alias("_own"))
     own = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_body"))
     own = own.join(asked, own["_doc"].eqNullSafe(F.col("_id")) & (F.xxhash64("_body") == F.col("_own")), "left_semi")
-    sets = cut_lineage(shingle_sets(own, [], "_body", shingle, whole=True).groupBy("node").agg(F.first("shingles").alias("shingles")))
-    groups = components(links_within(met, lambda pairs: similar(pairs, sets)))
+    sets = cut_lineage(shingle_sets(own, [], "_body", shingle, whole=True).groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits")))
+    groups = components(similar_links(met, sets))
     named = nodes.join(groups, "node", "left").select("least", F.coalesce("component", "node").alias("group"))
     stay = named.groupBy("group").agg(F.min("least").alias("least")).select(F.col("least._doc").alias("_id"), F.col("least._text_hash").alias("_own"))
-    joined = docs.join(stay, docs[doc_id].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_own")), "left_semi")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = docs.select(F.struct("*").alias("row"))
+    at = F.col(f"row.`{doc_id}`").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(f"row.`{text}`")) == F.col("_own"))
+    return whole.join(stay, at, "left_semi").select("row.*")

@@ -521,11 +521,62 @@ def test_rules_may_be_missing(spark):
 
 
 def test_clashing_columns(spark, docs):
-    names = ["group", "f0", "node", "key", "_k1", "_text", "recipe", "n", "size", "taken", "passes", "spans", "lang_pred", "ids", "position", "_doc"]
-    wide = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
-    assert exact.without_copies(wide).columns == wide.columns and simhash.one_of_each(wide).columns == wide.columns
-    assert mixing.mixed_documents(wide.drop("_doc")).columns == wide.drop("_doc").columns
+    names = [
+        "group", "f0", "node", "key", "_k1", "_text", "recipe", "n", "size", "taken", "passes", "spans", "lang_pred", "ids", "position", "_doc", "_own", "_n", "_id", "_sha", "_p", "_size",
+        "_passes", "_rows", "_position", "_tie", "_text_hash", "row", "own", "id", "sha", "least", "meets", "bits", "elements", "_body", "_order", "hash", "hashes", "a.b",
+    ]
+    wide = docs.select("*", *[F.lit(f"value {n}").alias(n) for n in names])
+    for out in (exact.without_copies(wide), simhash.one_of_each(wide), mixing.mixed_documents(wide)):
+        assert out.columns == wide.columns
+        first = out.first()
+        assert [first[n] for n in names] == [f"value {n}" for n in names]
     kept = langid.in_a_language(wide)
     assert kept.columns == wide.columns and kept.filter("doc_id in (500, 501, 502, 506)").count() == 0 and kept.count() > 10
     assert substrings.without_repeats(wide, [F.col("doc_id")]).count() == wide.count()
     assert len(secrets.scan(wide, [F.col("doc_id")]).collect()) == wide.count()
+
+
+# --- values at the ends of what is allowed -------------------------------------------------------
+
+
+@pytest.mark.parametrize("size", [1e-200, 1e-310, 1.0, 1e200, 1.7e308])
+def test_vectors_of_any_size_are_compared_by_direction(spark, size):
+    """0.973 apart is no link at 0.98, 0.999 is, whatever the components' size."""
+    rows = [(1, [size, 0.0]), (2, [size * 0.973, size * 0.2308]), (3, [size * 0.5, size * 0.01]), (4, [0.0, size]), (5, [-size, 0.0])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in lattice.near_vectors(df, tables=8, probes=240).collect()}
+    assert got == {1: (1, 1), 2: (0, 2), 3: (1, 1), 4: (0, 4), 5: (0, 5)}
+
+
+def test_a_role_of_a_million_letters(spark):
+    role = "ro\\le:" * 150_000
+    rows = spark.createDataFrame([(1, 0, role, "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    messages = chat.linear_messages(rows)
+    done = chat.format_paths(chat.best_paths(chat.root_paths(messages)), messages)
+    turns = done.select(chat.read_turns(F.col("formatted")).alias("t")).first()["t"]
+    assert [(t["role"], t["text"]) for t in turns] == [(role, "a"), ("assistant", "b")]
+
+
+def test_texts_on_one_template_stay_apart(spark):
+    """Texts that share bands without being near copies are not all compared with each other."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(400):
+        own = list(base)
+        for at in rng.sample(range(60), 3):
+            own[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(own), "en", "s", None))
+    near = [(1000 + i, rows[i][1] + " end", "en", "s", None) for i in range(0, 400, 8)]
+    real, asked = simhash.similar, []
+
+    def counted(pairs, sets):
+        asked.append(pairs.count())
+        return real(pairs, sets)
+
+    simhash.similar = counted
+    try:
+        kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows + near, DOCS)).collect()}
+    finally:
+        simhash.similar = real
+    assert kept == set(range(400)) and sum(asked) < 12 * len(rows)
