@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files and checkpoints that nothing refers to any more.
+
+    Spark removes them when the driver collects its garbage, which a driver with
+    a large heap may not do for half an hour; loops that cut their lineage in
+    every round would keep the files of all rounds until then.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether something is stored there, in any file system Spark reads; other errors are raised."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
