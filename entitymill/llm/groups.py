@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, release
 from .components import components
 
 #: Rounds in which members meet one member of their group, before all pairs still open are compared.
@@ -29,9 +29,9 @@ def _all_pairs(met: DataFrame, block: int, possible: Callable[[str, str], Column
     return pairs.select(F.greatest("x.node", "y.node").alias("u"), F.least("x.node", "y.node").alias("v")).distinct()
 
 
-def _ends(members: DataFrame) -> DataFrame:
-    """(key, end, end_component): the widest member of every group."""
-    return members.groupBy("key").agg(F.max(F.struct("wide", "node", "component")).alias("e")).select(
+def _ends(members: DataFrame, i: int) -> DataFrame:
+    """(key, end, end_component): one member of every group, another one in every round; a node is the end of all its groups or of few."""
+    return members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(i)), "node", "component")).alias("e")).select(
         "key", F.col("e.node").alias("end"), F.col("e.component").alias("end_component"))
 
 
@@ -50,25 +50,20 @@ def links_within(
     by the ``facts`` (node, ...) of both ends.
     """
     groups = met.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    held = cut_lineage(met.join(groups, "key"))
-    # the member that meets most others of all its groups is asked first: often what the others were copied from
-    wide = held.groupBy("node").agg(F.sum("n").alias("wide"))
-    open_ = cut_lineage(held.join(wide, "node").withColumn("component", F.col("node")))
-    open_ = cut_lineage(open_.join(_ends(open_), "key"))
+    open_ = cut_lineage(met.join(groups.drop("n"), "key").withColumn("component", F.col("node")))
+    open_ = cut_lineage(open_.join(_ends(open_, 0), "key"))
     found, members = None, open_.count()
-    for _ in range(rounds):
+    for i in range(rounds):
         asked = open_.filter("node <> end and component <> end_component")
         new = cut_lineage(near(asked.select(F.greatest("node", "end").alias("u"), F.least("node", "end").alias("v")).distinct()))
         found = new if found is None else found.unionByName(new)
         roots = components(found).withColumnRenamed("component", "root")
-        now = cut_lineage(open_.select("key", "node", "wide", "end").join(roots, "node", "left").select("key", "node", "wide", "end", F.coalesce("root", "node").alias("component")))
+        now = cut_lineage(open_.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("component")))
         parts = now.groupBy("key", "component").agg(F.count("*").alias("m"))
         # a group in one component has nothing left to compare
         left = parts.groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m").cast("double") * F.col("m")).alias("same"), F.count("*").alias("parts")).filter("parts > 1")
-        # next it is the widest member that the last one was not joined with
-        before = now.groupBy("key").agg(F.max(F.when(F.col("node") == F.col("end"), F.col("component"))).alias("joined"))
-        ends = _ends(now.join(before, "key").filter("component <> joined"))
-        open_ = cut_lineage(now.drop("end").join(left.join(ends, "key").select("key", "n", "same", "end", "end_component"), "key"))
+        open_ = cut_lineage(now.join(left.join(_ends(now, i + 1), "key").select("key", "n", "same", "end", "end_component"), "key"))
+        release(met.sparkSession)
         pairs = open_.filter("node = end").agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
         if pairs <= members:
             rest = None
