@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from entitymill import vocabulary as V
@@ -10,11 +12,11 @@ from entitymill.functions.text import ASCII_DIGITS, DIGITS, strip_label
 from entitymill.functions.web import domain
 from entitymill.operators import browse, cleaning, validation
 from entitymill.plans import duck
-from entitymill.plans.derived import table, view, with_views
+from entitymill.plans.derived import _braced, table, view, with_views
 from entitymill.plans.registry import query
 from entitymill.sources import pages as pages_source
 from entitymill.sources import raw
-from entitymill.session import cut_lineage
+from entitymill.session import cut_lineage, ensure_checkpoint_dir
 
 
 # --- shared steps ----------------------------------------------------------
@@ -81,6 +83,29 @@ def failed_extractions_kept(spark: SparkSession, sf: str) -> DataFrame:
     return failed.select("seq", F.extract(F.lit("day"), F.col("scraped_at")).cast("bigint").alias("day"), "error")
 
 
+#: One JSON line per event; some are cut off, some are no JSON, some are JSON of another kind.
+_JSON_LINES = """
+SELECT CASE event_id % 97 WHEN 5 THEN substr(line, 1, 20) WHEN 6 THEN 'no json ' || CAST(event_id AS STRING) WHEN 7 THEN '[1, 2' WHEN 8 THEN line || '"}' ELSE line END AS line,
+  event_id % 97 BETWEEN 5 AND 7 AS broken, CAST(event_id AS STRING) AS place_id, 'Café ' || CAST(user_id AS STRING) AS name
+FROM (SELECT event_id, user_id, '{"place_id":"' || CAST(event_id AS STRING) || '","name":"Café ' || CAST(user_id AS STRING) || '","rating":' || CAST(event_id % 5 AS STRING) || '}' AS line FROM events) e
+"""
+
+
+@query("unreadable_records_kept", "IO-3", f"""
+SELECT CASE WHEN broken THEN NULL ELSE place_id END AS place_id, CASE WHEN broken THEN NULL ELSE name END AS name,
+  CASE WHEN broken THEN 'EXTRACTION_FAILED' ELSE 'SUCCESS' END AS status, CASE WHEN broken THEN 'unreadable record' END AS error, CASE WHEN broken THEN line END AS record
+FROM ({_JSON_LINES})""")
+def unreadable_records_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """A file of JSON lines read back: what does not parse is a failed extraction that keeps its text."""
+    path = f"{ensure_checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}"
+    spark.sql(_braced(_JSON_LINES, ["events"]), events=table(spark, sf, "events")).select("line").write.text(path)
+    rows = raw.read_listings(spark, path).withColumns({"run_id": F.lit("run_1"), "seq": F.lit(0).cast("bigint")})
+    kept = raw.ingest_raw(rows)
+    field = lambda name: raw.payload_field(F.col("raw_payload"), f"$.{name}")
+    return kept.select(
+        F.col("external_id").alias("place_id"), F.col("raw_name").alias("name"), F.col("extraction_status").alias("status"), field("error").alias("error"), field("record").alias("record"))
+
+
 @query("schema_evolution_union", "IO-7",
        "SELECT o_orderkey AS k, o_orderpriority AS priority, CAST(0 AS INT) AS duplicates FROM orders "
        "UNION ALL SELECT l_orderkey, NULL, coalesce(l_linenumber, 0) FROM lineitem")
