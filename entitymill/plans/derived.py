@@ -197,7 +197,13 @@ SELECT page_id, url,
   || '<a href="http://m.facebook.com/shop' || {_s('page_id % 7')} || '">fb</a>'
   || '<a href="https://twitter.com/shop' || {_s('page_id')} || '?s=1">x</a>'
   || '<script type="application/ld+json">' || '{{"@type":"Store","telephone":"098200' || lpad({_s('page_id')}, 5, '0')
-  || '","email":"hello@shop' || {_s('page_id')} || '.example.com"}}' || '</script></footer>' AS html
+  || '","email":"hello@shop' || {_s('page_id')} || '.example.com"}}' || '</script>Desk' || {_s('page_id % 50')} || '&#64;shop.example.net.</footer>'
+  || '<p>Write to Sales' || {_s('page_id')} || '@shop.example.org, desk' || {_s('page_id % 50')} || '@shop.example.net or nobody@localhost</p>'
+  || CASE page_id % 4 WHEN 0 THEN '<script type="application/ld+json">{{ "@graph" : [ {{"@type": "Store", "name": "say ' || chr(92) || '"email' || chr(92) || '": x", "contactPoint": [{{"telephone": ["022 2200 '
+       || lpad({_s('page_id')}, 4, '0') || '", 5], "email": "mailto:Care' || {_s('page_id')} || '@Shop.example.com"}}]}}, [{{"sameAs": ["https://www.linkedin.com/company/shop' || {_s('page_id')}
+       || '/", "https://shop.example.com/me"], "email": null}}] ] }}</script>'
+     WHEN 1 THEN '<script type="application/ld+json">[{{"sameAs": "https://youtube.com/@shop' || {_s('page_id')} || '", "telephone": {{"telephone": "1800 11"}}}}]</script>'
+     WHEN 2 THEN '<script type="application/ld+json">{{"telephone": "unreadable</script>' ELSE '' END AS html
 FROM pages
 """.replace("{{", "{").replace("}}", "}")
 

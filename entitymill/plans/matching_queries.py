@@ -339,7 +339,14 @@ def enrichment_after_crawl(spark: SparkSession, sf: str) -> DataFrame:
 
 _LINKED = """
 l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS a FROM v_sites),
-j AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<script type="application/ld\\+json">(.*?)</script>', 1)) AS b FROM v_sites)"""
+j AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<script type="application/ld\\+json">(.*?)</script>', 1)) AS b FROM v_sites),
+tree AS (SELECT page_id, t.key, t.type, t.atom, t.value FROM (SELECT * FROM j WHERE json_valid(b)), json_tree(b) t WHERE t.key IN ('telephone', 'email', 'sameAs')),
+said AS (SELECT page_id, key, json_extract_string(value, '$') AS v FROM tree WHERE type NOT IN ('OBJECT', 'ARRAY', 'NULL')
+  UNION ALL SELECT page_id, key, unnest(json_extract_string(value, '$[*]')) FROM tree WHERE type = 'ARRAY' AND NOT contains(CAST(json_type(value, '$[*]') AS VARCHAR), 'OBJECT')),
+plain AS (SELECT page_id, html, regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g') AS h FROM v_sites),
+mails AS (SELECT DISTINCT page_id, lower(unnest(regexp_extract_all(replace(regexp_replace(h, '(?s)<[^>]*>', ' ', 'g'), '&#64;', '@'), '[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+[.])+[A-Za-z]{2,}'))) AS v FROM plain),
+edge AS (SELECT DISTINCT page_id, lower(unnest(regexp_extract_all(replace(array_to_string(regexp_extract_all(h, '(?s)<footer>.*?</footer>'), ' '), '&#64;', '@'), '[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+[.])+[A-Za-z]{2,}'))) AS v
+  FROM (SELECT page_id, regexp_replace(regexp_replace(h, '<a [^>]*>', ' ', 'g'), '</a>', ' ', 'g') AS h FROM plain))"""
 _CONTACTS = """
 SELECT page_id, 'email' AS kind, lower(split_part(split_part(a, ':', 2), '?', 1)) AS value, 'mailto_link' AS method, 0.9::DOUBLE AS confidence, NULL AS username FROM l WHERE a LIKE 'mailto:%'
 UNION ALL SELECT page_id, 'phone', a[5:], 'tel_link', 0.9, NULL FROM l WHERE a LIKE 'tel:%'
@@ -347,8 +354,11 @@ UNION ALL SELECT page_id, kind, 'https://' || host || path, 'page_link', 0.9, re
     regexp_extract(a, '^https?://(?:www\\.)?([^/]+)', 1) AS host, rtrim(regexp_extract(a, '^https?://[^/]+([^?#]*)', 1), '/') AS path,
     CASE WHEN regexp_matches(a, '^https?://([a-z]+\\.)?instagram\\.com/') THEN 'instagram' WHEN regexp_matches(a, '^https?://([a-z]+\\.)?facebook\\.com/') THEN 'facebook'
       WHEN regexp_matches(a, '^https?://([a-z]+\\.)?twitter\\.com/') THEN 'x' END AS kind FROM l) WHERE kind IS NOT NULL
-UNION ALL SELECT page_id, 'phone', json_extract_string(b, '$.telephone'), 'json_ld', 0.8, NULL FROM j
-UNION ALL SELECT page_id, 'email', json_extract_string(b, '$.email'), 'json_ld', 0.8, NULL FROM j"""
+UNION ALL SELECT DISTINCT page_id, 'phone', v, 'json_ld', 0.8, NULL FROM said WHERE key = 'telephone'
+UNION ALL SELECT DISTINCT page_id, 'email', regexp_replace(lower(v), '^mailto:', ''), 'json_ld', 0.8, NULL FROM said WHERE key = 'email'
+UNION ALL SELECT DISTINCT page_id, kind, regexp_replace(v, '^https://(www[.])?(.*?)/*$', 'https://\\2'), 'json_ld', 0.8, regexp_extract(v, '([^/]+)/*$', 1) FROM (SELECT page_id, v,
+    CASE WHEN v LIKE 'https://www.linkedin.com/%' THEN 'linkedin' WHEN v LIKE 'https://youtube.com/%' THEN 'youtube' END AS kind FROM said WHERE key = 'sameAs') WHERE kind IS NOT NULL
+UNION ALL SELECT page_id, 'email', v, CASE WHEN edge.page_id IS NULL THEN 'visible_text' ELSE 'edge_text' END, CASE WHEN edge.page_id IS NULL THEN 0.6 ELSE 0.7 END, NULL FROM mails LEFT JOIN edge USING (page_id, v)"""
 
 
 @query("contacts_on_pages", "E-3 E-5", _over(_CONTACTS, "v_sites", ctes=_LINKED))

@@ -162,6 +162,8 @@ TEXT_ADDRESS_CUE = (
 TEXT_MOBILE = r"(?:\+91[\s-]?)?[6-9]\d{4}[\s-]?\d{5}\b"
 TEXT_LANDLINE = r"\b0\d{2,4}[-\s]?\d{6,8}\b"
 TEXT_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# longest address that can be delivered to, by the mail standard
+EMAIL_MAX_LENGTH = 254
 LABEL_RATING = r"(\d+\.\d+)"
 LABEL_REVIEWS = r"([\d,]+)\s+reviews?"
 OWN_HOSTS = ["google.com", "gstatic.com"]

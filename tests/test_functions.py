@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from entitymill.functions import geo, text, web
 from entitymill.operators import cleaning
+from entitymill.operators.enrichment import page_contacts
 
 
 def column(spark, values, kind="string"):
@@ -172,3 +173,32 @@ def test_number_text(spark):
 def test_social_links(spark, link, network, profile):
     row = column(spark, [link]).select(web.social_network(F.col("v")), web.profile_url(F.col("v"))).first()
     assert tuple(row) == (network, profile)
+
+
+def _contacts_of(spark, html):
+    pages = spark.createDataFrame([(1, html)], "page_id int, html string")
+    rows = page_contacts(pages).collect()
+    return {(r.kind, r.value, r.method) for r in rows}
+
+
+def test_structured_contacts_at_any_depth(spark):
+    block = ('{"@graph": [{"x": [[{"telephone": "+1 2"}]]}, {"contactPoint": {"telephone": ["3", 4], "email": "MailTo:A@B.co"}},'
+             ' {"sameAs": ["https://x.com/me", "https://example.com/me"]}, {"sameAs": "https://www.facebook.com/me/"}],'
+             ' "note": "\\"email\\": \\"not@this.one\\"", "email": null, "telephone": ["9", {"telephone": "5"}], "emails": "a@b.de"}')
+    html = f'<script type="application/ld+json">{block}</script><script type="application/ld+json">{{"email": "open@x.de"</script>'
+    assert _contacts_of(spark, html) == {
+        ("phone", "+1 2", "json_ld"), ("phone", "3", "json_ld"), ("phone", "4", "json_ld"), ("phone", "5", "json_ld"),
+        ("email", "a@b.co", "json_ld"), ("x", "https://x.com/me", "json_ld"), ("facebook", "https://facebook.com/me", "json_ld")}
+
+
+def test_addresses_written_on_a_page(spark):
+    html = ('<header>Top@a.example.com</header><style>s@a.example.com</style><p>one@a.example.com, ONE@a.example.com. two&#64;a&period;example.com'
+            ' x@localhost @a.example.com</p><!-- --><footer><b>two@a.example.com</b></footer>')
+    assert _contacts_of(spark, html) == {
+        ("email", "top@a.example.com", "edge_text"), ("email", "two@a.example.com", "edge_text"), ("email", "one@a.example.com", "visible_text")}
+
+
+def test_pages_without_or_with_very_long_text(spark):
+    assert _contacts_of(spark, None) == set() and _contacts_of(spark, "") == set()
+    long = "<p>" + "a" * 300_000 + " " + "b." * 100_000 + " c@" + "d." * 100_000 + ' e@f.example.com</p><script type="application/ld+json">{"n": "' + '\\"' * 100_000 + '", "l": ' + "[" * 50 + '{"email": "g@h.de"}' + "]" * 50 + "}</script>"
+    assert _contacts_of(spark, long) == {("email", "e@f.example.com", "visible_text"), ("email", "g@h.de", "json_ld")}
