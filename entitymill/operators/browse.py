@@ -11,13 +11,86 @@ from entitymill.functions.text import blank_to_null
 from entitymill.operators.validation import trail
 
 
+# Rows up to the end of a page that one task may pick out; pages further on are located by counts.
+DIRECT = 1 << 16
+
+# Ranges a table is counted in per round, and keys per range that place their ends.
+RANGES = 64
+KEYS_PER_RANGE = 32
+
+
+def window_of(rows: DataFrame, by: list[str], descending: bool, offset: int, size: int, direct: int = DIRECT) -> DataFrame:
+    """``size`` rows from ``offset`` on in the order of ``by``; nulls count as smallest.
+
+    Up to ``direct`` rows this is a top-k. Beyond, a bounded sample of keys (64 x
+    32, by a hash) places the ends of ranges, one pass over the key columns counts
+    each, and only the ranges that hold the page are looked at again, until the page
+    lies within ``direct`` rows of a range's start. The sample decides how even the
+    ranges are, never what is returned. Nothing is shuffled but counts, the last
+    ends are pushed to the scan. ``by`` has to be unique for a defined order among
+    ties; give a stored table, as it is read once or twice a round.
+    """
+    def key(values: list | None = None) -> Column:
+        given = [F.col(c) for c in by] if values is None else [F.lit(v).cast(rows.schema[c].dataType) for c, v in zip(by, values)]
+        return F.struct(*[g.alias(f"k{i}") for i, g in enumerate(given)])
+
+    def before(end: list) -> Column:
+        return key() > key(end) if descending else key() < key(end)
+
+    def within(lo: list | None, hi: list | None) -> DataFrame:
+        """Rows from ``lo`` to before ``hi``, with the same said of the first column alone for the scan."""
+        first, out = F.col(by[0]), rows
+        least, most = (hi, lo) if descending else (lo, hi)
+        if least is not None and _comparable(least[0]):
+            out = out.filter(first >= F.lit(least[0]))
+        if most is not None and _comparable(most[0]):
+            out = out.filter((first <= F.lit(most[0])) | first.isNull())
+        out = out if lo is None else out.filter(~before(lo))
+        return out if hi is None else out.filter(before(hi))
+
+    def number(ends: list[list], a: int, b: int) -> Column:
+        """Number of the range a row lies in, by halving."""
+        if a == b:
+            return F.lit(a)
+        m = (a + b) // 2
+        return F.when(before(ends[m]), number(ends, a, m)).otherwise(number(ends, m + 1, b))
+
+    order = [F.desc(c) if descending else F.asc(c) for c in by]
+    lo = hi = None
+    while offset > 0 and offset + size > direct:
+        part = within(lo, hi).select(*by)
+        sample = part.orderBy(F.xxhash64(*by)).limit(RANGES * KEYS_PER_RANGE).distinct().orderBy(*order).collect()
+        step = max(1, len(sample) // RANGES)
+        ends = [list(k) for k in sample[step::step]]
+        counts = {r["n"]: r["count"] for r in part.groupBy(number(ends, 0, len(ends)).alias("n")).count().collect()}
+        bounds, passed, start, stop = [lo, *ends, hi], 0, None, None
+        for i in range(len(ends) + 1):
+            here = counts.get(i, 0)
+            if start is None and passed + here > offset:
+                start, skipped = i, passed
+            passed += here
+            if stop is None and start is not None and passed >= offset + size:
+                stop = i + 1
+        if start is None:
+            return rows.limit(0)
+        narrowed = (bounds[start], bounds[stop] if stop is not None else hi)
+        if narrowed == (lo, hi):
+            break
+        (lo, hi), offset = narrowed, offset - skipped
+    return within(lo, hi).orderBy(*order).offset(offset).limit(size)
+
+
+def _comparable(v: object) -> bool:
+    return v is not None and v == v
+
+
 def list_runs(runs: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     """Newest first; a limit outside 1 to 100 or an offset below 0 is refused."""
     if not 1 <= limit <= 100:
         raise ValueError(f"limit {limit} is not between 1 and 100")
     if offset < 0:
         raise ValueError(f"offset {offset} is below 0")
-    return _newest(runs).offset(offset).limit(limit)
+    return window_of(runs, ["created_at", "run_id"], True, offset, limit)
 
 
 def _newest(runs: DataFrame) -> DataFrame:
@@ -57,20 +130,14 @@ def search(businesses: DataFrame, term: str | None) -> DataFrame:
     return businesses if predicate is None else businesses.filter(predicate)
 
 
-def sort_columns(sort_by: str = "created_at", sort_order: str = "desc") -> list[Column]:
-    column = sort_by if sort_by in V.SORT_COLUMNS else "created_at"
-    way = F.asc if sort_order.lower() == "asc" else F.desc
-    return [way(column), way("id")]
-
-
 def page(
     businesses: DataFrame, number: int = 1, size: int = 50, term: str | None = None,
-    sort_by: str = "created_at", sort_order: str = "desc", run_id: str | None = None,
+    sort_by: str = "created_at", sort_order: str = "desc", run_id: str | None = None, direct: int = DIRECT,
 ) -> DataFrame:
-    """One page, of one run if given; sort and limit meet in a top-k, not in a full sort."""
+    """One page, of one run if given: a top-k near the front, located by counts of ranges further on."""
     rows = businesses if run_id is None else businesses.filter(F.col("run_id") == run_id)
-    hits = search(rows, term).orderBy(*sort_columns(sort_by, sort_order))
-    return hits.offset(max(0, (number - 1) * size)).limit(size)
+    column = sort_by if sort_by in V.SORT_COLUMNS else "created_at"
+    return window_of(search(rows, term), [column, "id"], sort_order.lower() != "asc", max(0, (number - 1) * size), size, direct)
 
 
 def page_meta(businesses: DataFrame, number: int = 1, size: int = 50, term: str | None = None) -> DataFrame:
@@ -105,7 +172,7 @@ def count_by_run(businesses: DataFrame) -> DataFrame:
 
 
 def list_sources(sources: DataFrame, run_id: str, limit: int = 100, offset: int = 0) -> DataFrame:
-    return sources.filter(F.col("run_id") == run_id).orderBy("seq").offset(offset).limit(limit)
+    return window_of(sources.filter(F.col("run_id") == run_id), ["seq"], False, offset, limit)
 
 
 def known_ids(sources: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from entitymill.plans import duck
 from entitymill.plans.cleaning_queries import canonical, stored
 from entitymill.plans.derived import view, with_views
 from entitymill.plans.registry import query
+from entitymill.session import cut_lineage
 from entitymill.sources import raw
 from entitymill.sources.evidence import evidence_header
 
@@ -323,6 +324,12 @@ def result_page_ascending(spark: SparkSession, sf: str) -> DataFrame:
     return browse.page(stored(spark, sf), 1, 40, None, "city", "ASC").select("seq", "city")
 
 
+@query("deep_result_page", "Q-5 Q-6", duck.listings("""
+SELECT seq, city, id FROM (SELECT *, 'biz_' || sha256(run_id || '|' || CAST(seq AS STRING))[1:32] AS id FROM biz) ORDER BY city DESC NULLS LAST, id DESC LIMIT 40 OFFSET 3960"""))
+def deep_result_page(spark: SparkSession, sf: str) -> DataFrame:
+    return browse.page(cut_lineage(stored(spark, sf)), 100, 40, None, "city", "desc", direct=1000).select("seq", "city", "id")
+
+
 @query("result_page_size", "Q-7", duck.listings(f"""
 SELECT CAST(3 AS INT) AS page, CAST(50 AS INT) AS page_size, count(*) AS total, CAST(greatest(ceil(count(*) / 50), 1) AS BIGINT) AS total_pages FROM biz WHERE {_HIT.format(t='house')}"""))
 def result_page_size(spark: SparkSession, sf: str) -> DataFrame:

@@ -271,3 +271,32 @@ def test_checkpoint_folder_is_required_on_a_cluster(monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.ensure_checkpoint_dir(Fake())
+
+
+def test_deep_pages_equal_a_full_sort(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(f"id{i:05d}", None if i % 7 == 0 else "Pune" if i % 3 == 0 else rng.choice("abcdefgh") * (i % 4), None if i % 11 == 0 else rng.choice([0.5, 1.0, float("nan"), i / 7]),
+             None if i % 50 == 0 else dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rng.randrange(900))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id string, city string, rating double, created_at timestamp").repartition(5).cache()
+    for column in ("city", "rating", "created_at"):
+        for way in ("asc", "desc"):
+            order = [F.col(column), F.col("id")] if way == "asc" else [F.desc(column), F.desc("id")]
+            every = [r["id"] for r in df.orderBy(*order).collect()]
+            for number in (40, 75) if column == "city" else (40,):
+                got = [r["id"] for r in browse.page(df, number, 40, None, column, way, direct=60).collect()]
+                assert got == every[(number - 1) * 40:number * 40], (column, way, number)
+    assert browse.page(df, 76, 40, direct=60).count() == 0
+    assert browse.page(df, 9, 40, direct=60, sort_by="city", sort_order="asc").count() == 40
+    same = spark.createDataFrame([("x", "c")] * 500, "id string, city string")
+    assert browse.window_of(same, ["city", "id"], False, 400, 50, direct=20).count() == 50
+    assert browse.window_of(same.limit(0), ["city", "id"], False, 400, 50, direct=20).count() == 0
+
+
+def test_deep_pages_read_one_range(spark, tmp_path):
+    spark.range(100_000).selectExpr("id", "id * 7 % 100000 as seq").write.parquet(f"{tmp_path}/t")
+    page = browse.window_of(spark.read.parquet(f"{tmp_path}/t"), ["seq"], False, 90_000, 5, direct=500)
+    assert [r["seq"] for r in page.collect()] == [90_000, 90_001, 90_002, 90_003, 90_004]
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(seq" in plan and "LessThanOrEqual(seq" in plan and "Exchange rangepartitioning" not in plan
