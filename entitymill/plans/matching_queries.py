@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from entitymill import vocabulary as V
@@ -13,7 +15,7 @@ from entitymill.plans.cleaning_queries import canonical
 from entitymill.plans.derived import table, view, with_views
 from entitymill.plans.registry import query
 from entitymill.plans.run_queries import _COUNTS, _counted
-from entitymill.session import cut_lineage
+from entitymill.session import cut_lineage, ensure_checkpoint_dir
 
 
 def _over(tail: str, *views: str, ctes: str = "") -> str:
@@ -444,7 +446,7 @@ def quality_scores(spark: SparkSession, sf: str) -> DataFrame:
     return merge.quality_scores(view(spark, sf, "v_profiles")).select("business_id", *names)
 
 
-@query("observability_metrics", "G-5", _over("""
+_OBSERVED = _over("""
 SELECT 'businesses_discovered' AS metric, count(*) AS value FROM v_listings UNION ALL SELECT 'businesses_normalized', count(*) FROM v_profiles
 UNION ALL SELECT 'websites_required', count(*) FROM states WHERE enrichment = 'REQUIRED' UNION ALL SELECT 'websites_skipped', count(*) FROM states WHERE enrichment LIKE 'SKIPPED%'
 UNION ALL SELECT 'without_website', count(*) FROM states WHERE enrichment = 'NO_WEBSITE' UNION ALL SELECT 'pages_planned', count(*) FROM crawl
@@ -455,13 +457,26 @@ UNION ALL SELECT 'platform_failures', count(*) FROM pres WHERE presence = 'ERROR
 UNION ALL SELECT 'platforms_processed', count(DISTINCT platform_id) FROM pres UNION ALL SELECT 'fields_recovered', CAST(sum(recovered) AS BIGINT) FROM after
 UNION ALL SELECT 'website_failures', count(*) FROM after WHERE enrichment = 'FAILED' UNION ALL SELECT 'unmatched_platform', count(*) FROM decided_r WHERE decision = 'UNMATCHED'
 UNION ALL SELECT 'export_rows', count(*) FROM (SELECT id FROM decided_l UNION ALL SELECT id FROM decided_r WHERE decision <> 'MATCHED')""", "v_listings", "v_profiles", "v_platforms", "v_platform_results", *_SIDES,
-                                               ctes=f"{_STATES}, {_CRAWLED}, {_PRESENCE}, {_SCORED}, {_LEFT_DECIDED}, {_RIGHT_DECIDED}"))
-def observability_metrics(spark: SparkSession, sf: str) -> DataFrame:
+                  ctes=f"{_STATES}, {_CRAWLED}, {_PRESENCE}, {_SCORED}, {_LEFT_DECIDED}, {_RIGHT_DECIDED}")
+
+
+def observed_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     states, mine, theirs = enrichment_states(spark, sf), cut_lineage(decided(spark, sf)), cut_lineage(decided(spark, sf, "r"))
-    exported = mine.select("id").unionByName(theirs.filter("decision <> 'MATCHED'").select("id"))
-    return merge.observability(
-        view(spark, sf, "v_listings"), view(spark, sf, "v_profiles"), states, enrichment.crawl_plan(states),
-        mine, presences(spark, sf), after_crawl(spark, sf), theirs, exported)
+    return dict(
+        sources=view(spark, sf, "v_listings"), businesses=view(spark, sf, "v_profiles"), states=states, plan=enrichment.crawl_plan(states),
+        decided=mine, presence=presences(spark, sf), crawled=after_crawl(spark, sf), decided_platform=theirs,
+        exported=mine.select("id").unionByName(theirs.filter("decision <> 'MATCHED'").select("id")))
+
+
+@query("observability_metrics", "G-5", _OBSERVED)
+def observability_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return merge.observability(**observed_tables(spark, sf))
+
+
+@query("metrics_while_writing", "G-5", _OBSERVED)
+def metrics_while_writing(spark: SparkSession, sf: str) -> DataFrame:
+    _, values = merge.write_observed(observed_tables(spark, sf), f"{ensure_checkpoint_dir(spark)}/observed-{uuid.uuid4().hex}")
+    return spark.createDataFrame(sorted(values.items()), "metric string, value long")
 
 
 # --- exported datasets ------------------------------------------------------------------------

@@ -150,3 +150,19 @@ def test_category_chain_of_any_depth(spark):
     assert total["c0"] == 1 and total["c148"] == 149 and total["c149"] == 160 and total["c150"] == 161 and total["top"] == 0 and "lost" not in total
     with pytest.raises(ValueError):
         platforms.roll_up(spark.createDataFrame([("a", "b"), ("b", "a")], "id string, parent_id string"), counts)
+
+
+def test_metrics_observed_while_writing(spark, tmp_path):
+    from entitymill.operators import merge
+
+    plan = spark.range(1000).selectExpr("id", "cast(id % 4 as int) as position").repartition(7)
+    presence = spark.createDataFrame([(1, "PRESENT"), (1, "ERROR"), (2, "PRESENT"), (None, None)], "platform_id long, presence string")
+    empty = spark.createDataFrame([], "recovered int, enrichment string")
+    written, values = merge.write_observed({"plan": plan, "presence": presence, "crawled": empty, "other": plan}, f"{tmp_path}/out")
+    assert values == {
+        "pages_planned": 1000, "businesses_crawled": 250, "platform_checks": 4, "platform_listings_found": 2, "platform_failures": 1,
+        "platforms_processed": 2, "fields_recovered": 0, "website_failures": 0}
+    assert {n: df.count() for n, df in written.items()} == {"plan": 1000, "presence": 4, "crawled": 0, "other": 1000}
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        merge.write_observed({"plan": plan}, f"{tmp_path}/out")
+    assert merge.write_observed({}, f"{tmp_path}/none") == ({}, {})
