@@ -1,4 +1,4 @@
-"""The ten operators as registered queries, with SQL where SQL can express them."""
+"""The operators as registered queries, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -19,20 +19,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its fingerprint of 3-word shingles and the smallest doc_id reachable over links of at most 2 differing bits; null and wordless texts have fingerprint zero and link as any other."""
     docs = _table(spark, sf_dir, "documents")
     near = simhash.near_duplicates(docs, [F.col("doc_id")], F.col("doc_id"), "text", shingle=3, words=1, max_bits=2, width=32)
     return near.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: the doc_id that stays of its text (the largest), the size of its group and the text's digest; a null text counts as empty."""
     return exact.exact_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its number of tokens and the digests of its ids and of what they decode to; a null text counts as empty."""
     return bpe.digests(_table(spark, sf_dir, "documents"), bpe.WordBpe.read(public_tokenizers.path(TOKENIZER)))
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per conversation, and conversation -7: digests of its turns and of the text under the loss mask, read back from the formatted text; null roles and texts count as empty, a null conv_id is one conversation."""
     text = "\\### Assistant: </turn> ok"
     more = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.explode(F.array(
         F.struct(F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), F.lit(text).alias("text")),
@@ -49,11 +53,13 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per page: host, path, the rule that decides and its verdict; a null url or one without :// has an empty host and path."""
     rules = spark.createDataFrame(list(RULES), "host string, path string, verdict string")
     return urls.judge(_table(spark, sf_dir, "pages"), rules)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its words, those of its source, the source's target, the words the mix takes and the training positions; a null source is one source, a null text has no words."""
     sized = mixing.sized_documents(_table(spark, sf_dir, "documents"), [F.col("doc_id")])
     mixed = mixing.mix(sized, ["doc_id"])
     return mixed.select(
@@ -63,6 +69,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: counts and digest of the fixed patterns' spans, and all spans with the random tokens; a null text counts as empty."""
     found = secrets.scan(_table(spark, sf_dir, "documents"), [F.col("doc_id")])
 
     def n(kind: str) -> F.Column:
@@ -73,16 +80,19 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per vector: its links at cosine 0.98 within its label and the smallest vec_id reachable; vectors or labels that cannot be compared link with nothing."""
     return lattice.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its predicted language, und without a letter, and the score; learned from labelled documents that are not held out."""
     docs = _table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.learned(docs), [F.col("doc_id"), langid.held_out().alias("held_out")])
     return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its words, how many a repeated window of 35 words covers, and the digest of the others; a null text has no words."""
     return substrings.without_repeats(_table(spark, sf_dir, "documents"), [F.col("doc_id")])
 
 
