@@ -165,6 +165,18 @@ ORACLES: dict[str, str] = {
         )
         SELECT p.page_id, host, path, b.r AS rule, coalesce(b.v, 'allow') AS verdict FROM parts p LEFT JOIN fits USING (page_id)
     """,
+    "op10_substrings": r"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        windows AS (
+            SELECT rid, p, array_to_string(ws[p:p + 34], ' ') AS gram
+            FROM d, LATERAL (SELECT unnest(range(1, len(ws) - 33)) AS p) WHERE len(ws) >= 35
+        ), again AS (SELECT gram FROM windows GROUP BY gram HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT rid, p + o AS i FROM windows JOIN again USING (gram), range(0, 35) AS t(o)),
+        words AS (SELECT rid, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d),
+        kept AS (SELECT rid, count(*) AS n_kept, string_agg(w, ' ' ORDER BY i) AS body FROM words ANTI JOIN gone USING (rid, i) GROUP BY rid)
+        SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (rid)
+    """,
     "op12_collocations": r"""
         WITH pieces AS (
             SELECT coalesce(lang, 'und') AS lang,
