@@ -1,8 +1,9 @@
 """Conversations from reply trees, in DataFrame operations only.
 
-Iterative self-joins double the known part of every message's way to its root,
-so depth d takes log2(d) joins. Paths from root to leaf are ranked by score;
-each chosen path is formatted as one conversation, with a mask over what an
+Iterative self-joins double every message's jump towards its root, so depth d
+takes log2(d) joins; the same jumps, largest first, then list the messages above
+each leaf, and no row ever carries a way. Paths from root to leaf are ranked by
+score; each chosen path is formatted as one conversation, with a mask over what an
 assistant says. The format can be read back to the letter.
 """
 
@@ -54,22 +55,28 @@ def root_paths(
         F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("score"),
     ).filter(F.col("id").isNotNull() & (F.lit(null_conversation) | F.col("conv_id.conv_id").isNotNull())))
     known = nodes.select("conv_id", F.col("id").alias("up"), F.lit(True).alias("_known"))
-    ways = nodes.join(known, ["conv_id", "up"], "left").select(
-        "conv_id", "id", F.when(F.col("_known"), F.col("up")).alias("jump"), "score", F.array("id").alias("path"))
+    ways = nodes.join(known, ["conv_id", "up"], "left").select("conv_id", "id", F.when(F.col("_known"), F.col("up")).alias("jump"), "score")
     parents = ways.filter("jump is not null").select("conv_id", F.col("jump").alias("id")).distinct()
     leaves = ways.join(parents, ["conv_id", "id"], "left_anti").select("conv_id", "id")
-    ways = cut_lineage(ways)
+    ways, jumps = cut_lineage(ways), []
     # a way of n messages is whole after log2(n) rounds; what is not whole then runs in a circle
     longest = ways.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
     for _ in range((longest - 1).bit_length()):
-        if ways.filter("jump is not null").isEmpty():
+        open_ = ways.filter("jump is not null")
+        if open_.isEmpty():
             break
-        above = ways.select("conv_id", F.col("id").alias("jump"), F.col("jump").alias("_jump"), F.col("score").alias("_score"), F.col("path").alias("_path"))
-        done = ways.filter("jump is null")
-        longer = ways.filter("jump is not null").join(above, ["conv_id", "jump"]).select(
-            "conv_id", "id", F.col("_jump").alias("jump"), (F.col("score") + F.col("_score")).alias("score"), F.concat("_path", "path").alias("path"))
-        ways = cut_lineage(done.unionByName(longer))
-    return ways.filter("jump is null").join(leaves, ["conv_id", "id"]).select("conv_id.conv_id", F.col("id").alias("leaf_id"), F.col("score").alias("path_score"), "path")
+        jumps.append(open_.select("conv_id", "id", "jump"))
+        above = ways.select("conv_id", F.col("id").alias("jump"), F.col("jump").alias("_jump"), F.col("score").alias("_score"))
+        longer = open_.join(above, ["conv_id", "jump"]).select("conv_id", "id", F.col("_jump").alias("jump"), (F.col("score") + F.col("_score")).alias("score"))
+        ways = cut_lineage(ways.filter("jump is null").unionByName(longer))
+    tips = ways.filter("jump is null").join(leaves, ["conv_id", "id"]).select("conv_id", F.col("id").alias("leaf_id"), F.col("score").alias("path_score"))
+    # every number of steps above a leaf is one sum of powers of two, so the largest jumps first reach each message of its way once
+    steps = tips.select("*", F.col("leaf_id").alias("id"), F.lit(0).cast("long").alias("above"))
+    for k, jump in reversed(list(enumerate(jumps))):
+        higher = steps.join(jump, ["conv_id", "id"]).select("conv_id", "leaf_id", "path_score", F.col("jump").alias("id"), (F.col("above") + (1 << k)).alias("above"))
+        steps = cut_lineage(steps.unionByName(higher))
+    path = F.sort_array(F.collect_list(F.struct("above", "id")), asc=False)["id"]
+    return steps.groupBy("conv_id", "leaf_id").agg(F.first("path_score").alias("path_score"), path.alias("path")).select("conv_id.conv_id", "leaf_id", "path_score", "path")
 
 
 def best_paths(paths: DataFrame, branches: int | None = None) -> DataFrame:
