@@ -10,6 +10,8 @@ reported.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut_lineage
@@ -38,25 +40,58 @@ GRID, FLOOR = 20, 12
 CANDIDATE = rf"[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}"
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of ``value``, which is computed once, however often ``then`` reads it."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _blocks(items: Column) -> Column:
+    """``items`` cut into about as many lists as each holds, so that work on a list and on the lists stays small."""
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(items))).cast("int"))
+    ends = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / width).cast("int"))
+    return F.when(F.size(items) > 0, F.transform(ends, lambda k: F.slice(items, k * width + 1, width))).otherwise(F.slice(F.array(items), F.lit(1), F.lit(0)))
+
+
 def find(text: Column, pattern: str, group: int = 0) -> Column:
-    """All leftmost non-overlapping matches as (start, end, size): code points, end exclusive, and the length of ``group``."""
+    """All leftmost non-overlapping matches as (start, end, size, found): code points, end exclusive, the length of ``group``, the match.
+
+    Positions are sums over the lengths before, first inside blocks of matches, then over the blocks.
+    """
     whole = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     part = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(group + 1)) if group else whole
-    sizes = F.zip_with(whole, part, lambda m, p: F.struct(F.length(m).alias("size"), F.length(p).alias("part")))
+    sizes = F.zip_with(whole, part, lambda m, p: F.struct(m.alias("found"), F.length(p).alias("part")))
     # one more gap than matches
-    lengths = F.filter(
-        F.zip_with(sizes, F.split(text, pattern, -1), lambda m, gap: F.struct(F.length(gap).alias("gap"), m["size"].alias("size"), m["part"].alias("part"))),
-        lambda m: m["size"].isNotNull(),
+    matches = F.filter(
+        F.zip_with(sizes, F.split(text, pattern, -1), lambda m, gap: F.struct(F.length(gap).alias("gap"), m["found"].alias("found"), m["part"].alias("part"))),
+        lambda m: m["found"].isNotNull(),
     )
-    begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, end: int, size: int>>)").alias("spans"))
+    none = F.expr("cast(array() as array<struct<start: int, end: int, size: int, found: string>>)")
 
     def step(state: Column, m: Column) -> Column:
         start = state["at"] + m["gap"]
-        span = F.struct(start.alias("start"), (start + m["size"]).alias("end"), m["part"].alias("size"))
-        return F.struct((start + m["size"]).alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+        end = start + F.length(m["found"])
+        span = F.struct(start.alias("start"), end.alias("end"), m["part"].alias("size"), m["found"].alias("found"))
+        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+
+    def moved(block: Column, by: Column) -> Column:
+        return F.transform(block["spans"], lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["size"].alias("size"), s["found"].alias("found")))
+
+    def placed(blocks: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"))
+        starts = F.aggregate(blocks, begin, lambda state, b: F.struct((state["at"] + b["at"]).alias("at"), F.concat(state["starts"], F.array(state["at"])).alias("starts")), lambda state: state["starts"])
+        return F.flatten(F.zip_with(blocks, starts, moved))
+
+    inside = _let(matches, lambda m: F.transform(_blocks(m), lambda b: F.aggregate(b, F.struct(F.lit(0).alias("at"), none.alias("spans")), step)))
+    return F.when(F.rlike(text, F.lit(pattern)), _let(inside, placed)).otherwise(none)
+
+
+def _free(tokens: Column, spans: Column) -> Column:
+    """Those of ``tokens`` that none of ``spans`` overlaps; spans lie in blocks by start, most of which their bounds rule out."""
+    def meet(a: Column, b: Column) -> Column:
+        return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
-    spans = F.aggregate(lengths, begin, step, lambda s: s["spans"])
-    return F.when(F.rlike(text, F.lit(pattern)), spans).otherwise(F.expr("cast(array() as array<struct<start: int, end: int, size: int>>)"))
+    bounded = F.transform(_blocks(spans), lambda b: F.struct(b[0]["start"].alias("start"), F.array_max(F.transform(b, lambda s: s["end"])).alias("end"), b.alias("spans")))
+    return _let(bounded, lambda blocks: F.filter(tokens, lambda t: ~F.exists(blocks, lambda b: meet(b, t) & F.exists(b["spans"], lambda s: meet(s, t)))))
 
 
 def base_spans(text: Column) -> Column:
@@ -152,11 +187,11 @@ def scan(docs: DataFrame, key: list[Column], text: str = "text") -> DataFrame:
     tokens only counts per stratum and p-value meet.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    tokens = F.transform(find(body, CANDIDATE), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substr(body, s["start"] + 1, s["size"]).alias("token")))
+    tokens = F.transform(find(body, CANDIDATE), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("token")))
     base = base_spans(body)
     rows = docs.select(*key, base.alias("base"), tokens.alias("_tokens"))
     keys = rows.columns[:-2]
-    free = F.filter("_tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    free = _free(F.col("_tokens"), F.col("base"))
     named = F.filter(F.transform(free, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["token"].alias("token"), _encoding(t["token"]).alias("encoding"))), lambda t: t["encoding"].isNotNull())
 
     def judged(t: Column) -> Column:
