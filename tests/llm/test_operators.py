@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import random
+import re
 import sys
 from pathlib import Path
 
@@ -580,3 +581,52 @@ def test_texts_on_one_template_stay_apart(spark):
     finally:
         simhash.similar = real
     assert kept == set(range(400)) and sum(asked) < 12 * len(rows)
+
+
+# --- long texts, threads and rule lists ------------------------------------------------------------
+
+
+def test_rules_of_one_folder(spark):
+    """Hundreds of rules under few folders against a search over all rules."""
+    rng = random.Random(31)
+    word = lambda n: "".join(rng.choices("ab/é", k=rng.randint(0, n)))
+    rules = [(rng.choice(["x.org", "org", "b.X.org"]), "/f/" + word(6), rng.choice(["allow", "block", "block", None])) for _ in range(400)] + [("x.org", "", "allow")] * 3
+    pages = [(i, f"http://{rng.choice(['x.org', 'b.x.org', 'c.b.x.org', 'y.org', 'xx.org'])}{rng.choice(['/f/', '/', ''])}{word(9)}{rng.choice(['', '?q/', '#'])}") for i in range(600)]
+    frames = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string")
+    for limit in (urls.BROADCAST_BYTES, 0):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(urls, "BROADCAST_BYTES", limit)
+            rows = got(urls.judge(*frames), "page_id")
+        for i, url in pages:
+            host, path = rows[i]["host"], rows[i]["path"]
+            assert url.startswith(f"http://{host}{path}")
+            fits = [(h.lower() + p, v) for h, p, v in rules if v and (host == h.lower() or host.endswith("." + h.lower())) and path.startswith(p)]
+            want = min(fits, key=lambda f: (-len(f[0]), f[1] != "block", f[0]), default=(None, "allow"))
+            assert (rows[i]["rule"], rows[i]["verdict"]) == want, url
+
+
+def test_a_thread_of_many_turns_and_a_wide_tree(spark):
+    """Rows stay as many as the messages of all paths: 30,000 in one line, 2,000 leaves under one message."""
+    line = spark.range(30_000).select(F.lit(1).cast("long").alias("conv_id"), "id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"))
+    wide = spark.range(2_003).select(F.lit(2).cast("long").alias("conv_id"), "id", F.when(F.col("id") > 0, F.least(F.col("id") - 1, F.lit(2))).alias("parent_id"))
+    df = line.unionByName(wide).select("conv_id", F.col("id").alias("message_id"), "parent_id", F.lit(1.0).alias("score"))
+    paths = chat.root_paths(df).select("conv_id", "leaf_id", "path_score", F.sha2(F.array_join("path", ","), 256).alias("path"), F.size("path").alias("n")).collect()
+    assert [(r["leaf_id"], r["path_score"], r["n"], r["path"]) for r in paths if r["conv_id"] == 1] == [(29_999, 30_000.0, 30_000, brute.sha(",".join(map(str, range(30_000)))))]
+    assert {(r["leaf_id"], r["path_score"], r["path"]) for r in paths if r["conv_id"] == 2} == {(i, 4.0, brute.sha(f"0,1,2,{i}")) for i in range(3, 2_003)}
+
+
+def test_a_text_of_many_tokens(spark):
+    """Positions and overlaps over 20,000 matches of one text."""
+    rng = random.Random(8)
+    text = " ".join(rng.choice(["é", "😀😀", ""]) + "".join(rng.choices("abcdef0123456789" if i % 2 else secrets.ENCODINGS["base64"], k=rng.choice((24, 40)))) for i in range(20_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    tokens = F.transform(secrets.find(F.col("text"), secrets.CANDIDATE), lambda s: F.struct(s["start"], s["end"], s["found"]))
+    assert [tuple(t) for t in df.select(tokens.alias("t")).first()["t"]] == [(m.start(), m.end(), m.group()) for m in re.finditer(secrets.CANDIDATE, text)]
+    row = secrets.scan(df, [F.col("doc_id")]).first()
+    base = brute.base_spans(text)
+    assert [tuple(s) for s in row["base"]] == base and len(base) > 4_000
+    taken = bytearray(len(text))
+    for a, _, _, b in base:
+        taken[a:b] = b"1" * (b - a)
+    made = [s for s in row["spans"] if s["kind"] == "random"]
+    assert len(made) > 8_000 and not any(any(taken[s["start"]:s["end"]]) for s in made)
