@@ -66,3 +66,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether something is stored there, in any file system Spark reads; other errors are raised."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system Spark reads; none if it is not there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in system.listStatus(at)) if system.exists(at) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a table; nothing happens if it is not there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
