@@ -72,6 +72,33 @@ def test_a_best_candidate_of_21_is_found(spark):
     assert (out["best_id"], out["reason"], out["best_score"]) == ("x", "BELOW_THRESHOLD", 17.5)
 
 
+def _near(l, r):
+    same = lambda c: l[c] is not None and l[c] == r[c]
+    meaning = lambda x: V.CATEGORY_SYNONYMS.get(x, x)
+    return same("normalized_phone") or same("website_domain") or (same("city") and (
+        l["normalized_name"][:4] == r["normalized_name"][:4] or l["category"] is not None and meaning(l["category"]) == meaning(r["category"])))
+
+
+@pytest.mark.parametrize("hot", [1_000_000, 4])
+def test_reports_hold_the_pairs_of_their_blocks_below_the_floor_too(spark, hot):
+    left, right = (spark.createDataFrame(businesses(s, n, o), SCHEMA) for s, n, o in ((3, 60, 0), (4, 40, 500)))
+    pairs = lambda df: {(r["l_id"], r["r_id"]) for r in matching.record_pairs(df, left, right).select("l_id", "r_id").collect()}
+    at_floor = pairs(matching.score_pairs(left, right, 55, hot_rows=hot))
+    near = {(l["id"], r["id"]) for l in left.collect() for r in right.collect() if _near(l, r)}
+    assert near - at_floor and pairs(matching.score_pairs(left, right, 55, hot_rows=hot, reports=True)) == at_floor | near
+
+
+def test_reports_decide_with_the_best_pair_below_the_margin(spark):
+    left = spark.createDataFrame([("l", "r", "royal cuts", "p1", "d", None, "c", "salon", None), ("m", "r", "royal cuts", "p3", "e", None, "k", "salon", None)], SCHEMA)
+    right = spark.createDataFrame([("x", "r", "quiet spa", "p2", "d", None, "c", "salon", None), ("y", "r", "loud spa", None, "d", None, "z", None, None)], SCHEMA)
+    made = matching.decisions(left, matching.score_pairs(left, right, 55, reports=True))
+    got = {r["id"]: r for r in made.collect()}
+    assert (got["l"]["best_id"], got["l"]["decision"], got["l"]["reason"]) == ("x", "UNMATCHED", "BELOW_THRESHOLD") and 30 < got["l"]["best_score"] < 55
+    assert 20 < got["l"]["second_score"] < 30 and (got["m"]["best_id"], got["m"]["reason"]) == (None, "NO_CANDIDATE")
+    again = {r["id"]: r["reason"] for r in matching.rematch(made, 60, "second").collect()}
+    assert again == {"l": "BELOW_THRESHOLD", "m": "NO_CANDIDATE"}
+
+
 def test_a_floor_without_blocks_is_refused(spark):
     left = spark.createDataFrame(businesses(1, 3), SCHEMA)
     with pytest.raises(ValueError):
