@@ -5,8 +5,9 @@ one segment of two linked fingerprints differs by at most one bit. Each
 segment is indexed under its one-wildcard variants (one bit deleted), equal
 variants join, and the whole fingerprints are then compared.
 
-The pipeline's stage asks for a similarity that lies far beyond such distances:
-there texts meet in bands of smallest hashes, and their shingles are compared.
+The pipeline's stage links what fingerprints link, if the shingles agree. It asks
+for a similarity that lies far beyond such distances, so texts also meet in
+bands of smallest hashes; the shingles of all that meet are compared.
 """
 
 from __future__ import annotations
@@ -193,7 +194,7 @@ def _bitmap(h: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, key: list[Column], text: str, shingle: int, whole: bool) -> DataFrame:
-    """The columns ``key``, the digest ``node`` of the text's distinct shingles, and these with their bitmap (``whole``) or the keys under which it meets others."""
+    """The columns ``key``, the digest ``node`` of the text's distinct shingles, and these with their bitmap (``whole``) or the keys under which it meets others and the fingerprint f0."""
     narrow = docs.select(*key, F.col(text).alias("_text"))
     keys = narrow.columns[:-1]
     last = "shingles" if whole else "meets"
@@ -202,19 +203,22 @@ def shingle_sets(docs: DataFrame, key: list[Column], text: str, shingle: int, wh
         for big in batches:
             for at in range(0, big.num_rows, 256):  # lists of few texts at a time
                 batch = big.slice(at, 256)
-                nodes, lists, maps = [], [], []
+                nodes, lists, maps, prints = [], [], [], []
                 for one in batch.column(len(keys)):
                     h = np.unique(shingle_hashes(one.as_py(), shingle))
                     nodes.append(_digest(h))
-                    maps.append(_bitmap(h).tolist() if whole else [])
+                    if whole:
+                        maps.append(_bitmap(h).tolist())
+                    else:
+                        prints.append(majority(h))
                     lists.append(h.view(np.int64) if whole else _meeting_keys(h) if len(h) else np.empty(0, np.int64))
                 ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:-1], pa.array(nodes, pa.int64()), column, pa.array(maps, pa.list_(pa.int64()))][: None if whole else -1],
-                    names=[*keys, "node", last, "bits"][: None if whole else -1])
+                    [*batch.columns[:-1], pa.array(nodes, pa.int64()), column, pa.array(maps, pa.list_(pa.int64())) if whole else pa.array(prints, pa.int64())],
+                    names=[*keys, "node", last, "bits" if whole else "f0"])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1]] + ["node long", f"{last} array<long>"] + ["bits array<long>"] * whole)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1]] + ["node long", f"{last} array<long>", "bits array<long>" if whole else "f0 long"])
     return narrow.mapInArrow(run, schema)
 
 
@@ -282,11 +286,23 @@ def similar_links(met: DataFrame, sets: DataFrame) -> DataFrame:
     return links_within(met, near, rest=again, **ruled_out)
 
 
+def fingerprint_pairs(nodes: DataFrame, max_bits: int = 2, width: int = 32) -> DataFrame:
+    """(u, v): nodes (node, f0) whose fingerprints ``links`` links, by the smallest node of each; other nodes of a fingerprint with that one."""
+    prints = cut_lineage(nodes.groupBy("f0").agg(F.min("node").alias("low")))
+    # a fingerprint becomes many variants: dealt out, as in near_duplicates
+    dealt = cut_lineage(prints.select(F.col("f0").alias("node"), "f0").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node"))
+    ends = [prints.select(F.col("f0").alias(e), F.col("low").alias(f"_{e}")) for e in "uv"]
+    apart = links(dealt, max_bits, width).join(ends[0], "u").join(ends[1], "v").select("_u", "_v")
+    equal = nodes.join(prints, "f0").filter("node <> low").select(F.col("node").alias("_u"), F.col("low").alias("_v"))
+    return apart.unionByName(equal).select(F.greatest("_u", "_v").alias("u"), F.least("_u", "_v").alias("v")).distinct()
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` that stay, in all their columns, whatever their names: of each group of near-duplicates the row with the smallest doc_id.
 
-    Texts are linked if at least 0.8 of their distinct shingles are common to
-    both, which is verified for every link; groups are what links join. Of rows
+    Texts meet by their SimHash fingerprints and, as these reach only the closest,
+    in bands. They are linked if at least 0.8 of their distinct shingles are common
+    to both, which is verified for every link; groups are what links join. Of rows
     with that id the one with the smallest text hash stays, and those equal to it
     in both; a null id is larger than any. Texts without a word are one group.
     """
@@ -294,17 +310,19 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     first = F.struct(F.col("_doc").isNull().alias("_none"), "_doc", "_text_hash")
     rows = cut_lineage(shingle_sets(docs, key, text, shingle, whole=False))
     # texts with equal sets are one node, so exact copies of any number cost no pairs
-    nodes = cut_lineage(rows.groupBy("node").agg(F.min(first).alias("least"), F.first("meets").alias("meets")))
+    nodes = cut_lineage(rows.groupBy("node").agg(F.min(first).alias("least"), F.first("meets").alias("meets"), F.first("f0").alias("f0")))
+    close = cut_lineage(fingerprint_pairs(nodes.select("node", "f0")))
     met = nodes.select("node", F.explode("meets").alias("key"))
     held = met.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     met = cut_lineage(met.join(held, "key").select("key", "node"))
     # one text of each node that meets another gives its set
-    asked = met.select("node").distinct().join(nodes.select("node", "least"), "node").select(
+    meeting = met.select("node").unionByName(close.select(F.explode(F.array("u", "v")).alias("node"))).distinct()
+    asked = meeting.join(nodes.select("node", "least"), "node").select(
         F.col("least._doc").alias("_id"), F.col("least._text_hash").alias("_own"))
     own = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_body"))
     own = own.join(asked, own["_doc"].eqNullSafe(F.col("_id")) & (F.xxhash64("_body") == F.col("_own")), "left_semi")
     sets = cut_lineage(shingle_sets(own, [], "_body", shingle, whole=True).groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits")))
-    groups = components(similar_links(met, sets))
+    groups = components(similar(close, sets).unionByName(similar_links(met, sets)))
     named = nodes.join(groups, "node", "left").select("least", F.coalesce("component", "node").alias("group"))
     stay = named.groupBy("group").agg(F.min("least").alias("least")).select(F.col("least._doc").alias("_id"), F.col("least._text_hash").alias("_own"))
     whole = docs.select(F.struct("*").alias("row"))

@@ -132,6 +132,28 @@ def test_every_pair_of_a_group_is_compared(spark, rounds, block):
     assert linked and found <= set(linked) and brute.roots(nodes, found) == brute.roots(nodes, linked)
 
 
+def test_the_near_copy_stage_links_by_fingerprints(spark, monkeypatch):
+    rng, rows = random.Random(5), []
+    for i in range(6):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(4000)]
+        rows.append((i, " ".join(text), "en", "s", None))
+        text[rng.randrange(4000)] = "other"
+        rows.append((100 + i, " ".join(text), "en", "s", None))
+    # what the bands find is left out, the fingerprints' links stay
+    monkeypatch.setattr(simhash, "similar_links", lambda met, sets: spark.createDataFrame([], "u long, v long"))
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, DOCS)).collect()}
+    prints = {i: simhash.majority(np.unique(simhash.shingle_hashes(t, 5))) for i, t, *_ in rows}
+    near = {100 + i for i in range(6) if (prints[i] ^ prints[100 + i]).bit_count() <= 2}
+    assert len(near) >= 4 and kept == {i for i, *_ in rows} - near
+
+
+def test_fingerprints_alone_link_no_unlike_texts(spark, monkeypatch):
+    rows = [(i, f"a b c d {i}", "en", "s", None) for i in range(50)]
+    monkeypatch.setattr(simhash, "fingerprint_pairs", lambda nodes: nodes.select("node", F.lit(0).alias("k")).alias("x").join(
+        nodes.select("node", F.lit(0).alias("k")).alias("y"), "k").filter("x.node > y.node").select(F.col("x.node").alias("u"), F.col("y.node").alias("v")))
+    assert simhash.one_of_each(spark.createDataFrame(rows, DOCS)).count() == 50
+
+
 def test_near_copies_leave_and_clean_texts_stay(spark):
     rng = random.Random(3)
     vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(4000)]
