@@ -42,17 +42,19 @@ def links_within(
     """(u, v): of the pairs that share a group those ``near`` keeps, or enough of them to have the same components.
 
     ``met``: key, node (long), each once. First each member of a group meets one
-    other, which joins a family of copies in linear size. What is left are the
-    pairs of a group with ends in different components; all of them are
-    compared, or, if there are more of them than members, ``rest`` finds their
-    links from the members (key, node, component) still in such groups.
-    Where all are compared, ``possible`` rules pairs out where they are formed,
-    by the ``facts`` (node, ...) of both ends.
+    other, which joins a family of copies in linear size; this is repeated while
+    it closes groups. What is left are the pairs of a group with ends in
+    different components; all of them are compared, or, if there are more of
+    them than members, only those of groups of up to ``block`` // 2 members, and
+    ``rest`` finds the links of larger groups from their members (key, node,
+    component). Where all are compared, ``possible`` rules pairs out where they
+    are formed, by the ``facts`` (node, ...) of both ends.
     """
     groups = met.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     open_ = cut_lineage(met.join(groups.drop("n"), "key").withColumn("component", F.col("node")))
     open_ = cut_lineage(open_.join(_ends(open_, 0), "key"))
     found, members = None, open_.count()
+    before = members
     for i in range(rounds):
         asked = open_.filter("node <> end and component <> end_component")
         new = cut_lineage(near(asked.select(F.greatest("node", "end").alias("u"), F.least("node", "end").alias("v")).distinct()))
@@ -64,12 +66,19 @@ def links_within(
         left = parts.groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m").cast("double") * F.col("m")).alias("same"), F.count("*").alias("parts")).filter("parts > 1")
         open_ = cut_lineage(now.join(left.join(_ends(now, i + 1), "key").select("key", "n", "same", "end", "end_component"), "key"))
         release(met.sparkSession)
-        pairs = open_.filter("node = end").agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
+        own_pairs = F.when(F.col("node") == F.col("end"), (F.col("n").cast("double") * F.col("n") - F.col("same")) / 2)
+        now_open, pairs = open_.agg(F.count("*"), F.coalesce(F.sum(own_pairs), F.lit(0.0))).first()
         if pairs <= members:
             rest = None
             break
+        if 10 * now_open > 9 * before:  # another round would cost as much and join as little
+            break
+        before = now_open
     if rest is not None:
-        return found.unionByName(rest(open_))
+        # a group decides by its own size, so that few large ones do not send the members of all others to ``rest``
+        small = F.col("n") <= block // 2
+        found = found.unionByName(rest(open_.filter(~small)))
+        open_ = open_.filter(small)
     if facts is not None:
         open_ = open_.join(facts, "node")
     return found.unionByName(near(_all_pairs(open_, block, possible)))

@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, release
 from .components import components
 from .groups import links_within
 
@@ -239,27 +239,33 @@ def _facts(sets: DataFrame) -> DataFrame:
     return sets.select("node", F.size("shingles").alias("elements"), "bits")
 
 
+#: Pairs sent to all executors at most: 10 MB, as Spark does by itself where it knows a size.
+SENT = 10 * 2**20 // 16
+
+
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The (u, v) whose sets (node, shingles, bits) have a similarity of 0.8 at least: common elements over all elements, exactly.
 
-    Sizes and bitmaps rule out most others before a set moves.
+    Sizes and bitmaps rule out most others before a set moves. Few pairs go to
+    the sets instead, of which then only the pairs' own move.
     """
     a, b = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"_{n}")) for n in "uv")
     sides = [_facts(sets).select(F.col("node").alias(e), F.col("elements").alias(f"_{e}elements"), F.col("bits").alias(f"_{e}bits")) for e in "uv"]
     fit = cut_lineage(pairs.join(sides[0], "u").join(sides[1], "v").filter(_alike("_u", "_v")).select("u", "v"))
     both = F.size(F.array_intersect("_u", "_v"))
+    if fit.count() <= SENT:
+        a, b = a.join(F.broadcast(fit), "u"), b.join(F.broadcast(fit.select("v").distinct()), "v", "left_semi")
+        return a.join(b, "v").filter(9 * both >= 4 * (F.size("_u") + F.size("_v"))).select("u", "v")
     return fit.join(a, "u").join(b, "v").filter(9 * both >= 4 * (F.size("_u") + F.size("_v"))).select("u", "v")
 
 
-def rarest_first(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, node): the shingles under which sets of a similarity of 0.8 meet, exactly: the rarest fifth of each set.
+def rarest_first(own: DataFrame) -> DataFrame:
+    """(key, node): the shingles under which sets (node, shingles) of a similarity of 0.8 meet, exactly: the rarest fifth of each set.
 
     Sets that share 0.8 of their elements share one of the first
     n - ceil(0.8 n) + 1 in any common order. Rare ones come first, as counted
-    over ``members`` (node); those that one member alone has are first of all
-    and meet nobody.
+    over ``own``; those that one set alone has are first of all and meet nobody.
     """
-    own = members.join(sets, "node")
     spots = cut_lineage(own.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("key")))
     shared = spots.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     ordered = spots.join(cut_lineage(shared), "key").groupBy("node").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "key"))).alias("s"))
@@ -272,18 +278,18 @@ def similar_links(met: DataFrame, sets: DataFrame) -> DataFrame:
     """(u, v): links of all similar pairs that share a band, or enough for the same components.
 
     Families are joined through one member each. Where many members of a band
-    stay apart, as texts on one template do, those members meet again under
-    their rarest shingles, which unlike ones do not share, so no band's pairs
-    are all compared.
+    stay apart, as texts on one template do, the members of that band meet again
+    under their rarest shingles, which unlike ones do not share, so no large
+    band's pairs are all compared.
     """
-    def near(pairs: DataFrame) -> DataFrame:
-        return similar(pairs, sets)
+    def possible(x: str, y: str) -> Column:
+        return _alike(f"{x}.", f"{y}.")
 
     def again(open_: DataFrame) -> DataFrame:
-        return links_within(cut_lineage(rarest_first(open_.select("node").distinct(), sets)), near, **ruled_out)
+        own = cut_lineage(sets.join(open_.select("node").distinct(), "node"))
+        return links_within(cut_lineage(rarest_first(own)), lambda pairs: similar(pairs, own), facts=_facts(own), possible=possible)
 
-    ruled_out = {"facts": _facts(sets), "possible": lambda x, y: _alike(f"{x}.", f"{y}.")}
-    return links_within(met, near, rest=again, **ruled_out)
+    return links_within(met, lambda pairs: similar(pairs, sets), rest=again, facts=_facts(sets), possible=possible)
 
 
 def fingerprint_pairs(nodes: DataFrame, max_bits: int = 2, width: int = 32) -> DataFrame:
@@ -324,7 +330,10 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     sets = cut_lineage(shingle_sets(own, [], "_body", shingle, whole=True).groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits")))
     groups = components(similar(close, sets).unionByName(similar_links(met, sets)))
     named = nodes.join(groups, "node", "left").select("least", F.coalesce("component", "node").alias("group"))
-    stay = named.groupBy("group").agg(F.min("least").alias("least")).select(F.col("least._doc").alias("_id"), F.col("least._text_hash").alias("_own"))
+    stay = cut_lineage(named.groupBy("group").agg(F.min("least").alias("least")).select(F.col("least._doc").alias("_id"), F.col("least._text_hash").alias("_own")))
+    # what led to it goes before the texts move
+    del rows, nodes, close, met, held, meeting, asked, own, sets, groups, named
+    release(docs.sparkSession)
     whole = docs.select(F.struct("*").alias("row"))
     at = F.col(f"row.`{doc_id}`").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(f"row.`{text}`")) == F.col("_own"))
     return whole.join(stay, at, "left_semi").select("row.*")
