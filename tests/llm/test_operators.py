@@ -132,6 +132,26 @@ def test_every_pair_of_a_group_is_compared(spark, rounds, block):
     assert linked and found <= set(linked) and brute.roots(nodes, found) == brute.roots(nodes, linked)
 
 
+def test_only_members_of_large_groups_go_to_the_rest(spark):
+    """One large group of strangers and many small ones: these are compared directly, whatever the large one has."""
+    met = [(7, n) for n in range(60)] + [(100 + g, 1000 + 10 * g + i) for g in range(20) for i in range(3)]
+    met = spark.createDataFrame(met, "key long, node long")
+    sent, asked = [], []
+
+    def near(pairs):
+        asked.extend((r["u"], r["v"]) for r in pairs.collect())
+        return pairs.filter("u = 0 and v = 1")
+
+    def rest(open_):
+        sent.extend(r["node"] for r in open_.collect())
+        return spark.createDataFrame([], "u long, v long")
+
+    assert groups.links_within(met, near, 1, 16, rest).collect() == []
+    assert sorted(sent) == list(range(60))
+    small = {(1000 + 10 * g + j, 1000 + 10 * g + i) for g in range(20) for j in range(3) for i in range(j)}
+    assert {p for p in asked if p[0] >= 1000} == small
+
+
 def test_the_near_copy_stage_links_by_fingerprints(spark, monkeypatch):
     rng, rows = random.Random(5), []
     for i in range(6):
