@@ -134,6 +134,18 @@ def test_golden_score(spark):
     assert "name: 94.00% x 20 = 18.80" in lines and lines.endswith("total = 93.00%")
 
 
+def test_fixed_lines_are_formatted_once(spark):
+    values = [0.0, 1.0, 0.8, 0.5, 0.005, 0.12345, 1 / 3, 0.994999, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select(
+        *[F.col("v").alias(f"{s}_score") for s in V.MATCH_WEIGHTS], (F.col("v") * 100).alias("score"))
+    lines = [F.format_string(f"{s}: %.2f%% x {w:g} = %.2f", F.col(f"{s}_score") * 100, F.col(f"{s}_score") * float(w)) for s, w in V.MATCH_WEIGHTS.items()]
+    plain = F.concat_ws("; ", *lines, F.format_string("total = %.2f%%", F.col("score")))
+    out = df.select(matching.explain().alias("e"), plain.alias("p"))
+    assert all(r["e"] == r["p"] for r in out.collect())
+    plan = df.select(matching.explain())._jdf.queryExecution().optimizedPlan().toString()
+    assert "phone: 100.00% x 25 = 25.00" in plan and "category: 80.00% x 5 = 4.00" in plan
+
+
 @pytest.mark.parametrize("best,second,expected", [
     (95.0, 0.0, "MATCHED"), (80.0, 0.0, "MATCHED"), (79.0, 0.0, "UNMATCHED"), (85.0, 84.0, "AMBIGUOUS"), (85.0, 80.0, "MATCHED"), (None, None, "UNMATCHED"),
 ])
